@@ -635,7 +635,7 @@ def classify_log_lines(spark, sf):
        FROM part"""
 )
 def resolve_paths(spark, sf):
-    return view(spark, sf, "image_links").select("p_partkey", paths.archive_path("link").alias("path"))
+    return paths.with_archive_path(view(spark, sf, "image_links"), "link").drop("link")
 
 
 _ATTR = r"(?is)<a\s[^>]*href\s*=\s*\"([^\"]*)\"[^>]*>(.*?)</a\s*>"
@@ -712,7 +712,16 @@ def stream_request_status(spark, sf):
     return stream_status.read_request_status(spark, target)
 
 
-@registered()
+@registered(
+    f"""WITH {_PARSED},
+        starts AS (SELECT request_id, min(ts) AS s,
+                          min(ts) FILTER (WHERE type IN ('done', 'error')) AS ended FROM events_ GROUP BY request_id)
+        SELECT request_id, strftime(s, '%Y-%m-%d %H:%M:%S') AS started_at,
+               '{events.TIMED_OUT.format(seconds=_HOURS * 3600)}' AS message
+        FROM starts
+        WHERE coalesce(ended, TIMESTAMP '9999-01-01') > s + INTERVAL {_HOURS} HOUR
+          AND s + INTERVAL {_HOURS} HOUR < (SELECT max(ts) FROM events_)"""
+)
 def stream_deadlines(spark, sf):
     source = _frame_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     target = scratch_path(spark, "deadlines")
@@ -725,4 +734,5 @@ def stream_deadlines(spark, sf):
         .start(target)
     )
     run.awaitTermination()
-    return spark.read.schema(late.schema).parquet(target)
+    found = spark.read.schema(late.schema).parquet(target)
+    return found.withColumn("started_at", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss"))

@@ -130,7 +130,7 @@ VIEWS = {
     "rich_pages": """
         SELECT page_id,
                html || '<p><img alt="scan ' || page_id || '" src=''/archive/chest_xray_60/N/' || page_id
-               || '.png''><code>![view ' || page_id || '](<' || url || '>)</code></p>' AS html
+               || '.png''><code>![view ' || page_id || '](&lt;' || url || '&gt;)</code></p>' AS html
         FROM {pages}""",
     "stock_documents": """
         SELECT source AS source_table, CAST(doc_id AS VARCHAR(20)) AS source_id, text AS content,
