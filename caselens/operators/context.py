@@ -82,4 +82,4 @@ def build_prompts(
             F.lit(PROMPT_INDENT), as_text(question),
             F.lit("\n" + PROMPT_INDENT),
         ),
-    )
+    ).drop("context")

@@ -18,13 +18,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from caselens.functions.text import has_content
+from caselens.operators.skew import missing_from
 from caselens.schemas import DEFAULT_BATCH, EMBEDDINGS_KEY
 
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 
 MAX_ATTEMPTS = 6
 FIRST_DELAY = 2.0
-MAX_BROADCAST_KEYS = 1 << 20
 
 
 def with_retries(call, attempts: int = MAX_ATTEMPTS, delay: float = FIRST_DELAY, sleep=time.sleep):
@@ -111,19 +111,8 @@ def embedding_id() -> Column:
 
 
 def unembedded(documents: DataFrame, existing: DataFrame, key_rows: int | None = None) -> DataFrame:
-    """Documents with content whose (source_table, source_id) has no vector yet.
-
-    ``existing`` may be far larger than ``documents``: it is first cut to the keys in
-    question, with the keys as the side to hash, and only what is left of it meets the
-    documents. ``key_rows``, when known, is the number of documents: up to the limit
-    their keys are broadcast, so ``existing`` is read without a shuffle.
-    """
-    wanted = documents.where(has_content("content"))
-    keys = wanted.select(*EMBEDDINGS_KEY)
-    if key_rows is not None and key_rows <= MAX_BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    present = existing.select(*EMBEDDINGS_KEY).join(keys, EMBEDDINGS_KEY, "left_semi")
-    return wanted.join(present, EMBEDDINGS_KEY, "left_anti")
+    """Documents with content whose (source_table, source_id) has no vector yet."""
+    return missing_from(documents.where(has_content("content")), existing, EMBEDDINGS_KEY, key_rows)
 
 
 def one_per_key(documents: DataFrame) -> DataFrame:

@@ -19,7 +19,6 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from caselens.operators.skew import salt_of
 from caselens.operators.topk import (
     MAX_BROADCAST_BYTES,
     BestPerQuestion,
@@ -29,6 +28,7 @@ from caselens.operators.topk import (
     matrix_of,
     result_schema,
     score_block,
+    small_tables,
     unit_rows,
 )
 from caselens.schemas import DEFAULT_TOP_K
@@ -63,15 +63,22 @@ def build_cells(
     max_iter: int = 20,
     id_columns: list[str] | None = None,
     vector: str = "embedding",
-    writers_per_cell: int = 8,
+    train_rows: int | None = None,
 ) -> Cells:
-    """Fit the centres and store the vectors by cell. A cell is written by up to
-    ``writers_per_cell`` tasks, so a cell that holds most vectors is no bottleneck."""
+    """Fit the centres and store all vectors by cell.
+
+    The centres are fitted on about ``train_rows`` vectors (4096 per cell if not given);
+    every vector is stored. Spark splits a cell that holds most vectors over several
+    writers and lets small cells share one.
+    """
     id_columns = id_columns or ["source_table", "source_id"]
     if n_cells * width * 8 > MAX_BROADCAST_BYTES:
         raise ValueError("too many cells to hold their centres")
+    known = vectors.where(F.col(vector).isNotNull())
+    share = (train_rows or 4096 * n_cells) / max(1, known.count())
+    training = known if share >= 1 else known.sample(share, seed=seed)
     normalized = Normalizer(inputCol="_raw", outputCol="_unit", p=2.0).transform(
-        vectors.where(F.col(vector).isNotNull()).select(array_to_vector(vector).alias("_raw"))
+        training.select(array_to_vector(vector).alias("_raw"))
     )
     fitted = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="_unit").fit(normalized)
     centres = np.array(fitted.clusterCenters())
@@ -82,16 +89,14 @@ def build_cells(
     arrow_schema = to_arrow_schema(schema)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
+        for table in small_tables(batches, width):
             matrix, _ = matrix_of(table[vector], width)
             cell = _nearest_cells(unit_rows(matrix), shared.value, 1)[:, 0]
             table = table.append_column("cell", pa.array(cell.astype("int32"))).cast(arrow_schema)
             yield from table.to_batches()
 
     assigned = vectors.select(*id_columns, vector).mapInArrow(assign, schema)
-    spread = assigned.repartition("cell", salt_of(id_columns, writers_per_cell))
-    spread.write.mode("overwrite").partitionBy("cell").parquet(path)
+    assigned.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(path)
     return Cells(path, centres, schema, id_columns, vector)
 
 
@@ -112,7 +117,7 @@ def nearest_in_cells(
     """
     spark = questions.sparkSession
     width = cells.centres.shape[1]
-    local = fits_broadcast(questions.select(question_id, question_vector), question_vector, width, limit_bytes)
+    local = fits_broadcast(questions.select(question_id, question_vector), width, limit_bytes)
     if local is None:
         raise ValueError("too many questions at once: ask them in several calls, or use nearest()")
     matrix, present = matrix_of(local[question_vector], width)
@@ -131,8 +136,8 @@ def nearest_in_cells(
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         question_units, names, asked = shared.value
         best = BestPerQuestion(len(question_units), ids, k)
-        for batch in batches:
-            table = pa.Table.from_batches([batch]).sort_by([(c, "ascending") for c in ids])
+        for table in small_tables(batches, width):
+            table = table.sort_by([(c, "ascending") for c in ids])
             rows, valid = matrix_of(table[vector], width)
             rows, cell = unit_rows(rows), table["cell"].to_numpy()
             for number in np.unique(cell):

@@ -8,12 +8,11 @@ side are repeated once per group; all other keys join as usual.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 HOT_SHARE = 1 / 200
 SALTS = 32
+MAX_BROADCAST_KEYS = 1 << 20
 
 
 def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
@@ -56,5 +55,18 @@ def skew_join(
     return spread.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+def missing_from(
+    df: DataFrame, existing: DataFrame, keys: list[str], key_rows: int | None = None
+) -> DataFrame:
+    """Rows of ``df`` whose key ``existing`` does not hold.
+
+    ``existing`` may be far larger than ``df``: it is first cut to the keys in question,
+    with the keys as the side to hash, and only what is left of it meets the rows.
+    ``key_rows``, when known, is the number of rows of ``df``: up to the limit the keys are
+    broadcast, so ``existing`` is read without a shuffle.
+    """
+    asked = df.select(*keys).distinct()
+    if key_rows is not None and key_rows <= MAX_BROADCAST_KEYS:
+        asked = F.broadcast(asked)
+    present = existing.select(*keys).join(asked, keys, "left_semi")
+    return df.join(present, keys, "left_anti")

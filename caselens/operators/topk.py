@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from caselens.functions.vectors import check_width, cosine_distance
+from caselens.operators.skew import skew_join
 from caselens.schemas import DEFAULT_TOP_K
 
-MAX_BROADCAST_BYTES = 256 << 20  # the question matrix sent to every executor
-MAX_CELLS = 4 << 20  # distances held at once in a task
+MAX_BROADCAST_BYTES = 128 << 20  # the question matrix sent to every executor
+MAX_QUESTIONS = 50_000  # questions whose k best a task keeps
+MAX_CELLS = 4 << 20  # numbers of a matrix held at once in a task
 MAX_FETCH_ROWS = 1 << 20  # result rows sent to every executor to fetch their contents
 GRID_ROWS = 50_000  # vectors, and questions, in one group of the grid
 
@@ -111,6 +113,14 @@ def finish(table: pa.Table, question_ids: pa.Array, schema: pa.Schema) -> list[p
     return out.to_batches(max_chunksize=10_000)
 
 
+def small_tables(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Table]:
+    """The batches cut so that a matrix of their vectors stays small however wide."""
+    rows = max(1, MAX_CELLS // width)
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield pa.Table.from_batches([batch.slice(at, rows)])
+
+
 def scan_batches(
     batches: Iterator[pa.RecordBatch],
     question_units: np.ndarray,
@@ -122,8 +132,8 @@ def scan_batches(
 ) -> Iterator[pa.RecordBatch]:
     best = BestPerQuestion(len(question_units), id_columns, k)
     width = question_units.shape[1]
-    for batch in batches:
-        table = pa.Table.from_batches([batch]).sort_by([(c, "ascending") for c in id_columns])
+    for table in small_tables(batches, width):
+        table = table.sort_by([(c, "ascending") for c in id_columns])
         matrix, present = matrix_of(table[vector], width)
         units, ids = unit_rows(matrix), table.select(id_columns)
         step = max(1, MAX_CELLS // max(1, len(units)))
@@ -150,11 +160,10 @@ def keep_best(candidates: DataFrame, question_id: str, id_columns: list[str], k:
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def fits_broadcast(questions: DataFrame, vector: str, width: int, limit_bytes: int):
-    """The questions as an Arrow table if they fit the limit, else None."""
-    rows = max(1, limit_bytes // (8 * width))
-    table = questions.limit(rows + 1).toArrow()
-    return table if len(table) <= rows else None
+def fits_broadcast(questions: DataFrame, width: int, limit_bytes: int) -> pa.Table | None:
+    """The questions as an Arrow table if their number fits the limits, else None."""
+    most = min(MAX_QUESTIONS, limit_bytes // (8 * width))
+    return questions.toArrow() if questions.count() <= most else None
 
 
 def nearest(
@@ -182,7 +191,7 @@ def nearest(
     vectors = vectors.select(*id_columns, vector)
     questions = questions.select(question_id, question_vector)
 
-    local = fits_broadcast(questions, question_vector, width, limit_bytes)
+    local = fits_broadcast(questions, width, limit_bytes)
     if local is not None:
         matrix, present = matrix_of(local[question_vector], width)
         if not present.all():
@@ -252,10 +261,17 @@ def nearest_to(
     return scored.orderBy(F.col("distance").asc_nulls_last(), *id_columns).limit(k)
 
 
-def fetch(best: DataFrame, records: DataFrame, keys: list[str], max_rows: int | None) -> DataFrame:
+def fetch(
+    best: DataFrame,
+    records: DataFrame,
+    keys: list[str],
+    max_rows: int | None,
+    question_id: str = "question_id",
+) -> DataFrame:
     """Bring the contents of the found records. ``max_rows`` is how many rows ``best``
     can hold at most (questions x k), if known: within the limit they are broadcast and
-    the records are read in place."""
+    the records are read in place. Beyond it, one record may be the answer to very many
+    questions, so its rows are spread."""
     if max_rows is not None and max_rows <= MAX_FETCH_ROWS:
-        best = F.broadcast(best)
-    return records.join(best, keys)
+        return records.join(F.broadcast(best), keys)
+    return skew_join(best, records, keys, salt_on=[question_id])

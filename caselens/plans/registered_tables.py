@@ -20,11 +20,12 @@ from caselens.sources import csv_tables, images
 QUERIES, ORACLES = {}, {}
 
 
-def registered(oracle: str | None = None):
+def registered(oracle: str | None = None, name: str | None = None):
     def add(function):
-        QUERIES[function.__name__] = function
+        key = name or function.__name__
+        QUERIES[key] = function
         if oracle is not None:
-            ORACLES[function.__name__] = oracle
+            ORACLES[key] = oracle
         return function
 
     return add
@@ -432,7 +433,8 @@ def load_audit(spark, sf):
              e AS ({_AUDIT_HAVE.format(documents="documents", labels="labels")})
         SELECT source_table, source_id FROM d
         WHERE trim(content) <> '' AND NOT EXISTS (
-            SELECT 1 FROM e WHERE e.source_table = d.source_table AND e.source_id = d.source_id)"""
+            SELECT 1 FROM e WHERE e.source_table = d.source_table AND e.source_id = d.source_id)""",
+    name="unembedded",
 )
 def unembedded_documents(spark, sf):
     return unembedded(*_audit_inputs(spark, sf)).select("source_table", "source_id")
@@ -447,13 +449,9 @@ def unembedded_documents(spark, sf):
     )
 )
 def image_inventory(spark, sf):
-    """Files listed by path, not opened, against the paths records name. Many records may
-    name one file."""
+    """Files listed by path, not opened, against the paths records name."""
     files = images.read_images(spark, sf, glob="*.parquet")
-    named = view(spark, sf, "expected_images")
-    present = files.select(F.col("relative_path").alias("image_path"), F.lit(True).alias("found"))
-    joined = skew_join(named, present, ["image_path"], how="left", salt_on=["p_partkey"])
-    return joined.withColumn("found", F.coalesce("found", F.lit(False)))
+    return images.with_found(view(spark, sf, "expected_images"), files)
 
 
 # ---- bands ----------------------------------------------------------------------------

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from caselens.functions import links, logs, paths, vectors
 from caselens.functions.text import PYTHON_SPACE, rows_as_json as row_json
 from caselens.operators import context, documents, embed, events, ivf, topk
-from caselens.plans.registered_tables import as_double, registered
+from caselens.plans import ingest
+from caselens.plans.registered_tables import registered
 from caselens.plans.standins import duckdb_view, table, view, with_views
 from caselens.schemas import DEFAULT_TOP_K
 from caselens.scratch import scratch_path
@@ -339,17 +340,8 @@ def _store(spark, sf):
     return vector_store.read_vectors(spark, target)
 
 
-def _questions(spark, sf):
-    return embed.embed_texts(view(spark, sf, "questions"), "question", EMBEDDER)
-
-
-def retrieve(spark, sf, k: int = DEFAULT_TOP_K):
-    """(question_id, source_table, source_id, distance, rank, content, metadata)"""
-    store = _store(spark, sf)
-    questions = table(spark, sf, "benchmark")
-    found = topk.nearest(store, _questions(spark, sf), k, width=WIDTH)
-    contents = store.select("source_table", "source_id", "content", "metadata")
-    return topk.fetch(found, contents, ["source_table", "source_id"], questions.count() * k)
+def _retrieved(spark, sf):
+    return ingest.retrieve(view(spark, sf, "questions"), _store(spark, sf), EMBEDDER, width=WIDTH)
 
 
 _RETRIEVED = f"""
@@ -380,7 +372,7 @@ _RETRIEVED = _RETRIEVED.replace("{{", "{").replace("}}", "}")
 
 @registered(f"WITH {_RETRIEVED} SELECT question_id, rank, source_table, source_id, chunk FROM chunks")
 def context_chunks(spark, sf):
-    chunks = context.context_chunks(retrieve(spark, sf))
+    chunks = context.context_chunks(_retrieved(spark, sf))
     return chunks.select("question_id", "rank", "source_table", "source_id", "chunk")
 
 
@@ -392,12 +384,7 @@ _CONTEXT = """, contexts AS (
 
 @registered(f"WITH {_RETRIEVED}{_CONTEXT} SELECT question_id, context, n_chunks FROM contexts")
 def context_concat(spark, sf):
-    return context.concat_context(context.context_chunks(retrieve(spark, sf)))
-
-
-def _prompts(spark, sf):
-    contexts = context.concat_context(context.context_chunks(retrieve(spark, sf)))
-    return context.build_prompts(view(spark, sf, "questions"), contexts)
+    return context.concat_context(context.context_chunks(_retrieved(spark, sf)))
 
 
 _INSTRUCTIONS_SQL = " || chr(10) || ".join(
@@ -413,7 +400,7 @@ _PROMPTS_SQL = f"""SELECT question_id, question, chr(10) || {_INSTRUCTIONS_SQL}
 
 @registered(f"WITH {_RETRIEVED}{_CONTEXT} {_PROMPTS_SQL}")
 def build_prompts(spark, sf):
-    return _prompts(spark, sf).select("question_id", "question", "prompt")
+    return ingest.prompts(view(spark, sf, "questions"), _retrieved(spark, sf))
 
 
 def _share(prompt: str) -> int:

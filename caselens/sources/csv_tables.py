@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from caselens.operators.skew import missing_from
 from caselens.schemas import RECORD_TABLES, TIME_COLUMNS
 
 
@@ -66,15 +68,12 @@ def append_new(df: DataFrame, path: str, key: list[str]) -> None:
     """Append rows whose key the table at ``path`` does not hold yet, so a repeated run
     adds nothing."""
     spark = df.sparkSession
-    existing = existing_table(spark, path, df.schema)
-    new = df.join(existing.select(*key), key, "left_anti").select(*df.columns)
-    new.write.mode("append").parquet(path)
+    new = missing_from(df, existing_table(spark, path, df.schema), key)
+    new.select(*df.columns).write.mode("append").parquet(path)
 
 
 def existing_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The table at ``path``, or an empty one if nothing was written yet."""
-    from pyspark.errors import AnalysisException
-
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as missing:

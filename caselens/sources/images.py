@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from caselens.operators.skew import skew_join
+
 IMAGE_GLOB = "*.{jpg,jpeg,png,gif,webp,bmp,svg}"
 
 
@@ -24,11 +26,19 @@ def relative_path(path: Column, folder: str) -> Column:
 
 
 def with_image(records: DataFrame, images: DataFrame, path: str = "image_path") -> DataFrame:
-    """Records with their image bytes; ``content`` is NULL where the file is missing."""
-    found = images.select(F.col("relative_path").alias(path), "content")
-    return records.join(found, path, "left")
+    """Records with their image bytes; ``content`` is NULL where the file is missing. Many
+    records may name one file."""
+    files = images.select(F.col("relative_path").alias(path), "content")
+    return skew_join(records, files, [path], how="left")
+
+
+def with_found(records: DataFrame, images: DataFrame, path: str = "image_path") -> DataFrame:
+    """Records with ``found``: whether their image file is there. No file is opened."""
+    files = images.select(F.col("relative_path").alias(path), F.lit(True).alias("found"))
+    joined = skew_join(records, files, [path], how="left")
+    return joined.withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def missing_images(records: DataFrame, images: DataFrame, path: str = "image_path") -> DataFrame:
     """Records whose image file is not there."""
-    return records.join(images.select(F.col("relative_path").alias(path)), path, "left_anti")
+    return with_found(records, images, path).where(~F.col("found")).drop("found")
