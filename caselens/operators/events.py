@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from caselens.functions.text import PYTHON_SPACE
 from caselens.operators.ordered import SPAN, running_total, with_next
 from caselens.operators.skew import skew_join
+from caselens.scratch import write_and_reread
 
 # The answer marker and the messages that results must carry.
 ANSWER_MARKER = "--- Answer ---"
@@ -75,9 +76,9 @@ def answer_split(
     A part that fits one page is one row; a longer one continues on its next pages, whose
     texts follow one another without a gap.
     """
-    pages = output_pages(events, request, page_chars, span).withColumn(
-        "_at", F.col("page") * F.lit(page_chars)
-    )
+    # read five times below, so stored once
+    pages = write_and_reread(output_pages(events, request, page_chars, span), "pages")
+    pages = pages.withColumn("_at", F.col("page") * F.lit(page_chars))
     seen = F.locate(ANSWER_MARKER, F.concat("body", "ahead"))
     requests = pages.groupBy(request).agg(
         F.min(F.when(seen > 0, F.col("_at") + seen - 1)).alias("_marker"),
