@@ -53,6 +53,26 @@ def _nearest_cells(units: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray
     return np.argsort(-scores, axis=1, kind="stable")[:, :n]
 
 
+def fit_centres(
+    vectors: DataFrame,
+    n_cells: int,
+    seed: int = 0,
+    max_iter: int = 20,
+    train_rows: int | None = None,
+    vector: str = "embedding",
+) -> np.ndarray:
+    """k-means centres of unit vectors, fitted on about ``train_rows`` of them (4096 per
+    cell if not given)."""
+    known = vectors.where(F.col(vector).isNotNull())
+    share = (train_rows or 4096 * n_cells) / max(1, known.count())
+    training = known if share >= 1 else known.sample(share, seed=seed)
+    units = Normalizer(inputCol="_raw", outputCol="_unit", p=2.0).transform(
+        training.select(array_to_vector(vector).alias("_raw"))
+    )
+    fitted = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="_unit").fit(units)
+    return np.array(fitted.clusterCenters())
+
+
 def build_cells(
     vectors: DataFrame,
     path: str,
@@ -64,24 +84,18 @@ def build_cells(
     id_columns: list[str] | None = None,
     vector: str = "embedding",
     train_rows: int | None = None,
+    centres: np.ndarray | None = None,
 ) -> Cells:
-    """Fit the centres and store all vectors by cell.
+    """Store all vectors by the nearest of the ``centres``, which are fitted if not given.
 
-    The centres are fitted on about ``train_rows`` vectors (4096 per cell if not given);
-    every vector is stored. Spark splits a cell that holds most vectors over several
-    writers and lets small cells share one.
+    Spark splits a cell that holds most vectors over several writers and lets small cells
+    share one.
     """
     id_columns = id_columns or ["source_table", "source_id"]
-    if n_cells * width * 8 > MAX_BROADCAST_BYTES:
-        raise ValueError("too many cells to hold their centres")
-    known = vectors.where(F.col(vector).isNotNull())
-    share = (train_rows or 4096 * n_cells) / max(1, known.count())
-    training = known if share >= 1 else known.sample(share, seed=seed)
-    normalized = Normalizer(inputCol="_raw", outputCol="_unit", p=2.0).transform(
-        training.select(array_to_vector(vector).alias("_raw"))
-    )
-    fitted = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="_unit").fit(normalized)
-    centres = np.array(fitted.clusterCenters())
+    if centres is None:
+        centres = fit_centres(vectors, n_cells, seed, max_iter, train_rows, vector)
+    if centres.shape[1] != width or centres.nbytes > MAX_BROADCAST_BYTES:
+        raise ValueError("the centres have another width, or are too many to hold")
     shared = vectors.sparkSession.sparkContext.broadcast(centres)
     schema = T.StructType(
         [*[vectors.schema[c] for c in [*id_columns, vector]], T.StructField("cell", T.IntegerType())]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-SPAN = 65_536
+SPAN = 1 << 20
 
 
 def running_total(df: DataFrame, key: str, seq: str, value: str, name: str, span: int = SPAN) -> DataFrame:

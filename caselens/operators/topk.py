@@ -17,7 +17,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from caselens.functions.vectors import check_width, cosine_distance
 from caselens.operators.skew import skew_join
 from caselens.schemas import DEFAULT_TOP_K
 
@@ -248,17 +247,23 @@ def nearest_to(
     id_columns: list[str] | None = None,
     vector: str = "embedding",
 ) -> DataFrame:
-    """The k nearest records of one question vector, in order (columns of ``vectors``
-    other than the vector, plus distance). Any filter put on ``vectors`` comes first, so
-    k rows come back whenever k match.
+    """(record ids, distance): the k nearest records of one question vector, in order.
 
-    Built-in functions only; for wide vectors use :func:`nearest`.
+    Any filter put on ``vectors`` comes first, so k rows come back whenever k match.
     """
     id_columns = id_columns or ["source_table", "source_id"]
-    asked = F.array(*[F.lit(float(x)).cast("float") for x in question])
-    distance = F.round(cosine_distance(check_width(F.col(vector), len(question)), asked), 9)
-    scored = vectors.withColumn("distance", distance).drop(vector)
-    return scored.orderBy(F.col("distance").asc_nulls_last(), *id_columns).limit(k)
+    units = unit_rows(np.asarray([question], dtype="float32").astype("float64"))
+    schema = T.StructType([vectors.schema[c] for c in id_columns]).add("distance", "double")
+    asked = T.StructType().add("_question", "integer")
+    arrow_schema = to_arrow_schema(T.StructType([*asked.fields, *schema.fields]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array([0], pa.int32())
+        for batch in scan_batches(batches, units, names, id_columns, vector, k, arrow_schema):
+            yield batch.select(schema.names)
+
+    best = vectors.select(*id_columns, vector).mapInArrow(scan, schema)
+    return best.orderBy(F.col("distance").asc_nulls_last(), *id_columns).limit(k)
 
 
 def fetch(

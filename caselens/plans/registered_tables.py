@@ -355,7 +355,7 @@ def check_types(spark, sf):
     return quality.type_rejects(view(spark, sf, "raw_events"), "event_id", wanted)
 
 
-@registered("SELECT vec_id, len(embedding) AS n_dims FROM embeddings WHERE len(embedding) <> 32")
+@registered("SELECT vec_id, CAST(len(embedding) AS INT) AS n_dims FROM embeddings WHERE len(embedding) <> 32")
 def check_width(spark, sf):
     return quality.width_rejects(table(spark, sf, "embeddings"), "vec_id", "embedding", 32)
 

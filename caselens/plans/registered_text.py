@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from caselens.functions import links, logs, paths, vectors
@@ -179,16 +180,24 @@ def _six(df):
     return df.withColumn("distance", F.round("distance", 6))
 
 
+@registered(f"SELECT vec_id, round({_DISTANCE_SQL}, 6) AS distance FROM embeddings")
+def cosine_distance(spark, sf):
+    """The distance of every vector, as a column expression."""
+    asked = F.array(*[F.lit(x).cast("float") for x in QUESTION])
+    distance = vectors.cosine_distance(vectors.check_width(F.col("embedding"), WIDTH), asked)
+    return _six(table(spark, sf, "embeddings").select("vec_id", F.round(distance, 9).alias("distance")))
+
+
 @registered(_topk_sql())
 def cosine_topk(spark, sf):
     embeddings = table(spark, sf, "embeddings")
-    return _six(topk.nearest_to(embeddings, QUESTION, id_columns=["vec_id"]))
+    return _six(topk.nearest_to(embeddings, QUESTION, id_columns=["vec_id", "label"]))
 
 
 @registered(_topk_sql("WHERE label = 3"))
 def hybrid_topk(spark, sf):
     embeddings = table(spark, sf, "embeddings").where(F.col("label") == 3)
-    return _six(topk.nearest_to(embeddings, QUESTION, id_columns=["vec_id"]))
+    return _six(topk.nearest_to(embeddings, QUESTION, id_columns=["vec_id", "label"]))
 
 
 def _as_questions(spark, sf):
@@ -203,7 +212,7 @@ _MULTI_SQL = f"""
         FROM unit q, unit v),
     ranked AS (
         SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY d, vec_id) AS rank FROM pairs)
-    SELECT question_id, vec_id, abs(round(d, 6)) AS distance, rank FROM ranked WHERE rank <= {DEFAULT_TOP_K}"""
+    SELECT question_id, vec_id, abs(round(d, 6)) AS distance, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= {DEFAULT_TOP_K}"""
 
 
 @registered(_MULTI_SQL)
@@ -247,12 +256,38 @@ def ann_ivf_all_cells(spark, sf):
     return found.withColumn("distance", F.abs(F.round("distance", 6)))
 
 
+@registered(
+    f"""WITH unit AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        m AS (SELECT label, i, avg(v) AS a
+              FROM (SELECT label, unnest(e) AS v, generate_subscripts(e, 1) AS i FROM unit) GROUP BY ALL),
+        centres AS (SELECT label AS cell, list(a ORDER BY i) AS c FROM m GROUP BY label),
+        near AS (SELECT vec_id, e, cell, row_number() OVER (
+                     PARTITION BY vec_id ORDER BY list_cosine_distance(e, c), cell) AS n
+                 FROM unit, centres),
+        pairs AS (SELECT q.vec_id AS question_id, v.vec_id, round(list_cosine_distance(v.e, q.e), 9) AS d
+                  FROM near q JOIN near v ON q.cell = v.cell AND q.n <= 3 AND v.n = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY d, vec_id) AS rank FROM pairs)
+        SELECT question_id, vec_id, abs(round(d, 6)) AS distance, CAST(rank AS INT) AS rank
+        FROM ranked WHERE rank <= {DEFAULT_TOP_K}"""
+)
+def ann_ivf_by_label(spark, sf):
+    """Cells around given centres, here the mean vector of each label; three are probed."""
+    embeddings = table(spark, sf, "embeddings")
+    means = embeddings.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i")
+    rows = means.agg(F.avg("x").alias("x")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c"))
+    centres = np.array([[x for _, x in r["c"]] for r in rows.orderBy("label").limit(1000).collect()])
+    path = scratch_path(spark, "cells")
+    cells = ivf.build_cells(embeddings, path, width=WIDTH, id_columns=["vec_id"], centres=centres)
+    found = ivf.nearest_in_cells(cells, _as_questions(spark, sf), n_probe=3)
+    return found.withColumn("distance", F.abs(F.round("distance", 6)))
+
+
 @registered()
 def ann_lsh(spark, sf):
     return ivf.nearest_by_hashing(table(spark, sf, "embeddings"), QUESTION, id_columns=["vec_id"])
 
 
-@registered("SELECT vec_id, len(embedding) AS n_dims, true AS same FROM embeddings")
+@registered("SELECT vec_id, CAST(len(embedding) AS INT) AS n_dims, true AS same FROM embeddings")
 def vector_literal(spark, sf):
     """Encoding to text and back gives the same vector."""
     back = vectors.parse_vector(vectors.vector_literal("embedding"))
@@ -304,7 +339,7 @@ def _hash_sql(source: str, ids: str, text: str) -> str:
         "stock_documents",
         then=f"""
         SELECT sha256(source_table || chr(1) || source_id) AS embedding_id, source_table, source_id,
-               strlen(content) AS content_bytes, metadata,
+               CAST(strlen(content) AS INT) AS content_bytes, metadata,
                string_agg(bucket || ':' || CAST(CAST(w AS DECIMAL(10,5)) AS VARCHAR), ',' ORDER BY bucket) AS vector
         FROM {_hash_sql("stock_documents", "source_table, source_id", "content")}
         JOIN stock_documents USING (source_table, source_id)
@@ -370,7 +405,7 @@ _RETRIEVED = f"""
 _RETRIEVED = _RETRIEVED.replace("{{", "{").replace("}}", "}")
 
 
-@registered(f"WITH {_RETRIEVED} SELECT question_id, rank, source_table, source_id, chunk FROM chunks")
+@registered(f"WITH {_RETRIEVED} SELECT question_id, CAST(rank AS INT) AS rank, source_table, source_id, chunk FROM chunks")
 def context_chunks(spark, sf):
     chunks = context.context_chunks(_retrieved(spark, sf))
     return chunks.select("question_id", "rank", "source_table", "source_id", "chunk")
@@ -659,7 +694,7 @@ def _stream(spark, sf, name):
 @registered(
     with_views(
         "stock_documents",
-        then="SELECT source_table, source_id, strlen(content) AS content_bytes FROM stock_documents "
+        then="SELECT source_table, source_id, CAST(strlen(content) AS INT) AS content_bytes FROM stock_documents "
         "WHERE regexp_matches(content, '[^[:space:]]')",
     )
 )
