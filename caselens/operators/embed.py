@@ -10,15 +10,16 @@ from __future__ import annotations
 import hashlib
 import math
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from caselens.functions.text import has_content
-from caselens.operators.skew import missing_from
+from caselens.operators.skew import MAX_BROADCAST_KEYS, missing_from
 from caselens.schemas import DEFAULT_BATCH, EMBEDDINGS_KEY
 
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
@@ -44,9 +45,24 @@ def with_retries(call, attempts: int = MAX_ATTEMPTS, delay: float = FIRST_DELAY,
     return tried
 
 
-@lru_cache(maxsize=1 << 18)
-def _bucket(token: bytes, dimensions: int) -> int:
-    return int(hashlib.md5(token).hexdigest()[:8], 16) % dimensions
+class _Buckets(dict):
+    """token -> bucket, remembered while they are not too many."""
+
+    MOST = 1 << 20
+
+    def __init__(self, dimensions: int):
+        super().__init__()
+        self.dimensions = dimensions
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        number = int.from_bytes(hashlib.md5(token).digest()[:4], "big")
+        self[token] = bucket = number % self.dimensions
+        return bucket
+
+
+_KNOWN: dict[int, _Buckets] = {}  # kept from task to task
 
 
 class TokenHashEmbedder:
@@ -60,15 +76,17 @@ class TokenHashEmbedder:
         self.dimensions = dimensions
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        known = _KNOWN.setdefault(self.dimensions, _Buckets(self.dimensions))
         out = []
         for text in texts:
-            buckets = [_bucket(token, self.dimensions) for token in text.encode().split()]
-            counts = np.bincount(np.asarray(buckets, dtype="int64"), minlength=self.dimensions)
-            length = math.sqrt(float((counts * counts).sum())) or 1.0
+            tokens = Counter(text.encode().split())
+            buckets = np.fromiter(map(known.__getitem__, tokens), "int64", len(tokens))
+            times = np.fromiter(tokens.values(), "float64", len(tokens))
+            counts = np.bincount(buckets, times, self.dimensions)
+            length = math.sqrt(float(counts @ counts)) or 1.0
             out.append((counts / length).astype("float32"))
         return out
 
-
 def embed_texts(
     df: DataFrame,
     text: str,
@@ -80,24 +98,29 @@ def embed_texts(
 ) -> DataFrame:
     """Add ``embedding`` and ``embed_error``. Concurrency is the number of partitions."""
     call = with_retries(embedder, attempts, delay)
-    added = "embedding array<float>, embed_error string"
+    vector_type = pa.list_(pa.float32())
+    added = T.StructType().add("embedding", T.ArrayType(T.FloatType())).add("embed_error", "string")
 
-    def one_call(texts: list[str]) -> pd.DataFrame:
+    def one_call(texts: list[str]) -> tuple[list, list]:
         try:
-            vectors = list(call(texts))
+            vectors = [np.asarray(v, "float32") for v in call(texts)]
             if len(vectors) != len(texts):
                 raise ValueError(f"{len(texts)} texts gave {len(vectors)} vectors")
-            return pd.DataFrame({"embedding": vectors, "embed_error": None})
+            return vectors, [None] * len(texts)
         except Exception as error:  # reported per row
-            return pd.DataFrame({"embedding": [None] * len(texts), "embed_error": str(error)})
+            return [None] * len(texts), [str(error)] * len(texts)
 
-    @F.pandas_udf(added)
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(added)
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = batch.tolist()
-            parts = [one_call(texts[i : i + batch_size]) for i in range(0, len(texts), batch_size)]
-            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(
-                {"embedding": [], "embed_error": []}
+            vectors, errors = [], []
+            for at in range(0, len(batch), batch_size):
+                found, failed = one_call(batch.slice(at, batch_size).to_pylist())
+                vectors += found
+                errors += failed
+            yield pa.StructArray.from_arrays(
+                [pa.array(vectors, vector_type), pa.array(errors, pa.string())],
+                names=["embedding", "embed_error"],
             )
 
     return df.withColumn("_e", embed(F.col(text))).select(
@@ -116,14 +139,28 @@ def unembedded(documents: DataFrame, existing: DataFrame, key_rows: int | None =
 
 
 def one_per_key(documents: DataFrame) -> DataFrame:
-    """Each (source_table, source_id) once. Combined before the shuffle, so a key that
-    repeats very often costs no more than any other."""
+    """Each (source_table, source_id) once: of several rows the least by their values.
+
+    Keys that repeat are looked for first, by the keys alone. As a rule there are none or
+    few, and then the texts need not be sorted. Repeats are combined before any shuffle,
+    so a key that repeats very often costs no more than another.
+    """
     rest = [c for c in documents.columns if c not in EMBEDDINGS_KEY]
-    return (
-        documents.groupBy(*EMBEDDINGS_KEY)
-        .agg(F.min(F.struct(*rest)).alias("_row"))
-        .select(*EMBEDDINGS_KEY, *[F.col(f"_row.{c}").alias(c) for c in rest])
-    )
+
+    def least(rows: DataFrame) -> DataFrame:
+        kept = rows.groupBy(*EMBEDDINGS_KEY).agg(F.min(F.struct(*rest)).alias("_row"))
+        return kept.select(*EMBEDDINGS_KEY, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+    repeated = documents.groupBy(*EMBEDDINGS_KEY).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    repeated = repeated.select(*EMBEDDINGS_KEY)
+    n_repeated = repeated.count()
+    if n_repeated == 0:
+        return documents
+    if n_repeated > MAX_BROADCAST_KEYS:
+        return least(documents)
+    repeated = F.broadcast(repeated)
+    single = documents.join(repeated, EMBEDDINGS_KEY, "left_anti")
+    return single.unionByName(least(documents.join(repeated, EMBEDDINGS_KEY, "left_semi")))
 
 
 def embed_documents(
@@ -137,6 +174,8 @@ def embed_documents(
     todo = one_per_key(documents.where(has_content("content")))
     if existing is not None:
         todo = unembedded(todo, existing, key_rows)
+    # Embedding costs far more than moving the texts: spread them evenly over the tasks.
+    todo = todo.repartition(*EMBEDDINGS_KEY)
     return embed_texts(todo, "content", embedder, **options).select(
         embedding_id().alias("embedding_id"),
         "source_table",
