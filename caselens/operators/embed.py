@@ -45,6 +45,12 @@ def with_retries(call, attempts: int = MAX_ATTEMPTS, delay: float = FIRST_DELAY,
     return tried
 
 
+def once(function):
+    """A function Spark must not call a second time for a filter on its result, which it
+    would otherwise evaluate early on its own."""
+    return function.asNondeterministic()
+
+
 class _Buckets(dict):
     """token -> bucket, remembered while they are not too many."""
 
@@ -123,7 +129,7 @@ def embed_texts(
                 names=["embedding", "embed_error"],
             )
 
-    return df.withColumn("_e", embed(F.col(text))).select(
+    return df.withColumn("_e", once(embed)(F.col(text))).select(
         *df.columns, "_e.embedding", "_e.embed_error"
     )
 
@@ -174,8 +180,9 @@ def embed_documents(
     todo = one_per_key(documents.where(has_content("content")))
     if existing is not None:
         todo = unembedded(todo, existing, key_rows)
-    # Embedding costs far more than moving the texts: spread them evenly over the tasks.
-    todo = todo.repartition(*EMBEDDINGS_KEY)
+    # Embedding costs far more than moving the texts, so they are spread evenly over the
+    # tasks; by ranges of the key, so that each task has few source tables to write.
+    todo = todo.repartitionByRange(*EMBEDDINGS_KEY)
     return embed_texts(todo, "content", embedder, **options).select(
         embedding_id().alias("embedding_id"),
         "source_table",
@@ -222,7 +229,7 @@ def describe_images(
             rows = [one(n, c) for n, c in zip(names, contents)]
             yield pd.DataFrame(rows, columns=["description", "describe_error"])
 
-    return images.withColumn("_d", describe(F.col(path), F.col(content))).select(
+    return images.withColumn("_d", once(describe)(F.col(path), F.col(content))).select(
         *images.columns, "_d.description", "_d.describe_error"
     )
 
@@ -266,6 +273,6 @@ def batch_answer(
             rows = [answer_with_fallback(text, models) for text in batch]
             yield pd.DataFrame(rows, columns=schema.names, dtype=object)
 
-    return prompts.withColumn("_a", ask(F.col(prompt))).select(
+    return prompts.withColumn("_a", once(ask)(F.col(prompt))).select(
         *prompts.columns, "_a.answer", "_a.model_used", "_a.error"
     )

@@ -94,6 +94,15 @@ def test_only_new_documents_are_embedded(spark):
     assert rows[0].embedding_id in {r.embedding_id for r in again} and len(again) == 2
 
 
+def test_a_filter_on_the_result_does_not_call_the_model_again(spark):
+    docs = spark.createDataFrame([("a", "1", "one", "{}")], DOC)
+    kept = embed.embed_documents(docs, TokenHashEmbedder(4)).where("embedding is not null")
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    asked = embed.batch_answer(docs, [("m", str.upper)], prompt="content").where("error is null")
+    assert asked._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert asked.first().answer == "ONE"
+
+
 def test_token_hash():
     a, b, empty = TokenHashEmbedder(16)(["x y x", "y\tx\nx", " "])
     assert a.tolist() == b.tolist() and abs(float((a * a).sum()) - 1) < 1e-6
