@@ -13,7 +13,7 @@ PROMPT_INDENT = " " * 12
 PROMPT_HEADINGS = ("SEMANTIC RETRIEVAL CONTEXT:", "USER QUESTION:")
 
 DEFAULT_INSTRUCTIONS = (
-    "You are a hospital records assistant.",
+    "You answer questions about hospital records.",
     "",
     "Answer from the records below and from read-only SELECT queries on the record tables.",
     "Use SELECT queries for exact counts, sums, rankings and lookups.",
