@@ -745,16 +745,8 @@ def stream_request_status(spark, sf):
           AND s + INTERVAL {_HOURS} HOUR < (SELECT max(ts) FROM events_)"""
 )
 def stream_deadlines(spark, sf):
-    source = _frame_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    target = scratch_path(spark, "deadlines")
-    late = stream_status.stream_deadlines(source, seconds=_HOURS * 3600)
-    run = (
-        late.writeStream.outputMode("append")
-        .option("checkpointLocation", scratch_path(spark, "checkpoint"))
-        .trigger(availableNow=True)
-        .format("parquet")
-        .start(target)
-    )
+    target, checkpoint = scratch_path(spark, "deadlines"), scratch_path(spark, "checkpoint")
+    run = stream_status.stream_deadlines(_frame_stream(spark, sf), target, checkpoint, seconds=_HOURS * 3600)
     run.awaitTermination()
-    found = spark.read.schema(late.schema).parquet(target)
+    found = stream_status.read_deadlines(spark, target)
     return found.withColumn("started_at", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss"))

@@ -39,40 +39,42 @@ def statement(sql: Column | str) -> Column:
     return strip(F.regexp_replace(strip(sql), r";+\z", ""))
 
 
-def compat_reason(sql: Column | str) -> Column:
-    """Why the text is refused, or NULL if it may run."""
-    sql = F.col(sql) if isinstance(sql, str) else sql
-    text = F.lower(statement(sql))
+def _compat_reason(df: DataFrame, sql: str) -> tuple[DataFrame, Column]:
+    prepared = df.withColumn("_text", F.lower(statement(sql)))
     reason = F.when(F.coalesce(strip(sql), F.lit("")) == "", F.lit(EMPTY)).when(
-        ~text.startswith("select"), F.lit(NOT_SELECT)
+        ~F.col("_text").startswith("select"), F.lit(NOT_SELECT)
     )
     for word in FORBIDDEN:
-        reason = reason.when(F.contains(text, F.lit(word + " ")), F.lit(REFUSED.format(word=word)))
-    return reason
+        reason = reason.when(F.contains("_text", F.lit(word + " ")), F.lit(REFUSED.format(word=word)))
+    return prepared, reason
 
 
-def strict_reason(sql: Column | str) -> Column:
-    sql = F.col(sql) if isinstance(sql, str) else sql
+def _strict_reason(df: DataFrame, sql: str) -> tuple[DataFrame, Column]:
     unquoted = F.regexp_replace(F.coalesce(sql, F.lit("")), _QUOTED, " ")
     text = F.lower(strip(F.regexp_replace(strip(unquoted), r"(?:;\s*)+\z", "")))
-    bare = F.regexp_replace(text, _NAMED, " x ")
+    prepared = df.withColumn("_text", text).withColumn("_bare", F.regexp_replace("_text", _NAMED, " x "))
+    bare = F.col("_bare")
     reason = (
         F.when(bare == "", F.lit(EMPTY))
         .when(~bare.rlike(r"\A\(*\s*(?:select|with)\b"), F.lit(NOT_SELECT))
         .when(F.contains(bare, F.lit(";")), F.lit(SECOND_STATEMENT))
-        .when(text.rlike(_FILE), F.lit(FILE_READ))
+        .when(F.col("_text").rlike(_FILE), F.lit(FILE_READ))
     )
-    for word in FORBIDDEN:
-        reason = reason.when(bare.rlike(rf"\b{word}\b"), F.lit(REFUSED.format(word=word)))
-    for word in STRICT_FUNCTIONS:
-        reason = reason.when(bare.rlike(rf"\b{word}\s*\("), F.lit(REFUSED.format(word=word)))
-    return reason
+    words = rf"\b({'|'.join(FORBIDDEN)})\b"
+    calls = rf"\b({'|'.join(STRICT_FUNCTIONS)})\s*\("
+    for pattern in (words, calls):
+        before, after = REFUSED.split("{word}")
+        message = F.concat(F.lit(before), F.regexp_extract(bare, pattern, 1), F.lit(after))
+        reason = reason.when(bare.rlike(pattern), message)
+    return prepared, reason
 
 
 def sql_policy(queries: DataFrame, sql: str = "sql", strict: bool = False) -> DataFrame:
-    """Add ``allowed`` and ``reason`` to a table of SQL texts."""
-    reason = strict_reason(sql) if strict else compat_reason(sql)
-    return queries.withColumn("reason", reason).withColumn("allowed", F.col("reason").isNull())
+    """Add ``reason`` (why the text is refused, or NULL) and ``allowed`` to a table of SQL
+    texts."""
+    prepared, reason = (_strict_reason if strict else _compat_reason)(queries, sql)
+    judged = prepared.withColumn("reason", reason)
+    return judged.select(*queries.columns, "reason", F.col("reason").isNull().alias("allowed"))
 
 
 class Refused(ValueError):
@@ -81,11 +83,11 @@ class Refused(ValueError):
 
 def guarded_sql(spark: SparkSession, sql: str, strict: bool = False) -> DataFrame:
     """The whole result as a DataFrame, or :class:`Refused`."""
-    reason = strict_reason(F.lit(sql)) if strict else compat_reason(F.lit(sql))
-    refused, text = spark.range(1).select(reason, statement(F.lit(sql))).first()
-    if refused:
-        raise Refused(refused)
-    return spark.sql(text)
+    asked = spark.range(1).select(F.lit(sql).alias("sql"))
+    judged = sql_policy(asked, strict=strict).withColumn("text", statement("sql")).first()
+    if not judged["allowed"]:
+        raise Refused(judged["reason"])
+    return spark.sql(judged["text"])
 
 
 def distinct_names(df: DataFrame) -> DataFrame:

@@ -15,24 +15,23 @@ def frame(event: Column) -> Column:
     return F.concat(F.lit(PREFIX + " "), F.to_json(event))
 
 
-def payload(raw: Column | str) -> Column:
-    """The JSON text of the first line that starts with ``data:``; NULL without one.
-    Bytes that are not UTF-8 become replacement characters."""
+def data_line(raw: Column | str) -> Column:
+    """The first line that starts with ``data:``, or empty text. Bytes that are not UTF-8
+    become replacement characters."""
     raw = F.col(raw) if isinstance(raw, str) else raw
-    text = F.make_valid_utf8(raw)
-    return F.when(
-        text.rlike("(?md)^data:"), F.trim(F.regexp_extract(text, r"(?md)^data:(.*?)\r?$", 1))
-    )
+    return F.regexp_extract(F.make_valid_utf8(raw), r"(?md)^data:.*$", 0)
 
 
 def parse_frames(df: DataFrame, raw: str = "frame", extra: str = "") -> DataFrame:
     """Add type, text, message and ``malformed`` (the data line is not JSON); rows
     without a data line are left out. ``extra`` names further JSON fields, as DDL."""
     schema = ", ".join(filter(None, [EVENT_SCHEMA, extra, "_bad string"]))
-    event = F.from_json("_payload", schema, {"columnNameOfCorruptRecord": "_bad"})
-    parsed = df.withColumn("_payload", payload(raw)).where(F.col("_payload").isNotNull())
+    payload = F.trim(F.substr("_line", F.lit(len(PREFIX) + 1)), F.lit(" \t\r"))
+    event = F.from_json(payload, schema, {"columnNameOfCorruptRecord": "_bad"})
     return (
-        parsed.withColumn("_event", event)
+        df.withColumn("_line", data_line(raw))
+        .where(F.col("_line") != "")
+        .withColumn("_event", event)
         .withColumn("malformed", F.col("_event").isNull() | F.col("_event._bad").isNotNull())
         .select(*df.columns, "_event.*", "malformed")
         .drop("_bad")

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from caselens.operators.events import (
     DEADLINE_SECONDS,
@@ -50,67 +46,59 @@ def read_request_status(spark: SparkSession, target: str, request: str = "reques
 
 def stream_deadlines(
     events: DataFrame,
+    target: str,
+    checkpoint: str,
     request: str = "request_id",
     *,
     seconds: int = DEADLINE_SECONDS,
-    lateness: str = "0 seconds",
-) -> DataFrame:
-    """(request, started_at, message): a row for each request that has not ended when
-    event time passes its deadline, and for each whose end comes after it.
-
-    Needs ``ts`` as a timestamp. Before they reach the state, the rows of each Arrow batch
-    are reduced to one per request, so a request that sends most events does not send them
-    all to one task. State is dropped when event time passes the deadline.
+    retention: str = "1 day",
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Report each request that has not ended when event time passes its deadline, once.
+
+    Needs a column ``ts``. Each micro-batch is reduced to one row per request, merged with
+    the requests known so far, and written as the known requests of that batch, so a batch
+    that runs again starts from the one before it and replaces its own folders. Requests
+    are known until event time is ``retention`` past both their last event and deadline.
     """
-    kind = events.schema[request].dataType.simpleString()
-    reduced = f"{request} {kind}, ts timestamp, first_ts timestamp, ended_ts timestamp"
-
-    def reduce_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            ended = rows["ts"].where(rows["type"].isin(["done", "error"]))
-            yield (
-                rows.assign(ended_ts=ended)
-                .groupby(request, as_index=False)
-                .agg(ts=("ts", "max"), first_ts=("ts", "min"), ended_ts=("ended_ts", "min"))
-            )
-
-    message = TIMED_OUT.format(seconds=seconds)
-    limit = pd.Timedelta(seconds=seconds)
-    output = f"{request} {kind}, started_at timestamp, message string"
-    columns = [request, "started_at", "message"]
-
-    def watch(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def late(start: int) -> pd.DataFrame:
-            return pd.DataFrame([(key[0], pd.Timestamp(start, unit="us"), message)], columns=columns)
-
-        if state.hasTimedOut:
-            start, settled = state.get
-            state.remove()
-            if not settled:
-                yield late(start)
-            return
-        start, settled = state.get if state.exists else (None, False)
-        ended = None
-        for part in parts:
-            first = part["first_ts"].min().value // 1000
-            start = first if start is None else min(start, first)
-            if part["ended_ts"].notna().any():
-                end = part["ended_ts"].min().value // 1000
-                ended = end if ended is None else min(ended, end)
-        if ended is not None and not settled:
-            settled = True
-            if ended - start > limit.value // 1000:
-                yield late(start)
-        state.update((start, settled))
-        due = start // 1000 + int(limit.total_seconds() * 1000)
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-
-    return (
-        events.select(request, "type", "ts")
-        .mapInPandas(reduce_batch, reduced)
-        .withWatermark("ts", lateness)
-        .groupBy(request)
-        .applyInPandasWithState(
-            watch, output, "start long, settled boolean", "append", GroupStateTimeout.EventTimeTimeout
+
+    def known_after(batch_id: int) -> str:
+        return f"{target}/known/batch={batch_id}"
+
+    def watch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        ended = F.min(F.when(F.col("type").isin("done", "error"), F.col("ts")))
+        requests = batch.groupBy(request).agg(
+            F.min("ts").alias("started_at"), F.max("ts").alias("last_at"), ended.alias("ended_at")
+        )
+        requests = requests.withColumn("reported", F.lit(False))
+        if batch_id > 0:
+            before = spark.read.parquet(known_after(batch_id - 1)).drop("late")
+            requests = requests.unionByName(before)
+        merged = requests.groupBy(request).agg(
+            F.min("started_at").alias("started_at"),
+            F.max("last_at").alias("last_at"),
+            F.min("ended_at").alias("ended_at"),
+            F.max("reported").alias("reported"),
         )
-    )
+        now = merged.agg(F.max("last_at")).scalar()
+        deadline = F.col("started_at") + F.expr(f"interval {int(seconds)} seconds")
+        unended = F.col("ended_at").isNull() | (F.col("ended_at") > deadline)
+        late = ~F.col("reported") & unended & (now > deadline)
+        until = F.greatest(F.col("last_at"), deadline) + F.expr(f"interval {retention}")
+        state = merged.withColumn("late", late).withColumn("reported", F.col("reported") | F.col("late"))
+        state = state.where(F.col("late") | (until >= now))
+        state.write.mode("overwrite").parquet(known_after(batch_id))
+        spark.read.parquet(known_after(batch_id)).where("late").select(
+            request, "started_at", F.lit(TIMED_OUT.format(seconds=seconds)).alias("message")
+        ).write.mode("overwrite").parquet(f"{target}/late/batch={batch_id}")
+
+    writer = events.writeStream.foreachBatch(watch).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def read_deadlines(spark: SparkSession, target: str) -> DataFrame:
+    """(request, started_at, message) of the requests that missed their deadline so far."""
+    return spark.read.parquet(f"{target}/late").drop("batch")

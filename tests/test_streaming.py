@@ -68,18 +68,27 @@ def test_status_equals_batch(spark, tmp_path):
     assert found.where("request_id = 'bad'").first().message == "first"
 
 
-def test_deadlines_equal_batch(spark, tmp_path):
+def late_requests(spark, tmp_path, **options):
     stream = stored(spark, str(tmp_path / "events"))
     target = str(tmp_path / "late")
-    late = stream_status.stream_deadlines(stream, seconds=120)
-    late.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(
-        availableNow=True
-    ).format("parquet").start(target).awaitTermination()
-    found = {(r.request_id, r.started_at, r.message) for r in spark.read.schema(late.schema).parquet(target).collect()}
+    stream_status.stream_deadlines(stream, target, str(tmp_path / "checkpoint"), **options).awaitTermination()
+    return stream_status.read_deadlines(spark, target).collect()
+
+
+def test_deadlines_equal_batch(spark, tmp_path):
+    found = late_requests(spark, tmp_path, seconds=100)
     events = spark.read.parquet(str(tmp_path / "events"))
-    batch = E.request_deadline(events, seconds=120, as_of=F.lit(START + dt.timedelta(seconds=300)))
+    batch = E.request_deadline(events, seconds=100, as_of=F.lit(START + dt.timedelta(seconds=300)))
     wanted = {(r.request_id, r.started_at, r.message) for r in batch.where("timed_out").collect()}
-    assert found == wanted and {f[0] for f in found} == {"slow"}
+    assert {tuple(r) for r in found} == wanted and len(found) == len(wanted)  # each once
+    assert {r.request_id for r in found} == {"slow", "tie"}
+
+
+def test_old_requests_are_forgotten(spark, tmp_path):
+    late_requests(spark, tmp_path, seconds=10, retention="30 seconds")
+    known = [spark.read.parquet(str(tmp_path / "late" / "known" / f"batch={i}")) for i in range(5)]
+    assert {r.request_id for r in known[1].collect()} == {"fine", "slow", "bad", "tie"}
+    assert {r.request_id for r in known[4].collect()} == {"open", "last"}
 
 
 def test_frames_as_a_stream(spark, tmp_path):
