@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caselens.operators import context, documents, embed, topk
 from caselens.operators.quality import check_record_tables
 from caselens.schemas import DEFAULT_TOP_K, RECORD_TABLES
+from caselens.scratch import write_and_reread
 from caselens.sources import csv_tables, images, vector_store
 
 KEYS = ["source_table", "source_id"]
@@ -65,6 +66,12 @@ def ingest(
     return vector_store.read_vectors(spark, store), check_record_tables(tables)
 
 
+def embed_questions(questions: DataFrame, embedder: embed.Embedder, **options) -> DataFrame:
+    """``questions`` (question_id, question) with embedding and embed_error, stored so that
+    each question is embedded once."""
+    return write_and_reread(embed.embed_texts(questions, "question", embedder, **options), "questions")
+
+
 def retrieve(
     questions: DataFrame,
     store: DataFrame,
@@ -74,12 +81,15 @@ def retrieve(
     k: int = DEFAULT_TOP_K,
     **options,
 ) -> DataFrame:
-    """``questions`` (question_id, question) -> (question_id, source_table, source_id,
-    distance, rank, content, metadata). A filter on ``store`` applies before the search."""
-    asked = embed.embed_texts(questions, "question", embedder, **options)
+    """``questions`` -> (question_id, source_table, source_id, distance, rank, content,
+    metadata). A filter on ``store`` applies before the search. Questions may come with
+    their embedding; those without one find nothing."""
+    if "embedding" not in questions.columns:
+        questions = embed_questions(questions, embedder, **options)
+    asked = questions.where(F.col("embedding").isNotNull())
     best = topk.nearest(store, asked, k, width=width)
     contents = store.select(*KEYS, "content", "metadata")
-    return topk.fetch(best, contents, KEYS, questions.count() * k)
+    return topk.fetch(best, contents, KEYS, asked.count() * k)
 
 
 def prompts(questions: DataFrame, retrieved: DataFrame, **options) -> DataFrame:
@@ -96,7 +106,21 @@ def answer(
     *,
     width: int,
     k: int = DEFAULT_TOP_K,
+    **options,
 ) -> DataFrame:
-    """(question_id, question, answer, model_used, error)"""
-    asked = prompts(questions, retrieve(questions, store, embedder, width=width, k=k))
-    return embed.batch_answer(asked, models).drop("prompt")
+    """(question_id, question, answer, model_used, error). A question that could not be
+    embedded is not asked; its error says why. ``options`` go to the embedding calls."""
+    embedded = embed_questions(questions.select("question_id", "question"), embedder, **options)
+    ready = embedded.where(F.col("embedding").isNotNull())
+    found = retrieve(ready, store, embedder, width=width, k=k)
+    asked = prompts(ready.select("question_id", "question"), found)
+    answers = embed.batch_answer(asked, models).drop("prompt")
+    nothing = F.lit(None).cast("string")
+    failed = embedded.where(F.col("embedding").isNull()).select(
+        "question_id",
+        "question",
+        nothing.alias("answer"),
+        nothing.alias("model_used"),
+        F.col("embed_error").alias("error"),
+    )
+    return answers.unionByName(failed)

@@ -528,7 +528,7 @@ def sql_policy(spark, sf):
         SELECT c.table_name, CAST(c.ordinal_position AS INT) AS position, c.column_name,
                CASE c.data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string'
                     WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT[]' THEN 'array<float>'
-                    WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE c.data_type END AS column_type, n.n_rows
+                    ELSE CASE WHEN c.data_type LIKE 'TIMESTAMP%' THEN 'timestamp_ntz' ELSE c.data_type END END AS column_type, n.n_rows
         FROM information_schema.columns c JOIN n ON n.table_name = c.table_name"""
 )
 def schema_catalog(spark, sf):

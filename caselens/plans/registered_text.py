@@ -6,6 +6,8 @@ import hashlib
 import math
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from caselens.functions import links, logs, paths, vectors
@@ -273,9 +275,10 @@ def ann_ivf_all_cells(spark, sf):
 def ann_ivf_by_label(spark, sf):
     """Cells around given centres, here the mean vector of each label; three are probed."""
     embeddings = table(spark, sf, "embeddings")
-    means = embeddings.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i")
-    rows = means.agg(F.avg("x").alias("x")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c"))
-    centres = np.array([[x for _, x in r["c"]] for r in rows.orderBy("label").limit(1000).collect()])
+    means = embeddings.groupBy("label").agg(Summarizer.mean(array_to_vector("embedding")).alias("c"))
+    if means.count() * WIDTH * 8 > topk.MAX_BROADCAST_BYTES:
+        raise ValueError("too many labels to hold their means")
+    centres = np.array([r["c"].toArray() for r in means.orderBy("label").collect()])
     path = scratch_path(spark, "cells")
     cells = ivf.build_cells(embeddings, path, width=WIDTH, id_columns=["vec_id"], centres=centres)
     found = ivf.nearest_in_cells(cells, _as_questions(spark, sf), n_probe=3)

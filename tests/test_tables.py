@@ -121,6 +121,12 @@ def test_ingest_and_ask(spark, csv_dir, tmp_path):
     answer = plan.answer(questions, store, embedder, models, width=32, k=3).first()
     assert (answer.answer, answer.model_used, answer.error) == ("B2", "m", None)
 
+    def silent(texts):
+        raise RuntimeError("no model")
+
+    lost = plan.answer(questions, store, silent, models, width=32, attempts=1).collect()
+    assert [(r.question_id, r.answer, r.error) for r in lost] == [("q1", None, "no model")]
+
 
 def test_only_the_folder_of_a_source_is_read(spark, tmp_path):
     rows = [("a", "1", "x", [1.0]), ("b", "1", "y", [2.0])]
