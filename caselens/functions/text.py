@@ -12,6 +12,11 @@ PYTHON_SPACE = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
 
+# Fixed value: the same characters.
+PYTHON_SPACE_CHARS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + (
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 
 def as_text(column: Column | str) -> Column:
     """The value as text, NULL as ``None``."""
@@ -38,7 +43,7 @@ def has_content(column: Column | str) -> Column:
 
 def strip(column: Column | str) -> Column:
     column = F.col(column) if isinstance(column, str) else column
-    return F.regexp_replace(column, rf"\A[{PYTHON_SPACE}]+|[{PYTHON_SPACE}]+\z", "")
+    return F.trim(column, F.lit(PYTHON_SPACE_CHARS))
 
 
 def metadata_json(df: DataFrame, fields: dict[str, str]) -> Column:

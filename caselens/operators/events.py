@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from caselens.functions.text import PYTHON_SPACE
+from caselens.functions.text import PYTHON_SPACE_CHARS
 from caselens.operators.ordered import SPAN, running_total, with_next
 from caselens.operators.skew import skew_join
 from caselens.scratch import write_and_reread
@@ -105,8 +105,9 @@ def answer_split(
         .select(request, "page", "_block", "p.*")
         .where(F.length("text") > 0)
     )
-    lead = F.length(F.regexp_extract("text", rf"\A[{PYTHON_SPACE}]*", 0))
-    trail = F.length(F.regexp_extract("text", rf"[{PYTHON_SPACE}]*\z", 0))
+    space = F.lit(PYTHON_SPACE_CHARS)
+    lead = F.length("text") - F.length(F.ltrim("text", space))
+    trail = F.length("text") - F.length(F.rtrim("text", space))
     inked = F.length("text") > lead
     edges = pieces.groupBy(request, "part").agg(
         F.min(F.when(inked, F.col("at") + lead)).alias("_from"),

@@ -26,7 +26,10 @@ SECOND_STATEMENT = "Only one statement is allowed."
 FILE_READ = "Reading files by path is not allowed."
 
 # Single-quoted, double-quoted and back-quoted text, and both kinds of comment.
-_QUOTED = r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|--[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/"""
+_QUOTED = (
+    r"""'[^'\\]*+(?:(?:\\[\s\S]|'')[^'\\]*+)*+'|"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+\""""
+    r"""|--[^\n]*|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"""
+)
 _NAMED = r"`[^`]*`"
 _FILE = r"(?i)\b(?:parquet|orc|csv|json|text|avro|xml|binaryfile|delta)\s*\.\s*`"
 

@@ -40,6 +40,18 @@ def test_policies(spark):
     assert S.sql_policy(missing, strict=True).first().reason == S.EMPTY
 
 
+def test_long_texts(spark):
+    long = [
+        "SELECT '" + "x" * 300_000 + " drop table' AS a",
+        "SELECT '" + "it''s " * 30_000 + "' AS a",
+        "SELECT /*" + " * " * 30_000 + "*/ 1",
+        "SELECT 1" + " " * 300_000 + "AS a",
+    ]
+    df = spark.createDataFrame([(t,) for t in long], "sql string")
+    assert all(r.allowed for r in S.sql_policy(df, strict=True).collect())
+    assert sum(r.allowed for r in S.sql_policy(df).collect()) == 3
+
+
 def test_envelope(spark):
     spark.createDataFrame([("D1", "Oncology"), ("D2", None)], "doctor_id string, spec string").createOrReplaceTempView("docs")
     found = S.execute_sql(spark, "SELECT doctor_id, spec, DATE '2024-01-02' AS day, 1.50 AS cost FROM docs ORDER BY 1;")
