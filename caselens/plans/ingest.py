@@ -61,7 +61,7 @@ def ingest(
     tables = load_tables(spark, csv_dir, target)
     new = table_documents(tables, images.read_images(spark, csv_dir), describer, **options)
     store = f"{target}/embeddings"
-    embedded = embed.embed_documents(new, embedder, vector_store.read_vectors(spark, store), **options)
+    embedded = embed.embed_documents(new, embedder, vector_store.stored_vectors(spark, store), **options)
     vector_store.append_vectors(embedded, store)
     return vector_store.read_vectors(spark, store), check_record_tables(tables)
 

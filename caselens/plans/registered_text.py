@@ -354,7 +354,7 @@ def embed_documents(spark, sf):
     target = scratch_path(spark, "vectors")
     stock = view(spark, sf, "stock_documents")
     for _ in range(2):
-        existing = vector_store.read_vectors(spark, target)
+        existing = vector_store.stored_vectors(spark, target)
         vector_store.append_vectors(embed.embed_documents(stock, EMBEDDER, existing), target)
     entries = F.transform("embedding", lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     shown = F.transform(

@@ -67,19 +67,25 @@ def read_record_table(spark: SparkSession, path: str, table: str) -> tuple[DataF
 def append_new(df: DataFrame, path: str, key: list[str]) -> None:
     """Append rows whose key the table at ``path`` does not hold yet, so a repeated run
     adds nothing."""
-    spark = df.sparkSession
-    new = missing_from(df, existing_table(spark, path, df.schema), key)
+    stored = stored_table(df.sparkSession, path, df.schema)
+    new = df if stored is None else missing_from(df, stored, key)
     new.select(*df.columns).write.mode("append").parquet(path)
 
 
-def existing_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table at ``path``, or an empty one if nothing was written yet."""
+def stored_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """The table at ``path``, or None if nothing was written yet."""
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return None
+
+
+def existing_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table at ``path``, empty if nothing was written yet."""
+    stored = stored_table(spark, path, schema)
+    return spark.createDataFrame([], schema) if stored is None else stored
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:

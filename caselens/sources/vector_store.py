@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caselens.schemas import EMBEDDINGS_SCHEMA
-from caselens.sources.csv_tables import existing_table
+from caselens.sources.csv_tables import existing_table, stored_table
+
+
+def stored_vectors(spark: SparkSession, path: str) -> DataFrame | None:
+    """The vector table, or None if nothing was written yet: then there is nothing to
+    compare new documents with."""
+    return stored_table(spark, path, EMBEDDINGS_SCHEMA)
 
 
 def read_vectors(spark: SparkSession, path: str, source_table: str | None = None) -> DataFrame:

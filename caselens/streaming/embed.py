@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from caselens.operators.embed import Embedder, embed_documents
-from caselens.sources.vector_store import append_vectors, read_vectors
+from caselens.sources.vector_store import append_vectors, stored_vectors
 
 
 def stream_embed(
@@ -27,7 +27,7 @@ def stream_embed(
     def add(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         key_rows = batch.count()
-        new = embed_documents(batch, embedder, read_vectors(spark, target), key_rows, **options)
+        new = embed_documents(batch, embedder, stored_vectors(spark, target), key_rows, **options)
         append_vectors(new, target)
 
     writer = documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
