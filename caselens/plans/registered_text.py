@@ -492,6 +492,44 @@ def batch_answer(spark, sf):
     return embed.batch_answer(asked, MODELS, prompt="text").drop("role", "text")
 
 
+@registered(
+    f"""WITH {_RETRIEVED}{_CONTEXT}, prompts AS ({_PROMPTS_SQL}),
+        p AS (SELECT *, CAST('0x' || substr(md5(prompt), 1, 8) AS BIGINT) % 10 AS s FROM prompts)
+        SELECT question_id, question,
+               CASE WHEN s < 4 THEN 'first: ' || strlen(prompt) WHEN s IN (5, 6) THEN 'second: ' || strlen(prompt)
+                    WHEN s = 7 THEN 'third: ' || strlen(prompt) END AS answer,
+               CASE WHEN s <= 4 THEN 'first' WHEN s IN (5, 6) THEN 'second' WHEN s IN (7, 8) THEN 'third' END
+                   AS model_used,
+               CASE s WHEN 4 THEN 'refused' WHEN 8 THEN 'broken' END AS error
+        FROM p"""
+)
+def answer_questions(spark, sf):
+    """From questions to answers: embed, retrieve, assemble the prompt, ask."""
+    return ingest.answer(view(spark, sf, "questions"), _store(spark, sf), EMBEDDER, MODELS, width=WIDTH)
+
+
+@registered(
+    with_views(
+        *_DOCS,
+        then=f"""
+        SELECT source_table, count(*) AS n_vectors, CAST(sum(strlen(content)) AS BIGINT) AS content_bytes,
+               CAST(sum(strlen(metadata)) AS BIGINT) AS metadata_bytes
+        FROM ({" UNION ALL ".join(_DOCS.values())}) GROUP BY source_table""",
+    )
+)
+def ingest_records(spark, sf):
+    """The documents of all record tables, embedded and stored; what the table then holds."""
+    target = scratch_path(spark, "vectors")
+    records = documents.all_documents(*[_documents(spark, sf, name) for name in _DOCS])
+    vector_store.append_vectors(embed.embed_documents(records, EMBEDDER), target)
+    stored = vector_store.read_vectors(spark, target).where(F.size("embedding") == WIDTH)
+    return stored.groupBy("source_table").agg(
+        F.countDistinct("embedding_id").alias("n_vectors"),
+        F.sum(F.octet_length("content")).alias("content_bytes"),
+        F.sum(F.octet_length("metadata")).alias("metadata_bytes"),
+    )
+
+
 # ---- events ---------------------------------------------------------------------------
 
 _PAYLOAD = r"regexp_extract(frame, '(?m)^data:(.*)$', 1)"
