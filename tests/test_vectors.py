@@ -104,7 +104,8 @@ def test_fewer_than_k(spark):
 
 def test_filter_comes_before_the_cut(spark):
     df = records(spark, random_rows(200)).withColumn("kind", F.col("source_id").cast("int") % 10)
-    found = topk.nearest_to(df.where("kind = 3"), [1.0] * 8, 15)
+    ids = ["source_table", "source_id", "kind"]
+    found = topk.nearest_to(df.where("kind = 3"), [1.0] * 8, 15, id_columns=ids)
     assert found.count() == 15 and found.where("kind <> 3").count() == 0
 
 
