@@ -12,7 +12,7 @@ from caselens.operators import analytics, documents, quality
 from caselens.operators.embed import unembedded
 from caselens.operators.skew import skew_join
 from caselens.plans import sql_tool
-from caselens.plans.standins import TABLES, duckdb_view, table, view, with_views
+from caselens.plans.standins import TABLES, table, view, with_views
 from caselens.schemas import RECORD_TABLES
 from caselens.scratch import scratch_path
 from caselens.sources import csv_tables, images

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import pathlib
 
 from pyspark.sql import functions as F
 
@@ -53,8 +54,7 @@ FILES = [
 def stored(spark, folder):
     for rows in FILES:
         put(spark, folder, rows, EVENT)
-    files = sorted(p for p in __import__("pathlib").Path(folder).glob("*.parquet"))
-    assert len(files) == len(FILES)
+    assert len(list(pathlib.Path(folder).glob("*.parquet"))) == len(FILES)
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(folder)
 
 

@@ -1,8 +1,7 @@
-import datetime as dt
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from caselens.operators import analytics as A, quality as Q
 from caselens.operators.embed import TokenHashEmbedder
@@ -82,8 +81,6 @@ def test_rejects(spark, csv_dir):
 
 def test_renamed_and_missing_columns(spark, csv_dir):
     schema = RECORD_TABLES["doctors"].schema["doctor_id"], RECORD_TABLES["doctors"].schema["email"]
-    from pyspark.sql import types as T
-
     rows, _ = csv_tables.read_csv(spark, f"{csv_dir}/doctors.csv", T.StructType(list(schema)), {"doctor_id": "email", "email": "doctor_id"})
     assert rows.first().doctor_id == "a@x.org"
     with pytest.raises(ValueError, match="no column"):
