@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-from caselens.llm import op9_decontamination, op10_exact_dedup
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from caselens.llm import (
+    op1_sharding as slots,
+    op2_token_files as token_files,
+    op5_pii as pii,
+    op7_jaccard_join as jaccard_join,
+    op8_mixing as mixing,
+    op9_decontamination as decontamination,
+    op10_exact_dedup as exact_dedup,
+)
 
 QUERIES, ORACLES = {}, {}
 
@@ -47,7 +56,7 @@ FROM docs d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN named ON d.doc_
 @registered(OP9_SQL)
 def op9_decontaminate(spark, sf):
     docs, benchmark = read(spark, sf, "documents"), read(spark, sf, "benchmark")
-    return op9_decontamination.digest(op9_decontamination.contamination(docs, benchmark))
+    return decontamination.digest(decontamination.contamination(docs, benchmark))
 
 
 OP10_SQL = """
@@ -60,4 +69,51 @@ FROM n
 
 @registered(OP10_SQL)
 def op10_exact_copies(spark, sf):
-    return op10_exact_dedup.exact_groups(read(spark, sf, "documents"))
+    return exact_dedup.exact_groups(read(spark, sf, "documents"))
+
+
+@registered()
+def op1_sharding(spark, sf):
+    placed = slots.shard(read(spark, sf, "documents"), shards=40)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"
+    )
+
+
+@registered()
+def op2_token_files(spark, sf):
+    return token_files.round_trip(read(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@registered()
+def op8_mixing(spark, sf):
+    mixed = mixing.mix(read(spark, sf, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@registered()
+def op5_pii(spark, sf):
+    return pii.digest(pii.find(read(spark, sf, "documents")))
+
+
+OP7_SQL = """
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x{20}\\x{09}-\\x{0D}]+') AS w FROM documents),
+     grams AS (SELECT DISTINCT doc_id, w[i : i + least(4, len(w)) - 1] AS g
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM words WHERE len(w) > 0)),
+     sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+     pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id
+        GROUP BY x.doc_id, y.doc_id),
+     links AS (SELECT a, b FROM pairs JOIN sizes s ON a = s.doc_id JOIN sizes t ON b = t.doc_id
+        WHERE 100 * pairs.n >= 85 * (s.n + t.n - pairs.n)),
+     reached AS (WITH RECURSIVE r(doc_id, node) AS (SELECT doc_id, doc_id FROM words
+            UNION SELECT r.doc_id, links.b FROM r JOIN links ON r.node = links.a) SELECT * FROM r)
+SELECT words.doc_id, coalesce(max(sizes.n), 0) AS n_shingles, min(reached.node) AS component_id
+FROM words LEFT JOIN sizes ON words.doc_id = sizes.doc_id JOIN reached ON words.doc_id = reached.doc_id
+GROUP BY words.doc_id
+"""
+
+
+@registered(OP7_SQL)
+def op7_jaccard_join(spark, sf):
+    return jaccard_join.near_groups(read(spark, sf, "documents"))
