@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from caselens.llm import (
     op1_sharding as slots,
     op2_token_files as token_files,
+    op3_suffix_dedup as suffix_dedup,
     op5_pii as pii,
     op7_jaccard_join as jaccard_join,
     op8_mixing as mixing,
@@ -117,3 +118,8 @@ GROUP BY words.doc_id
 @registered(OP7_SQL)
 def op7_jaccard_join(spark, sf):
     return jaccard_join.near_groups(read(spark, sf, "documents"))
+
+
+@registered()
+def op3_suffix_dedup(spark, sf):
+    return suffix_dedup.digest(suffix_dedup.removed(read(spark, sf, "documents")))
