@@ -9,6 +9,7 @@ from caselens.llm import (
     op1_sharding as slots,
     op2_token_files as token_files,
     op3_suffix_dedup as suffix_dedup,
+    op4_maxent_lm as maxent_lm,
     op5_pii as pii,
     op7_jaccard_join as jaccard_join,
     op8_mixing as mixing,
@@ -123,3 +124,8 @@ def op7_jaccard_join(spark, sf):
 @registered()
 def op3_suffix_dedup(spark, sf):
     return suffix_dedup.digest(suffix_dedup.removed(read(spark, sf, "documents")))
+
+
+@registered()
+def op4_maxent_lm(spark, sf):
+    return maxent_lm.score(read(spark, sf, "documents"))
