@@ -29,7 +29,8 @@ from caselens.scratch import write_and_reread
 BLOCK = 256
 MOST = 3
 ITEM = "struct<size:bigint,h:bigint,doc_id:bigint,p:double>"
-STATE = f"struct<done:array<struct<doc_id:bigint,size:bigint,extra:int>>,open:{ITEM}>"
+DONE = "array<struct<doc_id:bigint,size:bigint,h:bigint,extra:int>>"
+STATE = f"struct<done:{DONE},open:{ITEM}>"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -81,7 +82,7 @@ def _step(state: Column, x: Column) -> Column:
     rises = u * (up + down) < down
 
     def settled(which: Column, extra: int) -> Column:
-        row = F.struct(which["doc_id"].alias("doc_id"), which["size"].alias("size"), F.lit(extra).alias("extra"))
+        row = F.struct(which["doc_id"].alias("doc_id"), which["size"].alias("size"), which["h"].alias("h"), F.lit(extra).alias("extra"))
         return F.concat(state["done"], F.array(row))
 
     def left(which: Column, p: Column) -> Column:
@@ -103,7 +104,7 @@ def _step(state: Column, x: Column) -> Column:
 def _reduced(items: DataFrame) -> DataFrame:
     """One row per (source, block): what is settled, and the open document."""
     start = F.struct(
-        F.array().cast("array<struct<doc_id:bigint,size:bigint,extra:int>>").alias("done"),
+        F.array().cast(DONE).alias("done"),
         F.lit(None).cast(ITEM).alias("open"),
     ).cast(STATE)
     blocks = items.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.col("item")), asc=False).alias("_items"))
@@ -113,7 +114,8 @@ def _reduced(items: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken`` of all documents."""
+    """``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken`` words and
+    ``h``, a hash of id and text, of all documents."""
     rows = write_and_reread(sized(docs), "mix-sizes")
     aims = write_and_reread(targets(rows), "mix-targets")
     most_blocks = aims.agg(F.max(F.ceil(F.col("n") / BLOCK))).first()[0] or 0
@@ -132,11 +134,27 @@ def mix(docs: DataFrame) -> DataFrame:
             break
         most_blocks = -(-most_blocks // BLOCK)
         items = level.select("source", F.floor(F.col("block") / BLOCK).alias("block"), F.col("open").alias("item"))
-    last = level.select("source", "open.doc_id", "open.size", (F.col("open.p") >= 0.5).cast("int").alias("extra"))
-    wordless = rows.where("size = 0").select("source", "doc_id", "size", F.lit(0).alias("extra"))
+    last = level.select("source", "open.doc_id", "open.size", "open.h", (F.col("open.p") >= 0.5).cast("int").alias("extra"))
+    wordless = rows.where("size = 0").select("source", "doc_id", "size", "h", F.lit(0).alias("extra"))
     rounded = reduce(DataFrame.unionByName, [*settled, last, wordless])
     joined = rounded.alias("r").join(aims.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
     copies = F.when(F.col("size") > 0, F.floor(times) + F.col("extra")).otherwise(F.lit(0))
     return joined.select(
-        "doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", (copies * F.col("size")).cast("bigint").alias("taken")
-    )
+        "doc_id", F.col("r.source").alias("source"), "size", "source_size", "target",
+        copies.cast("int").alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"), "h",
+    )
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken, with its own columns."""
+    h = F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
+    times = write_and_reread(
+        mix(docs).groupBy("doc_id", "h").agg(F.sum("copies").cast("int").alias("_mix_times"), F.count(F.lit(1)).alias("_mix_rows")), "mix"
+    ).select(F.col("doc_id").alias("_mix_id"), F.col("h").alias("_mix_h"), "_mix_times", "_mix_rows")
+    rows = docs.withColumn("_mix_own", h)
+    if not times.where("_mix_rows > 1").isEmpty():  # rows alike in id and text share their copies
+        rows = rows.dropDuplicates(["doc_id", "_mix_own"])
+    taken = times.where("_mix_times > 0")
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_own") == F.col("_mix_h"))
+    joined = rows.join(taken, same)
+    return joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix_times")))).select(*docs.columns)

@@ -11,6 +11,7 @@ from caselens.llm import (
     op3_suffix_dedup as suffix_dedup,
     op4_maxent_lm as maxent_lm,
     op5_pii as pii,
+    op6_language_id as language_id,
     op7_jaccard_join as jaccard_join,
     op8_mixing as mixing,
     op9_decontamination as decontamination,
@@ -129,3 +130,15 @@ def op3_suffix_dedup(spark, sf):
 @registered()
 def op4_maxent_lm(spark, sf):
     return maxent_lm.score(read(spark, sf, "documents"))
+
+
+@registered()
+def op6_language_id(spark, sf):
+    evidence = language_id.document_evidence()
+    return language_id.identify(read(spark, sf, "documents"), ["doc_id"], **evidence)
+
+
+@registered()
+def pages_language(spark, sf):
+    """The same operator where markup and addresses are: ``pages``."""
+    return language_id.identify(read(spark, sf, "pages"), ["page_id"], **language_id.page_evidence())
