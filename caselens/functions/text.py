@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from decimal import Decimal
 from string import Formatter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Fixed value: the characters Python's str.strip() removes, as a regex class body.
@@ -12,10 +15,8 @@ PYTHON_SPACE = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
 
-# Fixed value: the same characters.
-PYTHON_SPACE_CHARS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + (
-    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-)
+# The same characters themselves.
+PYTHON_SPACE_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def as_text(column: Column | str) -> Column:
@@ -60,37 +61,40 @@ def metadata_json(df: DataFrame, fields: dict[str, str]) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
+def _number(text: str) -> int | float:
+    """A JSON number as a decimal column gives it back: ``1e3`` is 1000, ``1.50`` is 1.5."""
+    plain = format(Decimal(text), "f")
+    return float(plain) if "." in plain else int(plain)
+
+
+def _in_order(value):
+    """Keys by length, then bytes, at every depth: the order of a binary JSON column."""
+    if isinstance(value, dict):
+        return {k: _in_order(value[k]) for k in sorted(value, key=lambda k: (len(k.encode()), k.encode()))}
+    return [_in_order(v) for v in value] if isinstance(value, list) else value
+
+
+@F.arrow_udf(T.StringType())
+def _pretty(texts: pa.Array) -> pa.Array:
+    def one(text: str | None) -> str:
+        if text is None:
+            return "null"
+        try:
+            value = json.loads(text, parse_float=_number, parse_constant=_no_constant)
+        except ValueError:
+            value = text
+        return json.dumps(_in_order(value), indent=2, ensure_ascii=False)
+
+    return pa.array([one(t) for t in texts.to_pylist()], pa.string())
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
 def pretty_json(column: Column | str) -> Column:
-    """A flat JSON object on indented lines; text that is not JSON is quoted as it is."""
-    column = F.col(column) if isinstance(column, str) else column
-    parsed = F.try_parse_json(column)
-    entries = F.map_entries(F.from_json(column, "map<string,variant>"))
-    # sorting structs of (key length, key, line) gives the binary JSON key order
-    lines = F.transform(
-        entries,
-        lambda e: F.struct(
-            F.octet_length(e["key"]).alias("n"),
-            e["key"].alias("k"),
-            F.concat(
-                F.lit("  "),
-                F.to_json(F.to_variant_object(F.array(e["key"]))).substr(
-                    F.lit(2), F.length(F.to_json(F.to_variant_object(F.array(e["key"])))) - 2
-                ),
-                F.lit(": "),
-                F.coalesce(F.to_json(e["value"]), F.lit("null")),
-            ).alias("line"),
-        ),
-    )
-    body = F.array_join(F.transform(F.array_sort(lines), lambda e: e["line"]), ",\n")
-    is_object = F.schema_of_variant(parsed).startswith("OBJECT")
-    return (
-        F.when(column.isNull(), F.lit("null"))
-        .when(parsed.isNull(), F.to_json(F.to_variant_object(F.array(column))).substr(
-            F.lit(2), F.length(F.to_json(F.to_variant_object(F.array(column)))) - 2))
-        .when(~is_object, F.to_json(parsed))
-        .when(F.size(entries) == 0, F.lit("{}"))
-        .otherwise(F.concat(F.lit("{\n"), body, F.lit("\n}")))
-    )
+    """JSON on lines indented by two per depth; text that is not JSON is quoted as it is."""
+    return _pretty(F.col(column) if isinstance(column, str) else column)
 
 
 def rows_as_json(df: DataFrame, name: str = "row_json") -> Column:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F, types as T
 
 
@@ -42,14 +41,28 @@ def parse_vector(text: Column | str) -> Column:
     return F.from_json(text, "array<float>")
 
 
-@F.pandas_udf(T.BinaryType())
-def to_half(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a list column one after another, and the offsets of its rows."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    values = column.drop_null().flatten().to_numpy(zero_copy_only=False)
+    return values, np.concatenate([[0], np.cumsum(sizes)]).astype("int32")
+
+
+def _nulls(column: pa.Array) -> pa.Buffer:
+    return pc.is_valid(column).buffers()[1] if column.null_count else None
+
+
+@F.arrow_udf(T.BinaryType())
+def to_half(vectors: pa.Array) -> pa.Array:
     """Two bytes per component, little endian."""
-    for batch in vectors:
-        yield batch.map(lambda v: None if v is None else np.asarray(v, "<f2").tobytes())
+    values, offsets = _flat(vectors)
+    halves = pa.py_buffer(values.astype("<f2"))
+    return pa.Array.from_buffers(pa.binary(), len(vectors), [_nulls(vectors), pa.py_buffer(2 * offsets), halves])
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def from_half(packed: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in packed:
-        yield batch.map(lambda b: None if b is None else np.frombuffer(b, "<f2").astype("float32"))
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def from_half(packed: pa.Array) -> pa.Array:
+    sizes = pc.fill_null(pc.binary_length(packed), 0).to_numpy(zero_copy_only=False)
+    values = np.frombuffer(b"".join(packed.drop_null().to_pylist()), "<f2").astype("float32")
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("int32") // 2
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=packed.is_null() if packed.null_count else None)

@@ -90,7 +90,11 @@ def xray_documents(images: DataFrame, describer: Callable[[str, bytes], str], **
     """``images``: xray rows with the image bytes in ``content``. Images that could not
     be described have no text and are left out by the blank filter; see
     :func:`describe_images` for their errors."""
-    described = describe_images(images, describer, **options)
+    return described_documents(describe_images(images, describer, **options))
+
+
+def described_documents(described: DataFrame) -> DataFrame:
+    """``described``: xray rows with the ``description`` of their image."""
     return record_documents(described.where(F.col("description").isNotNull()), "xray")
 
 

@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from caselens.functions.text import has_content
-from caselens.operators.skew import MAX_BROADCAST_KEYS, missing_from
+from caselens.operators.skew import fits_broadcast, missing_from
 from caselens.schemas import DEFAULT_BATCH, EMBEDDINGS_KEY
+from caselens.scratch import write_and_reread
 
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 
@@ -93,6 +94,7 @@ class TokenHashEmbedder:
             out.append((counts / length).astype("float32"))
         return out
 
+
 def embed_texts(
     df: DataFrame,
     text: str,
@@ -139,9 +141,9 @@ def embedding_id() -> Column:
     return F.sha2(F.concat_ws("\u0001", "source_table", "source_id"), 256)
 
 
-def unembedded(documents: DataFrame, existing: DataFrame, key_rows: int | None = None) -> DataFrame:
+def unembedded(documents: DataFrame, existing: DataFrame) -> DataFrame:
     """Documents with content whose (source_table, source_id) has no vector yet."""
-    return missing_from(documents.where(has_content("content")), existing, EMBEDDINGS_KEY, key_rows)
+    return missing_from(documents.where(has_content("content")), existing, EMBEDDINGS_KEY)
 
 
 def one_per_key(documents: DataFrame) -> DataFrame:
@@ -158,11 +160,10 @@ def one_per_key(documents: DataFrame) -> DataFrame:
         return kept.select(*EMBEDDINGS_KEY, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
     repeated = documents.groupBy(*EMBEDDINGS_KEY).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    repeated = repeated.select(*EMBEDDINGS_KEY)
-    n_repeated = repeated.count()
-    if n_repeated == 0:
+    repeated = write_and_reread(repeated.select(*EMBEDDINGS_KEY), "repeated-keys")
+    if repeated.isEmpty():
         return documents
-    if n_repeated > MAX_BROADCAST_KEYS:
+    if not fits_broadcast(repeated):
         return least(documents)
     repeated = F.broadcast(repeated)
     single = documents.join(repeated, EMBEDDINGS_KEY, "left_anti")
@@ -173,13 +174,12 @@ def embed_documents(
     documents: DataFrame,
     embedder: Embedder,
     existing: DataFrame | None = None,
-    key_rows: int | None = None,
     **options,
 ) -> DataFrame:
     """Rows for the vector table: new documents only, each (source_table, source_id) once."""
     todo = one_per_key(documents.where(has_content("content")))
     if existing is not None:
-        todo = unembedded(todo, existing, key_rows)
+        todo = unembedded(todo, existing)
     # Embedding costs far more than moving the texts, so they are spread evenly over the
     # tasks; by ranges of the key, so that each task has few source tables to write.
     todo = todo.repartitionByRange(*EMBEDDINGS_KEY)
@@ -234,6 +234,38 @@ def describe_images(
     )
 
 
+def call_each(
+    df: DataFrame,
+    text: str,
+    make_call: Callable[[], Callable[[str], str]],
+    *,
+    attempts: int = MAX_ATTEMPTS,
+    delay: float = FIRST_DELAY,
+) -> DataFrame:
+    """Add ``result``, ``attempts`` (the calls it took) and ``error`` (the last one's, or NULL).
+    Each text has a callable of its own from ``make_call``."""
+
+    def one(value: str) -> tuple[str | None, int, str | None]:
+        made, call = 0, make_call()
+
+        def counted(x: str) -> str:
+            nonlocal made
+            made += 1
+            return call(x)
+
+        try:
+            return with_retries(counted, attempts, delay)(value), made, None
+        except Exception as error:  # reported per row
+            return None, made, str(error)
+
+    @F.pandas_udf("result string, attempts int, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([one(v) for v in batch], columns=["result", "attempts", "error"])
+
+    return df.withColumn("_r", once(run)(F.col(text))).select(*df.columns, "_r.result", "_r.attempts", "_r.error")
+
+
 class ModelError(Exception):
     """A request the model refused; ``code`` 429 means its quota is used up."""
 

@@ -7,6 +7,7 @@ cells gives the exact result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,18 +21,23 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from caselens.operators.topk import (
+    GRID_BYTES,
     MAX_BROADCAST_BYTES,
+    MAX_CELLS,
+    TASKS_PER_CORE,
     BestPerQuestion,
     finish,
     fits_broadcast,
     keep_best,
     matrix_of,
     result_schema,
+    scan_batches,
     score_block,
     small_tables,
     unit_rows,
 )
 from caselens.schemas import DEFAULT_TOP_K
+from caselens.scratch import write_and_reread
 
 
 @dataclass(frozen=True)
@@ -49,27 +55,34 @@ class Cells:
 
 
 def _nearest_cells(units: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
-    scores = np.nan_to_num(units @ unit_rows(centres).T, nan=-2.0)
-    return np.argsort(-scores, axis=1, kind="stable")[:, :n]
+    """The numbers of the n nearest centres of each row, nearest first; blocks of rows keep the
+    matrix of scores small."""
+    centre_units = unit_rows(centres)
+    step = max(1, MAX_CELLS // len(centres))
+    out = np.empty((len(units), n), "int64")
+    for at in range(0, len(units), step):
+        scores = np.nan_to_num(units[at : at + step] @ centre_units.T, nan=-2.0)
+        if n == 1:
+            out[at : at + step, 0] = scores.argmax(axis=1)
+        else:
+            out[at : at + step] = np.argsort(-scores, axis=1, kind="stable")[:, :n]
+    return out
+
+
+def default_cells(n_vectors: int, width: int) -> int:
+    """About the root of the number of vectors, as far as the centres can be sent to all tasks."""
+    return int(max(1, min(math.isqrt(max(1, n_vectors)), MAX_BROADCAST_BYTES // (8 * width))))
 
 
 def fit_centres(
-    vectors: DataFrame,
-    n_cells: int,
-    seed: int = 0,
-    max_iter: int = 20,
-    train_rows: int | None = None,
-    vector: str = "embedding",
+    vectors: DataFrame, n_cells: int, seed: int = 0, max_iter: int = 20, vector: str = "embedding"
 ) -> np.ndarray:
-    """k-means centres of unit vectors, fitted on about ``train_rows`` of them (4096 per
-    cell if not given)."""
+    """k-means centres of all unit vectors, fitted by Spark's distributed k-means."""
     known = vectors.where(F.col(vector).isNotNull())
-    share = (train_rows or 4096 * n_cells) / max(1, known.count())
-    training = known if share >= 1 else known.sample(share, seed=seed)
     units = Normalizer(inputCol="_raw", outputCol="_unit", p=2.0).transform(
-        training.select(array_to_vector(vector).alias("_raw"))
+        known.select(array_to_vector(vector).alias("_raw"))
     )
-    fitted = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="_unit").fit(units)
+    fitted = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="_unit").fit(units.select("_unit"))
     return np.array(fitted.clusterCenters())
 
 
@@ -78,22 +91,23 @@ def build_cells(
     path: str,
     *,
     width: int,
-    n_cells: int = 16,
+    n_cells: int | None = None,
     seed: int = 0,
     max_iter: int = 20,
     id_columns: list[str] | None = None,
     vector: str = "embedding",
-    train_rows: int | None = None,
     centres: np.ndarray | None = None,
 ) -> Cells:
-    """Store all vectors by the nearest of the ``centres``, which are fitted if not given.
+    """Store all vectors by the nearest of the ``centres``, which are fitted if not given, by
+    default as many as the root of the number of vectors.
 
     Spark splits a cell that holds most vectors over several writers and lets small cells
     share one.
     """
     id_columns = id_columns or ["source_table", "source_id"]
     if centres is None:
-        centres = fit_centres(vectors, n_cells, seed, max_iter, train_rows, vector)
+        n_cells = n_cells or default_cells(vectors.count(), width)
+        centres = fit_centres(vectors, n_cells, seed, max_iter, vector)
     if centres.shape[1] != width or centres.nbytes > MAX_BROADCAST_BYTES:
         raise ValueError("the centres have another width, or are too many to hold")
     shared = vectors.sparkSession.sparkContext.broadcast(centres)
@@ -123,32 +137,36 @@ def nearest_in_cells(
     question_id: str = "question_id",
     question_vector: str = "embedding",
     limit_bytes: int = MAX_BROADCAST_BYTES,
+    grid_rows: int | None = None,
 ) -> DataFrame:
-    """The k nearest records of each question among its ``n_probe`` nearest cells.
+    """The k nearest records of each question among its ``n_probe`` nearest cells. A question
+    without a vector finds nothing.
 
     Cells no question asks for are not read; within a cell only the questions that probe
-    it are scored.
+    it are scored. Questions beyond ``limit_bytes`` are sent to their cells instead of to
+    every executor.
     """
     spark = questions.sparkSession
     width = cells.centres.shape[1]
-    local = fits_broadcast(questions.select(question_id, question_vector), width, limit_bytes)
-    if local is None:
-        raise ValueError("too many questions at once: ask them in several calls, or use nearest()")
-    matrix, present = matrix_of(local[question_vector], width)
-    if not present.all():
-        raise ValueError("a question has no vector")
-    units = unit_rows(matrix)
-    probes = _nearest_cells(units, cells.centres, min(n_probe, len(cells.centres)))
-    by_cell = {int(c): np.flatnonzero((probes == c).any(axis=1)) for c in np.unique(probes)}
-    shared = spark.sparkContext.broadcast((units, local[question_id].combine_chunks(), by_cell))
-
+    n_probe = min(n_probe, len(cells.centres))
+    ids, vector = cells.id_columns, cells.vector
     stored = cells.read(spark)
-    schema = result_schema(stored, questions, question_id, cells.id_columns)
+    schema = result_schema(stored, questions, question_id, ids)
     arrow_schema = to_arrow_schema(schema)
-    ids, vector = cells.id_columns, cells.vector
+    questions = questions.select(question_id, question_vector).where(F.col(question_vector).isNotNull())
+    local = fits_broadcast(questions, width, limit_bytes)
+    if local is None:
+        candidates = _cell_grid(cells, stored, questions, question_id, question_vector, n_probe, k, schema, grid_rows)
+        return keep_best(candidates, question_id, ids, k)
+    units = unit_rows(matrix_of(local[question_vector], width)[0])
+    # (cell, question) in order of the cells: who asks a cell is a slice of the second
+    pairs = _nearest_cells(units, cells.centres, n_probe)
+    order = np.argsort(pairs, axis=None, kind="stable")
+    cell_of, who = pairs.ravel()[order], order // n_probe
+    shared = spark.sparkContext.broadcast((units, local[question_id].combine_chunks(), cell_of, who))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        question_units, names, asked = shared.value
+        question_units, names, cell_of, who = shared.value
         best = BestPerQuestion(len(question_units), ids, k)
         for table in small_tables(batches, width):
             table = table.sort_by([(c, "ascending") for c in ids])
@@ -156,15 +174,64 @@ def nearest_in_cells(
             rows, cell = unit_rows(rows), table["cell"].to_numpy()
             for number in np.unique(cell):
                 inside = np.flatnonzero(cell == number)
-                who = asked[int(number)]
-                scores = score_block(rows[inside], valid[inside], question_units[who])
-                best.offer(table.select(ids).take(pa.array(inside)), scores, who)
+                own = table.select(ids).take(pa.array(inside))
+                asked = who[np.searchsorted(cell_of, number) : np.searchsorted(cell_of, number, side="right")]
+                step = max(1, MAX_CELLS // len(inside))
+                for at in range(0, len(asked), step):
+                    some = asked[at : at + step]
+                    best.offer(own, score_block(rows[inside], valid[inside], question_units[some]), some)
         found = best.result()
         if found is not None:
             yield from finish(found, names, arrow_schema)
 
-    probed = stored.where(F.col("cell").isin(sorted(by_cell)))
-    return keep_best(probed.mapInArrow(scan, schema), question_id, ids, k)
+    probed = stored.where(F.col("cell").isin(np.unique(cell_of).tolist()))
+    cores = spark.sparkContext.defaultParallelism
+    return keep_best(probed.coalesce(TASKS_PER_CORE * cores).mapInArrow(scan, schema), question_id, ids, k)
+
+
+def _cell_grid(cells, stored, questions, question_id, question_vector, n_probe, k, schema, grid_rows):
+    """Questions are sent to their cells; each cell is a grid of groups with about ``grid_rows``
+    of its vectors and of its questions."""
+    spark = questions.sparkSession
+    width = cells.centres.shape[1]
+    grid_rows = grid_rows or max(1, GRID_BYTES // (8 * width))
+    shared = spark.sparkContext.broadcast(cells.centres)
+    asked_schema = T.StructType([*questions.schema.fields, T.StructField("cell", T.IntegerType())])
+    asked_arrow, arrow_schema = to_arrow_schema(asked_schema), to_arrow_schema(schema)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in small_tables(batches, width):
+            units = unit_rows(matrix_of(table[question_vector], width)[0])
+            found = _nearest_cells(units, shared.value, n_probe)
+            repeated = table.take(pa.array(np.repeat(np.arange(len(units)), n_probe)))
+            repeated = repeated.append_column("cell", pa.array(found.ravel().astype("int32")))
+            yield from repeated.cast(asked_arrow).to_batches()
+
+    asked = write_and_reread(questions.mapInArrow(probe, asked_schema), "probes")
+    groups = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / grid_rows).alias(name))
+    sizes = F.broadcast(groups(stored, "_rows").join(groups(asked, "_columns"), "cell"))  # a row per cell at most
+
+    def spread(df: DataFrame, own: str, other: str, key: str, across: str, key_columns: list[str]) -> DataFrame:
+        placed = df.join(sizes, "cell").withColumn(key, F.pmod(F.xxhash64(*key_columns), F.col(own)))
+        return placed.withColumn(across, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1))).drop(own, other)
+
+    left = spread(stored, "_rows", "_columns", "_i", "_j", cells.id_columns)
+    right = spread(asked, "_columns", "_rows", "_j", "_i", [question_id])
+
+    def score(vector_group: pa.Table, question_group: pa.Table) -> pa.Table:
+        out = scan_batches(
+            vector_group.combine_chunks().to_batches(max_chunksize=10_000),
+            unit_rows(matrix_of(question_group[question_vector], width)[0]),
+            question_group[question_id].combine_chunks(),
+            cells.id_columns,
+            cells.vector,
+            k,
+            arrow_schema,
+        )
+        return pa.Table.from_batches(list(out), arrow_schema)
+
+    key = ["cell", "_i", "_j"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(score, schema)
 
 
 def nearest_by_hashing(

@@ -13,10 +13,15 @@ below ``share`` is left to adaptive execution.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-MAX_BROADCAST_KEYS = 1 << 20
+from caselens.scratch import write_and_reread
+
+MAX_BROADCAST_BYTES = 64 << 20
+ADAPTIVE_SKEW = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+NO_KEY_GROUPS = 1009
 SKETCH_GROUPS = 64
 
 
@@ -80,14 +85,23 @@ def skew_join(
 ) -> DataFrame:
     """``large.join(small, on, how)`` for ``how`` inner or left.
 
+    While adaptive execution splits skewed partitions, it does the work when it knows their
+    sizes, and nothing is read to plan the join. With ``share``, or without adaptive
+    execution, hot keys are looked for first.
+
     ``salt_on`` names columns of ``large`` that together tell its rows apart. The group
     of a row depends on these values alone, so a task that is run again repeats it.
     """
     if how not in ("inner", "left"):
         raise ValueError("skew_join supports inner and left joins")
+    conf = large.sparkSession.conf
+    adaptive = all(conf.get(c, "true") == "true" for c in ADAPTIVE_SKEW)
+    split = large.join(small, on, how) if adaptive and share is None else None
     for key in on:
         if large.schema[key].dataType != small.schema[key].dataType:
             raise ValueError(f"{key} has different types on the two sides")
+    if split is not None:
+        return split
     hot = find_hot_keys(large, on, share or default_share(large))
     salt_nulls = how == "left" and hot.null_groups > 1
     if not hot.groups and not salt_nulls:
@@ -115,18 +129,24 @@ def skew_join(
     return spread.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
-def missing_from(
-    df: DataFrame, existing: DataFrame, keys: list[str], key_rows: int | None = None
-) -> DataFrame:
-    """Rows of ``df`` whose key ``existing`` does not hold.
+def fits_broadcast(keys: DataFrame) -> bool:
+    """Whether the rows of ``keys``, a stored table, are small enough to send everywhere."""
+    sizes = [F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in keys.columns]
+    return (keys.agg(F.sum(reduce(Column.__add__, sizes) + 64)).first()[0] or 0) <= MAX_BROADCAST_BYTES
+
+
+def missing_from(df: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``df`` whose key ``existing`` does not hold; a key with a NULL is never held.
 
     ``existing`` may be far larger than ``df``: it is first cut to the keys in question,
-    with the keys as the side to hash, and only what is left of it meets the rows.
-    ``key_rows``, when known, is the number of rows of ``df``: up to the limit the keys are
-    broadcast, so ``existing`` is read without a shuffle.
+    with the keys as the side to hash, and only what is left of it meets the rows. Keys of
+    a checked size are broadcast, so ``existing`` is read without a shuffle. Rows without a
+    key are spread, a key that repeats very often is split by adaptive execution.
     """
-    asked = df.select(*keys).distinct()
-    if key_rows is not None and key_rows <= MAX_BROADCAST_KEYS:
-        asked = F.broadcast(asked)
-    present = existing.select(*keys).join(asked, keys, "left_semi")
-    return df.join(present, keys, "left_anti")
+    asked = write_and_reread(df.select(*keys).distinct(), "keys")
+    present = existing.select(*keys).join(F.broadcast(asked) if fits_broadcast(asked) else asked, keys, "left_semi")
+    no_key = F.coalesce(*[F.when(F.col(k).isNull(), F.lit(True)) for k in keys], F.lit(False))
+    group = F.when(no_key, F.pmod(F.xxhash64(*df.columns), F.lit(NO_KEY_GROUPS))).otherwise(F.lit(0).cast("bigint"))
+    none = F.pmod(F.xxhash64(*keys), F.lit(1))  # always 0, but no constant, so it stays a key of the join
+    spread = df.withColumn("_group", group)
+    return spread.join(present.withColumn("_group", none), [*keys, "_group"], "left_anti").select(*df.columns)

@@ -17,14 +17,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from caselens.operators.skew import skew_join
+from caselens.operators.skew import fits_broadcast as keys_fit_broadcast, skew_join
 from caselens.schemas import DEFAULT_TOP_K
+from caselens.scratch import write_and_reread
 
 MAX_BROADCAST_BYTES = 128 << 20  # the question matrix sent to every executor
 MAX_QUESTIONS = 50_000  # questions whose k best a task keeps
 MAX_CELLS = 4 << 20  # numbers of a matrix held at once in a task
-MAX_FETCH_ROWS = 1 << 20  # result rows sent to every executor to fetch their contents
-GRID_ROWS = 50_000  # vectors, and questions, in one group of the grid
+GRID_BYTES = 64 << 20  # of vectors, and of questions, in one group of the grid
+TASKS_PER_CORE = 2  # tasks that scan all vectors; each emits questions x k rows at most
 
 _NAN, _NULL = 3.0, 4.0  # sort positions beyond any distance
 
@@ -176,25 +177,25 @@ def nearest(
     id_columns: list[str] | None = None,
     vector: str = "embedding",
     limit_bytes: int = MAX_BROADCAST_BYTES,
-    grid_rows: int = GRID_ROWS,
+    grid_rows: int | None = None,
 ) -> DataFrame:
-    """(question id, record ids, distance, rank): the k nearest records of each question.
+    """(question id, record ids, distance, rank): the k nearest records of each question. A
+    question without a vector finds nothing.
 
     Questions within ``limit_bytes`` are sent to every executor and the vectors are
-    read in place. More questions than that meet the vectors in a grid of groups, each
-    of bounded size on both sides.
+    read in place, by a number of tasks that follows the cores and not the files: each
+    hands on no more than k rows per question. More questions than that meet the vectors in
+    a grid of groups, each of bounded size on both sides.
     """
     id_columns = id_columns or ["source_table", "source_id"]
     schema = result_schema(vectors, questions, question_id, id_columns)
     arrow_schema = to_arrow_schema(schema)
     vectors = vectors.select(*id_columns, vector)
-    questions = questions.select(question_id, question_vector)
+    questions = questions.select(question_id, question_vector).where(F.col(question_vector).isNotNull())
 
     local = fits_broadcast(questions, width, limit_bytes)
     if local is not None:
-        matrix, present = matrix_of(local[question_vector], width)
-        if not present.all():
-            raise ValueError("a question has no vector")
+        matrix, _ = matrix_of(local[question_vector], width)
         shared = vectors.sparkSession.sparkContext.broadcast(
             (unit_rows(matrix), local[question_id].combine_chunks())
         )
@@ -203,8 +204,10 @@ def nearest(
             units, names = shared.value
             yield from scan_batches(batches, units, names, id_columns, vector, k, arrow_schema)
 
-        candidates = vectors.mapInArrow(scan, schema)
+        cores = vectors.sparkSession.sparkContext.defaultParallelism
+        candidates = vectors.coalesce(TASKS_PER_CORE * cores).mapInArrow(scan, schema)
     else:
+        grid_rows = grid_rows or max(1, GRID_BYTES // (8 * width))
         candidates = _grid(
             vectors, questions, question_id, question_vector, id_columns, vector, k, width, schema, grid_rows
         )
@@ -270,13 +273,12 @@ def fetch(
     best: DataFrame,
     records: DataFrame,
     keys: list[str],
-    max_rows: int | None,
     question_id: str = "question_id",
 ) -> DataFrame:
-    """Bring the contents of the found records. ``max_rows`` is how many rows ``best``
-    can hold at most (questions x k), if known: within the limit they are broadcast and
-    the records are read in place. Beyond it, one record may be the answer to very many
-    questions, so its rows are spread."""
-    if max_rows is not None and max_rows <= MAX_FETCH_ROWS:
+    """Bring the contents of the found records. What was found is stored, as the search is the
+    dear part. Up to a checked size it is broadcast and the records are read in place; beyond
+    it, one record may be the answer to very many questions, so its rows are spread."""
+    best = write_and_reread(best, "found")
+    if keys_fit_broadcast(best):
         return records.join(F.broadcast(best), keys)
     return skew_join(best, records, keys, salt_on=[question_id])

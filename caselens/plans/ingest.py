@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caselens.operators import context, documents, embed, topk
 from caselens.operators.quality import check_record_tables
+from caselens.operators.skew import missing_from, skew_join
 from caselens.schemas import DEFAULT_TOP_K, RECORD_TABLES
 from caselens.scratch import write_and_reread
 from caselens.sources import csv_tables, images, vector_store
@@ -27,21 +28,45 @@ def load_tables(spark: SparkSession, csv_dir: str, target: str) -> dict[str, Dat
     return loaded
 
 
+def described_images(
+    xray: DataFrame,
+    image_files: DataFrame,
+    describer: Callable[[str, bytes], str],
+    existing: DataFrame | None = None,
+    **options,
+) -> DataFrame:
+    """The X-rays that have no vector yet, with ``description`` and ``describe_error``. A file is
+    described once, however many X-rays name it and whatever is done with the result."""
+    if existing is not None:
+        have = existing.where(F.col("source_table") == "xray").select(F.col("source_id").alias("xray_id"))
+        xray = missing_from(xray, have, ["xray_id"])
+    xray = write_and_reread(xray, "new-images")
+    described = images.described_files(
+        image_files, xray, lambda files: embed.describe_images(files, describer, **options)
+    )
+    found = skew_join(xray, described, ["image_path"], how="left", salt_on=["xray_id"])
+    missing = F.concat(F.lit("image not found: "), F.col("image_path"))
+    nothing = F.col("description").isNull() & F.col("describe_error").isNull()
+    return found.withColumn("describe_error", F.when(nothing, missing).otherwise(F.col("describe_error")))
+
+
 def table_documents(
     tables: dict[str, DataFrame],
     image_files: DataFrame,
     describer: Callable[[str, bytes], str],
+    existing: DataFrame | None = None,
     **options,
 ) -> DataFrame:
-    """The documents of all six record tables. ``options`` go to the image description."""
-    pictures = images.with_image(tables["xray"], image_files)
+    """The documents of all six record tables; of X-rays only those ``existing`` does not hold,
+    as each costs a call. ``options`` go to the image description."""
+    pictures = described_images(tables["xray"], image_files, describer, existing, **options)
     return documents.all_documents(
         documents.doctor_documents(tables["doctors"]),
         documents.patient_documents(tables["patients"]),
         documents.appointment_documents(tables["appointments"]),
         documents.treatment_documents(tables["treatments"], tables["appointments"]),
         documents.billing_documents(tables["billing"]),
-        documents.xray_documents(pictures, describer, **options),
+        documents.described_documents(pictures),
     )
 
 
@@ -59,9 +84,10 @@ def ingest(
     ``options`` (attempts, delay) go to the embedding and description calls.
     """
     tables = load_tables(spark, csv_dir, target)
-    new = table_documents(tables, images.read_images(spark, csv_dir), describer, **options)
     store = f"{target}/embeddings"
-    embedded = embed.embed_documents(new, embedder, vector_store.stored_vectors(spark, store), **options)
+    existing = vector_store.stored_vectors(spark, store)
+    new = table_documents(tables, images.read_images(spark, csv_dir), describer, existing, **options)
+    embedded = embed.embed_documents(new, embedder, existing, **options)
     vector_store.append_vectors(embedded, store)
     return vector_store.read_vectors(spark, store), check_record_tables(tables)
 
@@ -89,7 +115,7 @@ def retrieve(
     asked = questions.where(F.col("embedding").isNotNull())
     best = topk.nearest(store, asked, k, width=width)
     contents = store.select(*KEYS, "content", "metadata")
-    return topk.fetch(best, contents, KEYS, asked.count() * k)
+    return topk.fetch(best, contents, KEYS)
 
 
 def prompts(questions: DataFrame, retrieved: DataFrame, **options) -> DataFrame:
@@ -109,7 +135,8 @@ def answer(
     **options,
 ) -> DataFrame:
     """(question_id, question, answer, model_used, error). A question that could not be
-    embedded is not asked; its error says why. ``options`` go to the embedding calls."""
+    embedded is not asked; its error says why. The answers are stored, so each question is
+    asked once whatever is done with them. ``options`` go to the embedding calls."""
     embedded = embed_questions(questions.select("question_id", "question"), embedder, **options)
     ready = embedded.where(F.col("embedding").isNotNull())
     found = retrieve(ready, store, embedder, width=width, k=k)
@@ -123,4 +150,4 @@ def answer(
         nothing.alias("model_used"),
         F.col("embed_error").alias("error"),
     )
-    return answers.unionByName(failed)
+    return write_and_reread(answers.unionByName(failed), "answers")

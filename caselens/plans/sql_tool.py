@@ -3,17 +3,18 @@
 Two policies decide whether a text may run. ``compat`` looks for forbidden words followed
 by a space anywhere in the text, inside quotes and names too. ``strict`` looks at whole
 words outside quotes and comments, admits ``WITH``, and also refuses a second statement,
-reading files by path, and functions that call into the JVM.
+reading files by path, scripts, and functions that call into the JVM. Before a text runs under
+``strict``, Spark's parser reads it as well, and only plans made of known reading steps pass;
+a word list is not relied on alone. ``strict`` is the default.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from caselens.functions.text import rows_as_json, strip
+from caselens.scratch import write_and_reread
 
 # The refused words in the order they are looked for, and the messages.
 FORBIDDEN = ["insert", "update", "delete", "drop", "alter", "truncate", "create", "grant", "revoke"]
@@ -31,9 +32,26 @@ _QUOTED = (
     r"""|--[^\n]*|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"""
 )
 _NAMED = r"`[^`]*`"
+FILE_SOURCES = {"parquet", "orc", "csv", "json", "text", "avro", "xml", "binaryfile", "delta"}
 _FILE = r"(?i)\b(?:parquet|orc|csv|json|text|avro|xml|binaryfile|delta)\s*\.\s*`"
 
-MAX_ROWS = 1000
+SCRIPT = "Scripts are not allowed."
+_SCRIPT = r"\b(?:transform|map|reduce)\b(?=[\s\S]*\busing\b\s*+(?!\())"
+
+STEP = "The step '{step}' is not allowed."
+# The steps of a plan, before names are resolved, that only read and compute.
+READING_STEPS = {
+    "Project", "Filter", "Aggregate", "Join", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Deduplicate",
+    "Union", "Intersect", "Except", "SubqueryAlias", "UnresolvedRelation", "UnresolvedInlineTable", "OneRowRelation",
+    "UnresolvedWith", "UnresolvedHaving", "UnresolvedSubqueryColumnAliases", "Generate", "Window", "WithWindowDefinition",
+    "Expand", "GroupingSets", "Sample", "Pivot", "UnresolvedPivot", "Unpivot", "UnresolvedHint", "LateralJoin",
+    "UnresolvedTableValuedFunction", "LocalRelation", "Range", "UnresolvedOrdinal", "Tail", "CTE", "View", "Values",
+    "With", "UnresolvedStarWithColumns",
+}
+TABLE_FUNCTIONS = {
+    "range", "explode", "explode_outer", "inline", "inline_outer", "posexplode", "posexplode_outer", "stack",
+    "json_tuple", "variant_explode", "variant_explode_outer",
+}
 
 
 def statement(sql: Column | str) -> Column:
@@ -53,7 +71,7 @@ def _compat_reason(df: DataFrame, sql: str) -> tuple[DataFrame, Column]:
 
 
 def _strict_reason(df: DataFrame, sql: str) -> tuple[DataFrame, Column]:
-    unquoted = F.regexp_replace(F.coalesce(sql, F.lit("")), _QUOTED, " ")
+    unquoted = F.regexp_replace(F.coalesce(sql, F.lit("")), _QUOTED, " ")  # a quoted command leaves a space
     text = F.lower(strip(F.regexp_replace(strip(unquoted), r"(?:;\s*)+\z", "")))
     prepared = df.withColumn("_text", text).withColumn("_bare", F.regexp_replace("_text", _NAMED, " x "))
     bare = F.col("_bare")
@@ -65,6 +83,7 @@ def _strict_reason(df: DataFrame, sql: str) -> tuple[DataFrame, Column]:
     )
     words = rf"\b({'|'.join(FORBIDDEN)})\b"
     calls = rf"\b({'|'.join(STRICT_FUNCTIONS)})\s*\("
+    reason = reason.when(bare.rlike(_SCRIPT), F.lit(SCRIPT))
     for pattern in (words, calls):
         before, after = REFUSED.split("{word}")
         message = F.concat(F.lit(before), F.regexp_extract(bare, pattern, 1), F.lit(after))
@@ -72,7 +91,7 @@ def _strict_reason(df: DataFrame, sql: str) -> tuple[DataFrame, Column]:
     return prepared, reason
 
 
-def sql_policy(queries: DataFrame, sql: str = "sql", strict: bool = False) -> DataFrame:
+def sql_policy(queries: DataFrame, sql: str = "sql", strict: bool = True) -> DataFrame:
     """Add ``reason`` (why the text is refused, or NULL) and ``allowed`` to a table of SQL
     texts."""
     prepared, reason = (_strict_reason if strict else _compat_reason)(queries, sql)
@@ -84,12 +103,52 @@ class Refused(ValueError):
     pass
 
 
-def guarded_sql(spark: SparkSession, sql: str, strict: bool = False) -> DataFrame:
+def _listed(sequence) -> list:
+    return [sequence.apply(i) for i in range(sequence.size())]
+
+
+def plan_reason(spark: SparkSession, sql: str) -> str | None:
+    """Why the parsed text may not run, or None: a step that does more than read, a file named as a
+    table, a table function or a call that is not known to be harmless. Only the text is parsed;
+    nothing is looked up or run."""
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    while todo:
+        plan = todo.pop()
+        step = plan.getClass().getSimpleName().rstrip("$")
+        if step not in READING_STEPS:
+            return STEP.format(step=step)
+        if step == "UnresolvedRelation" and plan.multipartIdentifier().size() > 1:
+            first = plan.multipartIdentifier().apply(0).lower()
+            last = plan.multipartIdentifier().apply(plan.multipartIdentifier().size() - 1)
+            if first in FILE_SOURCES or "/" in last or ":" in last:
+                return FILE_READ
+        if step == "UnresolvedTableValuedFunction":
+            name = plan.name().apply(plan.name().size() - 1).lower()
+            if name not in TABLE_FUNCTIONS:
+                return REFUSED.format(word=name)
+        if step == "UnresolvedWith":
+            todo += [pair._2() for pair in _listed(plan.cteRelations())]
+        todo += _listed(plan.children()) + _listed(plan.subqueries())
+        calls = _listed(plan.expressions())
+        while calls:
+            call = calls.pop()
+            if call.getClass().getSimpleName() == "UnresolvedFunction":
+                name = call.nameParts().apply(call.nameParts().size() - 1).lower()
+                if name in STRICT_FUNCTIONS:
+                    return REFUSED.format(word=name)
+            calls += _listed(call.children())
+    return None
+
+
+def guarded_sql(spark: SparkSession, sql: str, strict: bool = True) -> DataFrame:
     """The whole result as a DataFrame, or :class:`Refused`."""
     asked = spark.range(1).select(F.lit(sql).alias("sql"))
     judged = sql_policy(asked, strict=strict).withColumn("text", statement("sql")).first()
     if not judged["allowed"]:
         raise Refused(judged["reason"])
+    reason = plan_reason(spark, judged["text"]) if strict else None
+    if reason is not None:
+        raise Refused(reason)
     return spark.sql(judged["text"])
 
 
@@ -103,24 +162,16 @@ def distinct_names(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def execute_sql(spark: SparkSession, sql: str, strict: bool = False, max_rows: int = MAX_ROWS) -> dict:
-    """The result envelope: {success, columns, rows, row_count, complete} or {success, error}.
+def execute_sql(spark: SparkSession, sql: str, strict: bool = True) -> dict:
+    """The result envelope: {success, columns, rows, row_count} or {success, error}.
 
-    ``rows`` shows up to ``max_rows`` rows and ``complete`` says whether these are all;
-    ``row_count`` always counts the whole result. For the whole result as a DataFrame use
-    :func:`guarded_sql`.
+    ``rows`` is a DataFrame with every row of the result as JSON in ``row_json``. The query
+    runs once: its rows are stored, then counted.
     """
     try:
         result = distinct_names(guarded_sql(spark, sql, strict))
-        shown = [json.loads(r[0]) for r in result.select(rows_as_json(result)).limit(max_rows + 1).collect()]
-        complete = len(shown) <= max_rows
-        return {
-            "success": True,
-            "columns": result.columns,
-            "rows": shown[:max_rows],
-            "row_count": len(shown) if complete else result.count(),
-            "complete": complete,
-        }
+        rows = write_and_reread(result.select(rows_as_json(result)), "result")
+        return {"success": True, "columns": result.columns, "rows": rows, "row_count": rows.count()}
     except (Refused, PySparkException) as error:
         return {"success": False, "error": str(error)}
 

@@ -3,12 +3,36 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from caselens.operators.skew import missing_from
 from caselens.schemas import RECORD_TABLES, TIME_COLUMNS
+from caselens.scratch import write_and_reread
+
+
+def _by_header(spark: SparkSession, path: str, options: dict, multi_line: bool) -> list[tuple[list[str], list[str]]]:
+    """(column names, files) of the files at ``path``, those with the same header together.
+
+    The first line of a file is the first row of its first block."""
+    lines = spark.read.text(path)
+    files = lines.inputFiles()
+    if len(files) > 1 and not multi_line:
+        first = (
+            lines.where(F.col("_metadata.file_block_start") == 0)
+            .select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+            .groupBy("file")
+            .agg(F.min_by("value", "at").alias("header"))
+        )
+        groups = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+        found = [[unquote(f) for f in r["files"]] for r in groups]
+    else:
+        found = [[unquote(f)] for f in files]
+    if len(found) == 1:
+        return [(spark.read.options(**options).csv(path).columns, [path])]
+    return [(spark.read.options(**options).csv(group[0]).columns, group) for group in found]
 
 
 def read_csv(
@@ -21,17 +45,15 @@ def read_csv(
     """(rows in ``schema``, rejected rows with their reason).
 
     ``mapping`` names the CSV column of each target column; other CSV columns are
-    ignored. Everything is read as text, so leading zeros stay, then cast. A row is
-    rejected if it has the wrong number of cells or a cell that does not fit its type.
+    ignored. Files may have their columns in different orders: each is read by its own
+    header. Everything is read as text, so leading zeros stay, then cast. A row is
+    rejected if it has the wrong number of cells, of ignored columns too, or a cell that
+    does not fit its type. All lines are judged once and stored; each is either a row or
+    a reject.
     """
     mapping = mapping or {name: name for name in schema.names}
-    options = {"header": True, "multiLine": multi_line, "escape": '"'}
-    header = spark.read.options(**options).csv(path).columns
-    missing = sorted(set(mapping.values()) - set(header))
-    if missing:
-        raise ValueError(f"{path} has no column {', '.join(missing)}")
-    text = T.StructType([T.StructField(c, T.StringType()) for c in [*header, "_corrupt_record"]])
-    raw = spark.read.options(**options).schema(text).csv(path)
+    # without pruning, so that the number of cells is that of the line
+    options = {"header": True, "multiLine": multi_line, "escape": '"', "columnPruning": False}
 
     def typed(field: T.StructField) -> Column:
         cell = F.col(f"`{mapping[field.name]}`")
@@ -40,24 +62,30 @@ def read_csv(
             return F.when(cell.rlike(r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d$"), cell)
         return cell.try_cast(field.dataType)
 
-    bad_cells = F.array(
-        *[
-            F.when(F.col(f"`{mapping[f.name]}`").isNotNull() & typed(f).isNull(), F.lit(f.name))
-            for f in schema.fields
-        ]
-    )
-    reason = F.when(F.col("_corrupt_record").isNotNull(), F.lit("wrong number of cells")).otherwise(
-        F.nullif(F.array_join(bad_cells, ", "), F.lit(""))
-    )
-    checked = raw.withColumn("_reason", reason)
-    rows = checked.where(F.col("_reason").isNull()).select(
-        *[typed(f).alias(f.name) for f in schema.fields]
-    )
-    cells = F.to_json(F.struct(*[f"`{c}`" for c in header]))
-    rejects = checked.where(F.col("_reason").isNotNull()).select(
-        F.coalesce("_corrupt_record", cells).alias("record"), F.col("_reason").alias("reason")
-    )
-    return rows, rejects
+    def judged(header: list[str], files: list[str]) -> DataFrame:
+        missing = sorted(set(mapping.values()) - set(header))
+        if missing:
+            raise ValueError(f"{files[0]} has no column {', '.join(missing)}")
+        text = T.StructType([T.StructField(c, T.StringType()) for c in [*header, "_corrupt_record"]])
+        raw = spark.read.options(**options).schema(text).csv(files)
+        bad_cells = F.array(
+            *[
+                F.when(F.col(f"`{mapping[f.name]}`").isNotNull() & typed(f).isNull(), F.lit(f.name))
+                for f in schema.fields
+            ]
+        )
+        reason = F.when(F.col("_corrupt_record").isNotNull(), F.lit("wrong number of cells")).otherwise(
+            F.nullif(F.array_join(bad_cells, ", "), F.lit(""))
+        )
+        cells = F.to_json(F.struct(*[f"`{c}`" for c in header]))
+        record = F.when(reason.isNotNull(), F.coalesce("_corrupt_record", cells))
+        row = F.struct(*[typed(f).alias(f.name) for f in schema.fields])
+        return raw.select(row.alias("row"), record.alias("record"), reason.alias("reason"))
+
+    parts = [judged(header, files) for header, files in _by_header(spark, path, options, multi_line)]
+    checked = write_and_reread(reduce(DataFrame.unionByName, parts), "csv")
+    rows = checked.where(F.col("reason").isNull()).select("row.*")
+    return rows, checked.where(F.col("reason").isNotNull()).select("record", "reason")
 
 
 def read_record_table(spark: SparkSession, path: str, table: str) -> tuple[DataFrame, DataFrame]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from caselens.operators.skew import skew_join
+from caselens.scratch import write_and_reread
 
 IMAGE_GLOB = "*.{jpg,jpeg,png,gif,webp,bmp,svg}"
 
@@ -42,3 +45,13 @@ def with_found(records: DataFrame, images: DataFrame, path: str = "image_path")
 def missing_images(records: DataFrame, images: DataFrame, path: str = "image_path") -> DataFrame:
     """Records whose image file is not there."""
     return with_found(records, images, path).where(~F.col("found")).drop("found")
+
+
+def described_files(
+    images: DataFrame, records: DataFrame, describe: Callable[[DataFrame], DataFrame], path: str = "image_path"
+) -> DataFrame:
+    """(path, description, describe_error) of the files that ``records`` name, each described once,
+    beside its scan: the bytes of a file go nowhere else. The result is stored."""
+    wanted = records.select(F.col(path).alias("relative_path")).distinct()
+    files = images.join(wanted, "relative_path", "left_semi").select(F.col("relative_path").alias(path), "content")
+    return write_and_reread(describe(files).drop("content"), "descriptions")

@@ -26,8 +26,7 @@ def stream_embed(
 
     def add(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        key_rows = batch.count()
-        new = embed_documents(batch, embedder, stored_vectors(spark, target), key_rows, **options)
+        new = embed_documents(batch, embedder, stored_vectors(spark, target), **options)
         append_vectors(new, target)
 
     writer = documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)

@@ -12,6 +12,11 @@ from caselens.operators.events import (
     status_columns,
     status_of,
 )
+from caselens.scratch import remove
+from caselens.sources.csv_tables import stored_table
+
+MERGE_EVERY = 16  # batches whose summaries are merged into one
+BUCKETS = 64  # folders of the closed requests of a batch
 
 
 def stream_request_status(
@@ -21,17 +26,29 @@ def stream_request_status(
     request: str = "request_id",
     *,
     available_now: bool = True,
+    merge_every: int = MERGE_EVERY,
 ) -> StreamingQuery:
     """Write one summary row per request and micro-batch below ``target``.
 
     Rows combine before they shuffle, so a request that sends most events is no
     bottleneck, and nothing is kept in memory between batches. A batch that is run again
-    overwrites its own folder.
+    overwrites its own folder. Every ``merge_every`` batches the summaries so far become one
+    table, and those that went into the one before it are removed.
     """
 
     def summarise(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         summary = batch.groupBy(request).agg(*status_columns())
         summary.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        if batch_id % merge_every == merge_every - 1:
+            parts = [f"{target}/batch={b}" for b in range(batch_id - merge_every + 1, batch_id + 1)]
+            if batch_id >= merge_every:
+                parts.append(f"{target}/merged={batch_id - merge_every}")
+            merged = merge_status(spark.read.schema(summary.schema).parquet(*parts), request)
+            merged.write.mode("overwrite").parquet(f"{target}/merged={batch_id}")
+            for b in range(batch_id - 2 * merge_every + 1, batch_id - merge_every + 1):
+                remove(spark, f"{target}/batch={b}")
+            remove(spark, f"{target}/merged={batch_id - 2 * merge_every}")
 
     writer = events.writeStream.foreachBatch(summarise).option("checkpointLocation", checkpoint)
     if available_now:
@@ -39,9 +56,19 @@ def stream_request_status(
     return writer.start()
 
 
+def _numbers(spark: SparkSession, target: str, kind: str) -> list[int]:
+    """The n of the finished folders ``kind=n`` below ``target``."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{kind}=*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or ())
+
+
 def read_request_status(spark: SparkSession, target: str, request: str = "request_id") -> DataFrame:
-    """The status of every request so far."""
-    return status_of(merge_status(spark.read.parquet(target), request), request)
+    """The status of every request so far: the last merged table and the batches after it."""
+    merged = _numbers(spark, target, "merged")[-1:]
+    parts = [f"{target}/merged={n}" for n in merged]
+    parts += [f"{target}/batch={n}" for n in _numbers(spark, target, "batch") if not merged or n > merged[0]]
+    return status_of(merge_status(spark.read.parquet(*parts), request), request)
 
 
 def stream_deadlines(
@@ -51,19 +78,19 @@ def stream_deadlines(
     request: str = "request_id",
     *,
     seconds: int = DEADLINE_SECONDS,
-    retention: str = "1 day",
     available_now: bool = True,
 ) -> StreamingQuery:
     """Report each request that has not ended when event time passes its deadline, once.
 
-    Needs a column ``ts``. Each micro-batch is reduced to one row per request, merged with
-    the requests known so far, and written as the known requests of that batch, so a batch
-    that runs again starts from the one before it and replaces its own folders. Requests
-    are known until event time is ``retention`` past both their last event and deadline.
+    Needs a column ``ts``. A request is open until event time passes its deadline; then it is
+    closed, reported or not, and stays closed however long it is silent: later events
+    of it change nothing. Below ``target``, ``open`` has the open requests after a batch and
+    the event time reached, ``closed`` the ids each batch closed, by bucket, and ``late`` the
+    reports. A batch reads the open requests of the one before it and the closed ids in the
+    buckets its requests fall in; run again, it replaces its own folders. Open requests of
+    batches before the last are removed.
     """
-
-    def known_after(batch_id: int) -> str:
-        return f"{target}/known/batch={batch_id}"
+    bucket = F.pmod(F.xxhash64(request), F.lit(BUCKETS)).cast("int")
 
     def watch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -71,27 +98,48 @@ def stream_deadlines(
         requests = batch.groupBy(request).agg(
             F.min("ts").alias("started_at"), F.max("ts").alias("last_at"), ended.alias("ended_at")
         )
-        requests = requests.withColumn("reported", F.lit(False))
+        closed = stored_table(
+            spark, f"{target}/closed", requests.select(request).schema.add("batch", "integer").add("bucket", "integer")
+        )
+        if closed is not None and batch_id > 0:
+            touched = [r[0] for r in requests.select(bucket.alias("b")).distinct().collect()]
+            done = closed.where(F.col("bucket").isin(touched) & (F.col("batch") < batch_id)).select(request)
+            gone = requests.join(done, request, "left_anti")
+        else:
+            gone = requests
+        known, time_before = gone, None
         if batch_id > 0:
-            before = spark.read.parquet(known_after(batch_id - 1)).drop("late")
-            requests = requests.unionByName(before)
-        merged = requests.groupBy(request).agg(
+            before = spark.read.parquet(f"{target}/open/batch={batch_id - 1}")
+            time_before = before.agg(F.max("time")).first()[0]
+            known = gone.unionByName(before.where(F.col(request).isNotNull()).drop("time"))
+        merged = known.groupBy(request).agg(
             F.min("started_at").alias("started_at"),
             F.max("last_at").alias("last_at"),
             F.min("ended_at").alias("ended_at"),
-            F.max("reported").alias("reported"),
         )
-        now = merged.agg(F.max("last_at")).scalar()
+        now = max((t for t in (batch.agg(F.max("ts")).first()[0], time_before) if t is not None), default=None)
+        now = F.lit(now).cast(batch.schema["ts"].dataType)
         deadline = F.col("started_at") + F.expr(f"interval {int(seconds)} seconds")
-        unended = F.col("ended_at").isNull() | (F.col("ended_at") > deadline)
-        late = ~F.col("reported") & unended & (now > deadline)
-        until = F.greatest(F.col("last_at"), deadline) + F.expr(f"interval {retention}")
-        state = merged.withColumn("late", late).withColumn("reported", F.col("reported") | F.col("late"))
-        state = state.where(F.col("late") | (until >= now))
-        state.write.mode("overwrite").parquet(known_after(batch_id))
-        spark.read.parquet(known_after(batch_id)).where("late").select(
+        over = F.coalesce(now > deadline, F.lit(False))
+        late = over & (F.col("ended_at").isNull() | (F.col("ended_at") > deadline))
+        state = merged.withColumns({"over": over, "late": late})
+        path = f"{target}/state/batch={batch_id}"
+        state.write.mode("overwrite").parquet(path)
+        state = spark.read.schema(state.schema).parquet(path)
+        clock = state.limit(0).drop("over", "late").withColumn("time", now)
+        clock = clock.unionByName(
+            spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in clock.schema.fields[:-1]], now.alias("time"))
+        )
+        still = state.where(~F.col("over")).drop("over", "late").withColumn("time", now)
+        still.unionByName(clock).write.mode("overwrite").parquet(f"{target}/open/batch={batch_id}")
+        shut = state.where("over").select(request, bucket.alias("bucket"))
+        shut.repartition(1).write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/closed/batch={batch_id}")
+        state.where("late").select(
             request, "started_at", F.lit(TIMED_OUT.format(seconds=seconds)).alias("message")
         ).write.mode("overwrite").parquet(f"{target}/late/batch={batch_id}")
+        remove(spark, path)
+        if batch_id > 1:
+            remove(spark, f"{target}/open/batch={batch_id - 2}")
 
     writer = events.writeStream.foreachBatch(watch).option("checkpointLocation", checkpoint)
     if available_now:

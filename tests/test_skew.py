@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from caselens.operators import skew
 from caselens.operators.skew import find_hot_keys, missing_from, skew_join
 
 
@@ -39,14 +40,16 @@ def test_no_rows_no_hot_keys(spark):
 def test_skew_join_equals_join(spark):
     df, small = hot_rows(spark), parents(spark)
     for how in ("inner", "left"):
-        joined = skew_join(df, small, ["key"], how=how, salt_on=["id"])
-        assert same(joined, df.join(small, ["key"], how)), how
+        for share in (None, 1 / 200):
+            joined = skew_join(df, small, ["key"], how=how, salt_on=["id"], share=share)
+            assert same(joined, df.join(small, ["key"], how)), how
 
 
 def test_skew_join_with_repeated_parent(spark):
     df, small = hot_rows(spark).limit(3000), parents(spark).union(parents(spark))
-    joined = skew_join(df, small, ["key"], salt_on=["id"])
-    assert same(joined, df.join(small, ["key"]))
+    for share in (None, 1 / 200):
+        joined = skew_join(df, small, ["key"], salt_on=["id"], share=share)
+        assert same(joined, df.join(small, ["key"]))
 
 
 def test_hot_key_is_spread_over_partitions(spark):
@@ -71,5 +74,22 @@ def test_hot_key_is_spread_over_partitions(spark):
 def test_missing_from(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), (None, 4)], "key string, n int")
     existing = spark.createDataFrame([("b",), ("b",), ("z",)], "key string")
-    for rows in (None, 4):
-        assert sorted(r.n for r in missing_from(df, existing, ["key"], rows).collect()) == [1, 4]
+    assert sorted(r.n for r in missing_from(df, existing, ["key"]).collect()) == [1, 4]
+
+
+def test_rows_without_a_key_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MAX_BROADCAST_BYTES", 0)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(8000).withColumn("key", F.when(F.col("id") % 4 == 0, F.col("id") % 50))
+        existing = spark.range(0, 50, 2).select(F.col("id").alias("key"))
+        left = missing_from(df, existing, ["key"])
+        assert left.count() == df.where("key IS NULL OR key % 2 = 1").count()
+        sizes = [len(part) for part in left.rdd.glom().collect()]
+        assert max(sizes) < 0.5 * sum(sizes)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -1,4 +1,7 @@
+import json
+
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from caselens.plans import sql_tool as S
@@ -30,13 +33,13 @@ CASES = [
 
 def test_policies(spark):
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "i int, sql string")
-    compat = {r.i: r.reason for r in S.sql_policy(df).collect()}
+    compat = {r.i: r.reason for r in S.sql_policy(df, strict=False).collect()}
     strict = {r.i: r.reason for r in S.sql_policy(df, strict=True).collect()}
     for i, (text, wanted, wanted_strict) in enumerate(CASES):
         assert compat[i] == wanted, text
         assert strict[i] == wanted_strict, text
     missing = spark.sql("select cast(null as string) sql")
-    assert S.sql_policy(missing).first().reason == S.EMPTY
+    assert S.sql_policy(missing, strict=False).first().reason == S.EMPTY
     assert S.sql_policy(missing, strict=True).first().reason == S.EMPTY
 
 
@@ -49,32 +52,69 @@ def test_long_texts(spark):
     ]
     df = spark.createDataFrame([(t,) for t in long], "sql string")
     assert all(r.allowed for r in S.sql_policy(df, strict=True).collect())
-    assert sum(r.allowed for r in S.sql_policy(df).collect()) == 3
+    assert sum(r.allowed for r in S.sql_policy(df, strict=False).collect()) == 3
+
+
+def rows(found):
+    return [json.loads(r.row_json) for r in found["rows"].collect()]
 
 
 def test_envelope(spark):
     spark.createDataFrame([("D1", "Oncology"), ("D2", None)], "doctor_id string, spec string").createOrReplaceTempView("docs")
     found = S.execute_sql(spark, "SELECT doctor_id, spec, DATE '2024-01-02' AS day, 1.50 AS cost FROM docs ORDER BY 1;")
-    assert found == {
-        "success": True,
-        "columns": ["doctor_id", "spec", "day", "cost"],
-        "rows": [
-            {"doctor_id": "D1", "spec": "Oncology", "day": "2024-01-02", "cost": "1.50"},
-            {"doctor_id": "D2", "spec": None, "day": "2024-01-02", "cost": "1.50"},
-        ],
-        "row_count": 2,
-        "complete": True,
-    }
+    assert (found["success"], found["columns"], found["row_count"]) == (True, ["doctor_id", "spec", "day", "cost"], 2)
+    assert sorted(rows(found), key=lambda r: r["doctor_id"]) == [
+        {"doctor_id": "D1", "spec": "Oncology", "day": "2024-01-02", "cost": "1.50"},
+        {"doctor_id": "D2", "spec": None, "day": "2024-01-02", "cost": "1.50"},
+    ]
 
 
-def test_envelope_counts_all_rows(spark):
-    found = S.execute_sql(spark, "SELECT id FROM range(50)", max_rows=10)
-    assert found["row_count"] == 50 and len(found["rows"]) == 10 and not found["complete"]
+def test_envelope_has_all_rows(spark):
+    found = S.execute_sql(spark, "SELECT id FROM range(2500)")
+    assert found["row_count"] == 2500 and {r["id"] for r in rows(found)} == set(range(2500))
 
 
 def test_repeated_names_keep_their_values(spark):
     found = S.execute_sql(spark, "SELECT 1 AS a, 2 AS a")
-    assert found["columns"] == ["a", "a_2"] and found["rows"] == [{"a": 1, "a_2": 2}]
+    assert found["columns"] == ["a", "a_2"] and rows(found) == [{"a": 1, "a_2": 2}]
+
+
+HOLES = [
+    "SELECT TRANSFORM(id) USING 'cat' AS (b string) FROM range(3)",
+    "SELECT /* */ TRANSFORM (id) USING \"cat\" FROM range(3)",
+    "FROM range(3) MAP id USING 'cat' AS b",
+    "WITH x AS (SELECT transform(id) USING 'cat' AS b FROM range(3)) SELECT * FROM x",
+    "SELECT (SELECT max(b) FROM (SELECT TRANSFORM(id) USING 'cat' AS (b string) FROM range(3)))",
+    "SELECT java_method('java.lang.Math', 'abs', -1)",
+    "SELECT `reflect`('java.lang.Math', 'abs', -1)",
+    "SELECT * FROM text.`/etc/hostname`",
+    "SELECT * FROM `text`.`/etc/hostname`",
+    "SELECT * FROM (SELECT * FROM `csv` . `/etc/hostname`)",
+    "SELECT * FROM read_files('/etc/hostname')",
+    "SELECT 1; SELECT 2",
+]
+
+
+@pytest.mark.parametrize("sql", HOLES)
+def test_strict_by_default_refuses(spark, sql):
+    with pytest.raises((S.Refused, PySparkException)):
+        S.guarded_sql(spark, sql).collect()
+
+
+def test_plans_alone_refuse_what_does_more_than_read(spark):
+    for sql in [*HOLES[:11], "INSERT INTO t VALUES (1)", "DROP TABLE t", "CREATE TABLE t AS SELECT 1", "SET x = 1", "ADD JAR x"]:
+        assert S.plan_reason(spark, sql) is not None, sql
+
+
+def test_strict_admits_reading(spark):
+    spark.range(3).createOrReplaceTempView("t")
+    for sql in [
+        "SELECT transform(array(id), x -> x + 1) FROM t JOIN t AS u USING (id)",
+        "SELECT id, row_number() OVER (ORDER BY id) FROM t UNION ALL SELECT 1, 2",
+        "SELECT * FROM t WHERE id IN (SELECT max(id) FROM t) GROUP BY ALL HAVING count(*) > 0 ORDER BY 1 LIMIT 2",
+        "SELECT * FROM VALUES (1) AS v(x)",
+    ]:
+        assert S.guarded_sql(spark, sql).collect(), sql
 
 
 @pytest.mark.parametrize("sql", ["DROP TABLE x", "SELECT * FROM no_such_table", "SELECT 1;DROP\nTABLE t", "SELECT 1/0"])

@@ -84,11 +84,36 @@ def test_deadlines_equal_batch(spark, tmp_path):
     assert {r.request_id for r in found} == {"slow", "tie"}
 
 
-def test_old_requests_are_forgotten(spark, tmp_path):
-    late_requests(spark, tmp_path, seconds=10, retention="30 seconds")
-    known = [spark.read.parquet(str(tmp_path / "late" / "known" / f"batch={i}")) for i in range(5)]
-    assert {r.request_id for r in known[1].collect()} == {"fine", "slow", "bad", "tie"}
-    assert {r.request_id for r in known[4].collect()} == {"open", "last"}
+def test_a_request_that_returns_after_long_silence_is_reported_once(spark, tmp_path):
+    folder, target = str(tmp_path / "events"), str(tmp_path / "late")
+    day = 86_400
+    files = [
+        [event("r", 0, 0, "output"), event("quiet", 1, 0, "output"), event("quiet", 2, 5, "done")],
+        [event("x", 3, 200, "output")],
+        [event("x", 4, 5 * day, "output")],
+        [event("r", 5, 5 * day + 1, "output"), event("quiet", 6, 5 * day + 1, "output")],
+        [event("r", 7, 9 * day, "output"), event("y", 8, 9 * day, "output")],
+    ]
+    for rows in files:
+        put(spark, folder, rows, EVENT)
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(folder)
+    stream_status.stream_deadlines(stream, target, str(tmp_path / "c"), seconds=100).awaitTermination()
+    found = stream_status.read_deadlines(spark, target).collect()
+    assert sorted((r.request_id, r.started_at) for r in found) == [
+        ("r", START), ("x", START + dt.timedelta(seconds=200)),
+    ]
+    kept = sorted(p.name for p in (tmp_path / "late" / "open").iterdir())
+    assert kept == ["batch=3", "batch=4"]  # and no older copies
+
+
+def test_status_summaries_are_merged(spark, tmp_path):
+    stream = stored(spark, str(tmp_path / "events"))
+    target = str(tmp_path / "status")
+    stream_status.stream_request_status(stream, target, str(tmp_path / "c"), merge_every=2).awaitTermination()
+    found = stream_status.read_request_status(spark, target)
+    batch = E.request_status(spark.read.parquet(str(tmp_path / "events")))
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, batch.collect()))
+    assert not (tmp_path / "status" / "batch=0").exists() and (tmp_path / "status" / "merged=3").exists()
 
 
 def test_frames_as_a_stream(spark, tmp_path):

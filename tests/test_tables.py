@@ -185,3 +185,60 @@ def test_analytics(spark):
     assert [r.cost for r in A.sort_records(df, "cost", ["doctor", "id"]).collect()] == [9, 9, 5, 5, None]
     counts = A.conditional_counts(df, ["doctor"], {"done": F.col("status") == "Done"}).collect()
     assert {(r.doctor, r.n, r.done) for r in counts} == {("D1", 2, 1), ("D2", 2, 1), ("D3", 1, 0)}
+
+
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b,c\n1,x,p\n2,y\n")
+    (tmp_path / "b b%.csv").write_text("b,c,a\nz,q,3\n")
+    (tmp_path / "c.csv").write_text("a,b,c\n")
+    schema = T.StructType().add("a", "integer").add("b", "string")
+    rows, rejects = csv_tables.read_csv(spark, str(tmp_path), schema)
+    assert sorted(map(tuple, rows.collect())) == [(1, "x"), (3, "z")]
+    assert [tuple(r) for r in rejects.collect()] == [("2,y", "wrong number of cells")]
+    (tmp_path / "d.csv").write_text("a,x\n1,2\n")
+    with pytest.raises(ValueError, match="no column"):
+        csv_tables.read_csv(spark, str(tmp_path), schema)
+
+
+def test_lines_are_rows_or_rejects_whatever_is_wanted(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b,c\n1,2,3\n1,2\n1,2,3,4\nx,2,3\n")
+    for names in (["a", "b", "c"], ["a", "b"], ["a"]):
+        schema = T.StructType([T.StructField(n, T.IntegerType()) for n in names])
+        rows, rejects = csv_tables.read_csv(spark, str(tmp_path), schema)
+        assert (rows.count(), rejects.count(), len(rejects.collect())) == (1, 3, 3)
+        assert sorted(r.reason for r in rejects.collect()) == ["a", "wrong number of cells", "wrong number of cells"]
+
+
+def test_models_are_called_once_per_new_item(spark, tmp_path):
+    folder, calls = tmp_path / "archive", tmp_path / "calls"
+    folder.mkdir()
+    calls.mkdir()
+    for name, text in FILES.items():
+        (folder / f"{name}.csv").write_text(text if name != "xray" else text.split("\n")[0] + "\n")
+    with (folder / "xray.csv").open("a") as out:
+        for i in range(8):
+            (folder / f"{i}.png").write_bytes(b"x" * (i + 1))
+            out.write(f"X{i},A1,T1,{i}.png,NORMAL\n")
+
+    def count(kind):
+        return sum(len(p.read_text()) for p in calls.glob(f"{kind}*"))
+
+    def note(kind, what):
+        with (calls / f"{kind}-{what}").open("a") as out:
+            out.write(".")
+
+    def describer(path, data):
+        note("image", path.replace("/", "_"))
+        return f"{path} {len(data)}"
+
+    def model(prompt):
+        note("answer", str(abs(hash(prompt))))
+        return "yes"
+
+    for wanted in (8, 8):  # none in the second run
+        store, _ = plan.ingest(spark, str(folder), str(tmp_path / "store"), TokenHashEmbedder(8), describer, attempts=1)
+        assert store.where("source_table = 'xray'").count() == 8 and count("image") == wanted
+    questions = spark.createDataFrame([("q1", "cost of MRI"), ("q2", "Dr. Lee")], "question_id string, question string")
+    answers = plan.answer(questions, store, TokenHashEmbedder(8), [("m", model)], width=8)
+    assert answers.count() == 2 and answers.where("answer = 'yes'").count() == 2 and len(answers.collect()) == 2
+    assert count("answer") == 2

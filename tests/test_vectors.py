@@ -154,3 +154,35 @@ def test_literal_round_trip(spark):
     row = df.select(V.vector_literal("v").alias("t"), V.parse_vector(V.vector_literal("v")).alias("b"), "v").first()
     assert row.b == row.v and row.t.startswith("[0.1,") and row.t.endswith("]")
     assert spark.sql("select '[1,2.5]' t").select(V.parse_vector("t")).first()[0] == [1.0, 2.5]
+
+
+def test_a_question_without_a_vector_finds_nothing(spark, tmp_path):
+    rows = random_rows(60)
+    df = records(spark, rows)
+    asked = spark.createDataFrame([("q", rows[0][2]), ("none", None)], "question_id string, embedding array<float>")
+    cells = ivf.build_cells(df, str(tmp_path / "cells"), width=8, n_cells=4)
+    for found in (
+        topk.nearest(df, asked, 5, width=8),
+        topk.nearest(df, asked, 5, width=8, limit_bytes=0, grid_rows=20),
+        ivf.nearest_in_cells(cells, asked, 5, n_probe=4),
+        ivf.nearest_in_cells(cells, asked, 5, n_probe=4, limit_bytes=0, grid_rows=20),
+    ):
+        assert as_set(found) == brute_force(rows, [("q", rows[0][2])], 5)
+
+
+def test_candidates_do_not_grow_with_the_splits(spark):
+    df = records(spark, random_rows(400))
+    asked = spark.createDataFrame([("q", [1.0] * 8)], "question_id string, embedding array<float>")
+    limit = topk.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    plan = topk.nearest(df.repartition(200), asked, 5, width=8)._jdf.queryExecution().toString()
+    assert f"Coalesce {limit}" in plan
+
+
+def test_matrices_stay_small(monkeypatch):
+    monkeypatch.setattr(ivf, "MAX_CELLS", 64)
+    rng = np.random.default_rng(1)
+    units, centres = topk.unit_rows(rng.normal(size=(100, 8))), rng.normal(size=(16, 8))
+    whole = np.argsort(-(units @ topk.unit_rows(centres).T), axis=1, kind="stable")
+    assert (ivf._nearest_cells(units, centres, 1)[:, 0] == whole[:, 0]).all()
+    assert (ivf._nearest_cells(units, centres, 5) == whole[:, :5]).all()
+    assert ivf.default_cells(10_000, 64) == 100 and ivf.default_cells(1 << 60, 64) == ivf.MAX_BROADCAST_BYTES // 512
