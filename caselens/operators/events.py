@@ -76,7 +76,9 @@ def answer_split(
     A part that fits one page is one row; a longer one continues on its next pages, whose
     texts follow one another without a gap.
     """
-    # read five times below, so stored once
+    # the log is read once; what follows reads its outputs, and the pages made of them, as stored
+    output = F.when(F.col("type") == "output", F.col("text")).alias("text")
+    events = write_and_reread(events.select(request, "seq", "type", output), "outputs")
     pages = write_and_reread(output_pages(events, request, page_chars, span), "pages")
     pages = pages.withColumn("_at", F.col("page") * F.lit(page_chars))
     seen = F.locate(ANSWER_MARKER, F.concat("body", "ahead"))
@@ -194,20 +196,24 @@ def request_deadline(
     A request times out if it has not ended (done or error) by its deadline although the
     log, or ``as_of``, goes on beyond it. Needs a timestamp column ``ts``.
     """
-    ended = F.min(F.when(F.col("type").isin("done", "error"), F.col("ts")))
-    starts = events.groupBy(request).agg(
-        F.min("ts").alias("started_at"), F.max("ts").alias("_seen"), ended.alias("_ended")
+    ends = F.coalesce(F.max(F.col("type").isin("done", "error")), F.lit(False)).alias("_ends")
+    # the log is read once: what is compared are its times per request
+    times = write_and_reread(events.groupBy(request, "ts").agg(F.count(F.lit(1)).alias("_n"), ends), "times")
+    starts = times.groupBy(request).agg(
+        F.min("ts").alias("started_at"), F.max("ts").alias("_seen"), F.min(F.when(F.col("_ends"), F.col("ts"))).alias("_ended")
     )
     starts = starts.withColumn("deadline_at", F.col("started_at") + F.expr(f"interval {int(seconds)} seconds"))
-    timed = skew_join(
-        events.select(request, "seq", "ts"), starts, [request], salt_on=["seq"]
-    )
+    timed = skew_join(times.select(request, "ts", "_n"), starts, [request], salt_on=["ts"])
     now = F.col("_seen") if as_of is None else F.greatest(F.col("_seen"), as_of)
     open_at_deadline = F.col("_ended").isNull() | (F.col("_ended") > F.col("deadline_at"))
     timed_out = open_at_deadline & (now > F.col("deadline_at"))
+
+    def rows(when: Column) -> Column:
+        return F.coalesce(F.sum(F.when(when, F.col("_n"))), F.lit(0).cast("bigint"))
+
     per_request = timed.groupBy(request, "started_at", "deadline_at", "_seen", "_ended").agg(
-        F.count_if(F.col("ts") <= F.col("deadline_at")).alias("n_in_time"),
-        F.count_if(F.col("ts") > F.col("deadline_at")).alias("n_late"),
+        rows(F.col("ts") <= F.col("deadline_at")).alias("n_in_time"),
+        rows(F.col("ts") > F.col("deadline_at")).alias("n_late"),
     )
     return per_request.select(
         request,

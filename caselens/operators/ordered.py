@@ -1,20 +1,42 @@
 """Ordered work within a key when one key may hold a large part of all rows.
 
-Rows of a key are numbered by an integer ``seq``. A key is cut into ranges of ``span``
-sequence numbers, so a range holds at most ``span`` rows; ordered work happens inside
-ranges, and only one short summary row per range is ordered within the whole key.
+Rows of a key are ordered by ``seq``, an integer or a time, dense or not. A key with more than
+``span`` rows is cut into ranges at quantiles of its own ``seq`` values, so ranges hold about as
+many rows each; ordered work happens inside ranges, and only one short summary row per range
+is ordered within the whole key. All other keys are one range.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from caselens.operators.skew import fits_broadcast
+from caselens.scratch import write_and_reread
+
 SPAN = 1 << 20
+RANGES = 1024  # of a key with more than ``span`` rows
+MAX_CUT_BYTES = 64 << 20
+
+
+def _ranged(df: DataFrame, key: str, seq: str, span: int) -> DataFrame:
+    """Add ``_range``. No more than one key per ``span`` rows of the table can need cutting."""
+    large = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > span).select(key)
+    large = write_and_reread(large, "large-keys")
+    if large.isEmpty():
+        return df.withColumn("_range", F.lit(0))
+    shares = [i / RANGES for i in range(1, RANGES)]
+    own = df.select(key, seq).join(F.broadcast(large) if fits_broadcast(large) else large, key, "left_semi")
+    cuts = own.groupBy(key).agg(F.percentile_approx(seq, shares, 4 * RANGES).alias("_cuts"))
+    cuts = write_and_reread(cuts.withColumn("_cuts", F.array_sort(F.array_distinct("_cuts"))), "cuts")
+    small = cuts.count() * RANGES * 8 <= MAX_CUT_BYTES
+    placed = df.join(F.broadcast(cuts) if small else cuts, key, "left")
+    before = F.size(F.filter(F.coalesce("_cuts", F.array().cast(cuts.schema["_cuts"].dataType)), lambda c: c < F.col(seq)))
+    return placed.withColumn("_range", before).drop("_cuts")
 
 
 def running_total(df: DataFrame, key: str, seq: str, value: str, name: str, span: int = SPAN) -> DataFrame:
     """Add ``name``: the sum of ``value`` over earlier rows of the key (0 for the first)."""
-    ranged = df.withColumn("_range", F.floor(F.col(seq) / F.lit(span)))
+    ranged = _ranged(df, key, seq, span)
     earlier_ranges = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         ranged.groupBy(key, "_range")
@@ -34,7 +56,7 @@ def running_total(df: DataFrame, key: str, seq: str, value: str, name: str, span
 
 def with_next(df: DataFrame, key: str, seq: str, columns: list[str], span: int = SPAN) -> DataFrame:
     """Add ``next_<column>`` from the following row of the key (NULL for the last)."""
-    ranged = df.withColumn("_range", F.floor(F.col(seq) / F.lit(span)))
+    ranged = _ranged(df, key, seq, span)
     row = F.struct(*columns)
     inside = Window.partitionBy(key, "_range").orderBy(seq)
     ranged = ranged.withColumn("_next", F.lead(row).over(inside))

@@ -190,3 +190,19 @@ def test_frame_files(spark, tmp_path):
     frames.write_frames(df.select(frames.frame(F.struct("type", "text", "seq")).alias("frame")), path)
     back = frames.parse_frames(frames.read_frames(spark, path), extra="seq bigint").orderBy("seq").collect()
     assert [r.text for r in back] == ["one\n\ntwo", '"quoted" \u00e9']
+
+
+def test_ranges_follow_rows_and_not_numbers(spark):
+    """Sparse numbers: one key is cut into ranges of about as many rows, the results stay."""
+    rows = [("hot", (i * i * 1_000_003) % (1 << 40), i % 7) for i in range(500)] + [(f"k{i % 20}", i << 30, 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "key string, seq bigint, n int")
+    sizes = ordered._ranged(df, "key", "seq", 100).where("key = 'hot'").groupBy("_range").count().collect()
+    assert len(sizes) > 100 and max(r["count"] for r in sizes) <= 5
+    assert ordered._ranged(df, "key", "seq", 1000).where("_range <> 0").count() == 0
+    totals = {(r.key, r.seq, r.n): r.t for r in ordered.running_total(df, "key", "seq", "n", "t", span=100).collect()}
+    following = {(r.key, r.seq): r.next_seq for r in ordered.with_next(df, "key", "seq", ["seq"], span=100).collect()}
+    for key in ("hot", "k3"):
+        own, total = sorted(r for r in rows if r[0] == key), 0
+        for i, r in enumerate(own):
+            assert totals[r] == total and following[r[:2]] == (own[i + 1][1] if i + 1 < len(own) else None)
+            total += r[2]
