@@ -13,12 +13,11 @@ A document's set is its distinct shingles of ``SHINGLE`` words. Two sets link wh
 The boundary is where enumerating a size becomes dearer than indexing and scanning it, from
 the sizes' histogram and the mean length of a list.
 
-Equal sets are one class, represented by its smallest id. Short lists give all their pairs.
-In a list longer than ``SHORT`` sets meet pivots of a similar size first; once the confirmed
-links have joined most of the list into components, only pairs across components are left
-(``_across``), in blocks of bounded size, and these pass a bit signature whose distance bounds
-the difference of the sets. All candidates are then checked on the sets themselves. So no list
-emits all its pairs, and no link is lost.
+Equal sets are one class, represented by its smallest id. In a list each set meets only a
+pivot of a similar size first; once the confirmed links have joined most of a list into
+components, only pairs across components are left (``_across``), in blocks of bounded size.
+Candidates pass a bit signature whose distance bounds the difference of the sets, and then are
+checked on the sets themselves. So no list emits all its pairs, and no link is lost.
 
 Sets are compared by 64-bit hashes of shingles.
 
@@ -47,7 +46,6 @@ SHINGLE = 4
 PERCENT = 85
 CELLS = 1 << 22
 CHUNK = 1 << 12
-SHORT = 8
 BLOCK = 4096
 MOST_LIGHT = 40
 SIGNATURE = 512
@@ -214,65 +212,128 @@ def _keys(sketch, boundary: int, percent: int):
     return run
 
 
-LISTED = "key bigint, a bigint, b bigint, size int"
+LISTED = "key bigint, a bigint, b bigint, s int, t int"
+
+
+def _compatible(s: int, t: int, percent: int) -> bool:
+    return s * percent <= t * 100 and t * percent <= s * 100
+
+
+def _list_pairs(docs: list[int], sizes: list[int], percent: int) -> Iterator[tuple[int, int, int, int]]:
+    """Each set of a list with the first earlier one of a similar size that is a pivot; a set without
+    one is a pivot itself. Documents come in the order of their ids, so the lists of a group
+    tend to have the same pivots."""
+    pivots: list[tuple[int, int]] = []
+    for doc, size in zip(docs, sizes):
+        pivot = next((p for p in pivots if _compatible(p[1], size, percent)), None)
+        if pivot is None:
+            pivots.append((doc, size))
+        elif pivot[0] != doc:
+            yield pivot[0], doc, pivot[1], size
 
 
 def _scan_lists(percent: int):
-    """Rows sorted by (key, size, doc_id). Short lists give all pairs of similar size; of longer
-    ones each set meets the pivot of its sizes, and the list itself is passed on (b null)."""
+    """Rows sorted by (key, doc_id, size): pairs (key null), and the lists of more than two sets
+    (b null), whose other pairs may be wanted later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        names = [f.split()[0] for f in LISTED.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         seen: set[tuple[int, int]] = set()
 
-        def flush(key, doc, size):
+        def flush(key, doc, size) -> pa.RecordBatch:
             out: list[tuple] = []
             heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             ends = np.append(heads[1:], len(key))
             for a, b in zip(heads[ends - heads > 1], ends[ends - heads > 1]):
                 d, s = doc[a:b].tolist(), size[a:b].tolist()
-                if len(d) <= SHORT:
-                    near = [(d[i], d[j]) for i in range(len(d)) for j in range(i + 1, len(d)) if s[j] * percent <= s[i] * 100]
-                else:
-                    pivot, near = 0, []
-                    for i in range(1, len(d)):
-                        if s[i] * percent > s[pivot] * 100:
-                            pivot = i
-                        else:
-                            near.append((d[pivot], d[i]))
-                    out += [(int(key[a]), x, None, n) for x, n in zip(d, s)]
-                for x, y in near:
-                    pair = (min(x, y), max(x, y))
-                    if x != y and pair not in seen:
+                for x, y, m, n in _list_pairs(d, s, percent):
+                    if (x, y) not in seen:
                         if len(seen) > 500_000:
                             seen.clear()
-                        seen.add(pair)
-                        out.append((None, *pair, None))
-            return out
-
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-        names = ["key", "a", "b", "size"]
+                        seen.add((x, y))
+                        out.append((None, x, y, m, n))
+                if b - a > 2:  # named by its documents: lists of the same ones are one
+                    name = int(np.uint64(xxhash.xxh3_64_intdigest(doc[a:b].tobytes())).view(np.int64))
+                    out += [(name, x, None, n, None) for x, n in zip(d, s)]
+            columns = list(zip(*out)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+        carry = [np.zeros(0, np.int64)] * 3
         for batch in batches:
             own = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
             carry = [np.concatenate([c, o]) for c, o in zip(carry, own)]
             last = int(np.searchsorted(carry[0], carry[0][-1])) if len(carry[0]) else 0  # the last list may go on
             if last:
-                rows = flush(*(c[:last] for c in carry))
+                yield flush(*(c[:last] for c in carry))
                 carry = [c[last:] for c in carry]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-        rows = flush(*carry) if len(carry[0]) else []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        if len(carry[0]):
+            yield flush(*carry)
+
+    return run
+
+
+def _near_signatures(percent: int):
+    ones = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (4, 5))
+            near = ones[x ^ y].sum(axis=1, dtype=np.int64) <= _most_apart(sizes, percent)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
 
     return run
 
 
+def _most_apart(sizes, percent: int):
+    """The most shingles in one only of two sets that link, from the sum of their sizes."""
+    return sizes - 2 * (-(-percent * sizes // (100 + percent)))
+
+
+def hopeful(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose signatures leave the link possible."""
+    about = nodes.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "body")
+    one = about.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("s"), F.col("body").alias("x"))
+    two = about.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("t"), F.col("body").alias("y"))
+    both = pairs.select("a", "b").distinct().join(one, "a").join(two, "b")
+    return both.select("a", "b", "s", "t", "x", "y").mapInArrow(_near_signatures(percent), "a bigint, b bigint")
+
+
+def _long_signature(own: np.ndarray) -> bytes:
+    """As in ``_signatures``, with four to eight bits a shingle: a power of two of them."""
+    bits = 1 << max(9, (4 * len(own) - 1).bit_length())
+    parity = np.bincount((own >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(signature: np.ndarray, size: int) -> np.ndarray:
+    """The shorter signature of the same set: bits meet by their parity."""
+    return np.bitwise_xor.reduce(signature.reshape(-1, size), axis=0)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in texts.blocks(batches):
         found, offsets = shingle_sets(block.column(1))
-        bodies = [found[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
-        yield pa.RecordBatch.from_arrays([block.column(0), pa.array(bodies, pa.large_binary()).cast(pa.binary())], names=["doc_id", "body"])
+        rows = [found[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+        columns = [pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([_long_signature(r) for r in rows], pa.binary())]
+        yield pa.RecordBatch.from_arrays([block.column(0), pa.array(np.diff(offsets)), *columns], names=["doc_id", "n", "body", "signature"])
+
+
+def _near_long_signatures(percent: int):
+    ones = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for s, t, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                size = min(len(x), len(y))
+                apart = int(ones[_folded(x, size) ^ _folded(y, size)].sum(dtype=np.int64))
+                keep.append(apart <= _most_apart(s + t, percent))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _linked(percent: int):
@@ -295,8 +356,13 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> Data
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     if pairs.count() <= MOST_BROADCAST // 2:
         ends = F.broadcast(ends)
-    sets = docs.join(ends, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "doc_id bigint, body binary")
-    sets = write_and_reread(sets, "sets")
+    sets = docs.join(ends, "doc_id", "left_semi").select("doc_id", "text")
+    sets = write_and_reread(sets.mapInArrow(_sets, "doc_id bigint, n bigint, body binary, signature binary"), "sets")
+    # long signatures first: the sets themselves only go where a link is likely
+    marks = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("s"), F.col("signature").alias("x")), "a")
+    marks = marks.join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("t"), F.col("signature").alias("y")), "b")
+    marks = marks.select("a", "b", "s", "t", "x", "y").mapInArrow(_near_long_signatures(percent), "a bigint, b bigint")
+    pairs = write_and_reread(marks.distinct(), "likely-pairs")
     beside = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("body").alias("body_b")), "b")
     beside = beside.join(sets.select(F.col("doc_id").alias("a"), F.col("body").alias("body_a")), "a")
     linked = beside.select("a", "b", "body_a", "body_b").mapInArrow(_linked(percent), "a bigint, b bigint")
@@ -304,25 +370,58 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> Data
 
 
 def _across(percent: int):
-    """Pairs of one cell with different components, similar sizes and near signatures."""
+    """Rows sorted by cell (key, i, j). Pairs of one cell, between its sides i and j, with different
+    components, similar sizes and near signatures; a cell holds two blocks at most."""
     ones = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
-    def run(table: pa.Table) -> pa.Table:
-        doc, label, size, side, i, j = (table[c].to_numpy() for c in ("doc_id", "label", "size", "side", "i", "j"))
-        bits = np.frombuffer(b"".join(table["body"].to_pylist()), np.uint8).reshape(len(doc), -1)
-        left = np.flatnonzero(side == i)
-        right = np.flatnonzero(side == j)
-        found = []
-        for x in left:
-            y = right[(label[right] != label[x]) & (size[right] * percent <= size[x] * 100) & (size[x] * percent <= size[right] * 100)]
-            if len(y):
-                apart = ones[bits[y] ^ bits[x]].sum(axis=1, dtype=np.int64)
-                # |A xor B| = s + t - 2 * overlap at most
-                most = size[y] + size[x] - 2 * (-(-percent * (size[y] + size[x]) // (100 + percent)))
-                near = y[apart <= most]
-                found.append(np.stack([np.minimum(doc[near], doc[x]), np.maximum(doc[near], doc[x])], axis=1))
-        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+    def pairs(side, doc, label, size, bits, i, j) -> Iterator[np.ndarray]:
+        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        step = max(1, (1 << 20) // max(1, len(right)))
+        for at in range(0, len(left), step):
+            some = left[at : at + step]
+            near = label[some][:, None] != label[right]
+            s, t = size[some][:, None], size[right]
+            near &= (s * percent <= t * 100) & (t * percent <= s * 100)
+            x, y = np.nonzero(near)
+            x, y = some[x], right[y]
+            for cut in range(0, len(x), 1 << 16):
+                u, v = x[cut : cut + (1 << 16)], y[cut : cut + (1 << 16)]
+                apart = ones[bits[u] ^ bits[v]].sum(axis=1, dtype=np.int64)
+                good = apart <= _most_apart(size[u] + size[v], percent)
+                u, v = doc[u[good]], doc[v[good]]
+                yield np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: pa.Table | None = None
+        seen: set[tuple[int, int]] = set()
+
+        def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            key, i, j, side, doc, label, size = (table[c].to_numpy() for c in range(7))
+            bits = np.frombuffer(b"".join(table[7].to_pylist()), np.uint8).reshape(len(key), -1)
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            heads = np.flatnonzero(new)
+            for a, b in zip(heads, np.append(heads[1:], len(key))):
+                for found in pairs(side[a:b], doc[a:b], label[a:b], size[a:b], bits[a:b], i[a], j[a]):
+                    fresh = [p for p in map(tuple, found.tolist()) if p not in seen]
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.update(fresh)
+                    if fresh:
+                        x, y = zip(*fresh)
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if carry is None else pa.concat_tables([carry, table]).combine_chunks()
+            key, i, j = (table[c].to_numpy() for c in range(3))
+            same = (key == key[-1]) & (i == i[-1]) & (j == j[-1]) if len(key) else np.ones(0, bool)
+            whole = int(len(key) - same.sum())  # the last cell may go on
+            if whole:
+                yield from flush(table.slice(0, whole))
+            carry = table.slice(whole)
+        if carry is not None and carry.num_rows:
+            yield from flush(carry)
 
     return run
 
@@ -330,17 +429,20 @@ def _across(percent: int):
 def across_components(lists: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Candidate pairs of long lists between components. Lists within one component end here; the
     others are cut into blocks, and each pair of blocks is a group of bounded size."""
-    known = lists.select("key", F.col("a").alias("doc_id"), F.col("size").cast("bigint").alias("size")).distinct()
-    about = nodes.where("n_shingles > 0").join(labels, "rep", "left").select(
-        "doc_id", F.coalesce("component", "rep").alias("label"), "body"
-    )
-    rows = write_and_reread(known.join(about.dropDuplicates(["doc_id"]).hint("shuffle_merge"), "doc_id"), "long-lists")
-    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
+    known = lists.select("key", F.col("a").alias("doc_id"), F.col("s").cast("bigint").alias("size")).distinct()
+    named = nodes.where("n_shingles > 0 AND doc_id IS NOT NULL").join(labels, "rep", "left")
+    named = named.select("doc_id", F.coalesce("component", "rep").alias("label"), "body").dropDuplicates(["doc_id"])
+    labelled = known.join(named.select("doc_id", "label"), "doc_id")
+    mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
     mixed = mixed.where("x != y").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = known.join(mixed, "key").join(named, "doc_id")
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    split = rows.join(mixed, "key").withColumn("side", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = split.select("key", "doc_id", "label", "size", "side", "body", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    return cells.groupBy("key", "i", "j").applyInArrow(_across(percent), "a bigint, b bigint")
+    split = rows.withColumn("side", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = split.select(
+        "key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"),
+        "side", "doc_id", "label", "size", "body",
+    )
+    return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(percent), "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -356,9 +458,9 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_i
     nodes = write_and_reread(nodes.join(classes, ["high", "low"], "left"), "nodes")
 
     keys = docs.mapInArrow(_keys(spark.sparkContext.broadcast(counts), boundary, percent), "key bigint, doc_id bigint, size int")
-    dealt = keys.repartition("key").sortWithinPartitions("key", "size", "doc_id")
+    dealt = keys.repartition("key").sortWithinPartitions("key", "doc_id", "size")
     listed = write_and_reread(dealt.mapInArrow(_scan_lists(percent), LISTED), "lists")
-    links = confirmed(docs, listed.where("key IS NULL"), percent)
+    links = confirmed(docs, hopeful(listed.where("key IS NULL"), nodes, percent), percent)
     labels = components(_by_class(links, nodes))
     rest = across_components(listed.where("key IS NOT NULL"), nodes, labels.withColumnRenamed("node", "rep"), percent)
     more = confirmed(docs, rest, percent)

@@ -109,7 +109,6 @@ def test_near_groups_of_all_sizes(spark, monkeypatch):
 
 def test_large_groups_and_common_passages(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 16)
-    monkeypatch.setattr(jaccard, "SHORT", 2)
     rng = random.Random(2)
     passage = [f"p{i}" for i in range(40)]
     texts = varied(3, [f"g{i}" for i in range(80)], 60, 4)  # many links, not between all
