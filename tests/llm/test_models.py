@@ -59,7 +59,7 @@ def test_words_of_a_context_sum_to_one():
     """The classes' softmax and the masses within classes are distributions."""
     rng = np.random.default_rng(0)
     weights = rng.normal(size=(lm.ROWS, lm.CLASSES)).astype(np.float32)
-    x = lm.logits(weights, rng.integers(0, lm.ROWS, (6, 5)))
+    x = lm.logits(weights, list(rng.integers(0, lm.ROWS, (5, 6))))
     p = np.exp(x - x.max(axis=1, keepdims=True))
     assert np.allclose((p / p.sum(axis=1, keepdims=True)).sum(axis=1), 1)
     known = lm.Vocabulary(10, 2, 1, {5: 0}, np.full(lm.CLASSES, lm.EXTRA))
