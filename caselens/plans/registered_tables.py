@@ -518,7 +518,7 @@ def guarded_sql(spark, sf):
 )
 def sql_policy(spark, sf):
     texts = view(spark, sf, "sql_texts")
-    compat = sql_tool.sql_policy(texts).withColumnsRenamed(
+    compat = sql_tool.sql_policy(texts, strict=False).withColumnsRenamed(
         {"reason": "compat_reason", "allowed": "compat_allowed"}
     )
     strict = sql_tool.sql_policy(compat, strict=True).withColumnsRenamed(

@@ -514,7 +514,9 @@ def answer_questions(spark, sf):
         then=f"""
         SELECT source_table, count(*) AS n_vectors, CAST(sum(strlen(content)) AS BIGINT) AS content_bytes,
                CAST(sum(strlen(metadata)) AS BIGINT) AS metadata_bytes
-        FROM ({" UNION ALL ".join(_DOCS.values())}) GROUP BY source_table""",
+        FROM (SELECT source_table, source_id, min(content) AS content, arg_min(metadata, content) AS metadata
+              FROM ({" UNION ALL ".join(_DOCS.values())}) GROUP BY source_table, source_id)
+        GROUP BY source_table""",
     )
 )
 def ingest_records(spark, sf):
