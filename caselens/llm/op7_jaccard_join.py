@@ -362,7 +362,10 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> Data
     marks = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("s"), F.col("signature").alias("x")), "a")
     marks = marks.join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("t"), F.col("signature").alias("y")), "b")
     marks = marks.select("a", "b", "s", "t", "x", "y").mapInArrow(_near_long_signatures(percent), "a bigint, b bigint")
+    small = pairs.count() <= MOST_BROADCAST // 2
     pairs = write_and_reread(marks.distinct(), "likely-pairs")
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = sets.join(F.broadcast(ends) if small else ends, "doc_id", "left_semi")
     beside = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("body").alias("body_b")), "b")
     beside = beside.join(sets.select(F.col("doc_id").alias("a"), F.col("body").alias("body_a")), "a")
     linked = beside.select("a", "b", "body_a", "body_b").mapInArrow(_linked(percent), "a bigint, b bigint")
