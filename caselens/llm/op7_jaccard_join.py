@@ -1,7 +1,7 @@
 """Jaccard join of shingle sets, size-aware: subsets of light sets, inverted lists of heavy ones.
 
 A document's set is its distinct shingles of ``SHINGLE`` words. Two sets link when
-100 * intersection >= 85 * union. The work is split at a size boundary:
+100 * intersection >= 85 * union; callers may ask for another length and share. The work is split at a size boundary:
 
 * Two light sets of sizes s and t link only if they share a subset of the least overlap these
   sizes need, so all subsets of that fixed size are enumerated as keys. For small sets these
@@ -30,6 +30,7 @@ table gives an empty result; columns beside the two named are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 from math import ceil, comb
 
@@ -118,13 +119,13 @@ def _signatures(found: np.ndarray, offsets: np.ndarray) -> list[bytes]:
 PROFILE = "doc_id bigint, n_shingles bigint, high bigint, low bigint, chunk int, body binary"
 
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _profile(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """A row per document (size, digest, signature) and, at the end, the task's sketch in chunks."""
     sketch = np.zeros(CELLS, np.uint32)
     kind = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     names = ["doc_id", "n_shingles", "high", "low", "chunk", "body"]
     for block in texts.blocks(batches):
-        found, offsets = shingle_sets(block.column(1))
+        found, offsets = shingle_sets(block.column(1), shingle)
         cells, times = np.unique(found & np.uint64(CELLS - 1), return_counts=True)
         sketch[cells.astype(np.int64)] += times.astype(np.uint32)
         digests = [xxhash.xxh3_128_intdigest(found[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
@@ -169,7 +170,7 @@ def mean_list(sketch: np.ndarray) -> float:
     return max(1.0, (counts**2).sum() / total - total / CELLS) if total else 1.0
 
 
-def _keys(sketch, boundary: int, percent: int):
+def _keys(sketch, boundary: int, percent: int, shingle: int):
     """(key, doc_id, size) rows: subsets of light sets, prefixes of the sets that may meet a heavy one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +179,7 @@ def _keys(sketch, boundary: int, percent: int):
         prefixes = np.zeros(1, np.int64)
         for block in texts.blocks(batches):
             docs, nulls = texts.ids_of(block, "doc_id")
-            found, offsets = shingle_sets(block.column(1))
+            found, offsets = shingle_sets(block.column(1), shingle)
             sizes = np.diff(offsets)
             fresh = np.zeros(len(sizes), bool)
             for i in np.flatnonzero((sizes > 0) & ~nulls):
@@ -312,9 +313,9 @@ def _folded(signature: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(signature.reshape(-1, size), axis=0)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for block in texts.blocks(batches):
-        found, offsets = shingle_sets(block.column(1))
+        found, offsets = shingle_sets(block.column(1), shingle)
         rows = [found[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
         columns = [pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([_long_signature(r) for r in rows], pa.binary())]
         yield pa.RecordBatch.from_arrays([block.column(0), pa.array(np.diff(offsets)), *columns], names=["doc_id", "n", "body", "signature"])
@@ -349,7 +350,7 @@ def _linked(percent: int):
     return run
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) whose sets link, checked on the sets. Only documents that are in a pair are
     shingled; their ids are broadcast up to ``MOST_BROADCAST`` of them and joined beyond."""
     pairs = write_and_reread(pairs.select("a", "b").distinct(), "pairs")
@@ -357,7 +358,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> Data
     if pairs.count() <= MOST_BROADCAST // 2:
         ends = F.broadcast(ends)
     sets = docs.join(ends, "doc_id", "left_semi").select("doc_id", "text")
-    sets = write_and_reread(sets.mapInArrow(_sets, "doc_id bigint, n bigint, body binary, signature binary"), "sets")
+    sets = write_and_reread(sets.mapInArrow(partial(_sets, shingle=shingle), "doc_id bigint, n bigint, body binary, signature binary"), "sets")
     # long signatures first: the sets themselves only go where a link is likely
     marks = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("s"), F.col("signature").alias("x")), "a")
     marks = marks.join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("t"), F.col("signature").alias("y")), "b")
@@ -448,25 +449,27 @@ def across_components(lists: DataFrame, nodes: DataFrame, labels: DataFrame, per
     return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(percent), "a bigint, b bigint")
 
 
-def near_groups(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_groups(
+    docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE
+) -> DataFrame:
     """Per document ``doc_id``, ``n_shingles``, ``component_id``: the smallest id linked with it
-    directly or through others."""
+    directly or through others, over shingles of ``shingle`` words."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-    profiles = write_and_reread(docs.mapInArrow(_profile, PROFILE), "profiles")
+    profiles = write_and_reread(docs.mapInArrow(partial(_profile, shingle=shingle), PROFILE), "profiles")
     counts = whole_sketch(profiles)
     boundary = choose_boundary(mean_list(counts), percent)
     nodes = profiles.where("chunk IS NULL").select("doc_id", "n_shingles", "high", "low", "body")
     classes = nodes.where("n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("rep"))
     nodes = write_and_reread(nodes.join(classes, ["high", "low"], "left"), "nodes")
 
-    keys = docs.mapInArrow(_keys(spark.sparkContext.broadcast(counts), boundary, percent), "key bigint, doc_id bigint, size int")
+    keys = docs.mapInArrow(_keys(spark.sparkContext.broadcast(counts), boundary, percent, shingle), "key bigint, doc_id bigint, size int")
     dealt = keys.repartition("key").sortWithinPartitions("key", "doc_id", "size")
     listed = write_and_reread(dealt.mapInArrow(_scan_lists(percent), LISTED), "lists")
-    links = confirmed(docs, hopeful(listed.where("key IS NULL"), nodes, percent), percent)
+    links = confirmed(docs, hopeful(listed.where("key IS NULL"), nodes, percent), percent, shingle)
     labels = components(_by_class(links, nodes))
     rest = across_components(listed.where("key IS NOT NULL"), nodes, labels.withColumnRenamed("node", "rep"), percent)
-    more = confirmed(docs, rest, percent)
+    more = confirmed(docs, rest, percent, shingle)
     if not more.isEmpty():
         labels = components(_by_class(links.union(more), nodes))
     labels = labels.select(F.col("node").alias("rep"), "component")

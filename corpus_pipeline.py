@@ -16,6 +16,11 @@ from caselens.scratch import write_and_reread
 from caselens.shipping import ship
 
 
+#: Near copies are judged on shingles of this many words and this least share in percent; the
+#: query of operator 7 has values of its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is certain enough."""
     ship(spark)
@@ -25,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id."""
     ship(spark)
-    groups = op7_jaccard_join.near_groups(docs)
+    groups = op7_jaccard_join.near_groups(docs, NEAR_PERCENT, shingle=NEAR_WORDS)
     gone = groups.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
