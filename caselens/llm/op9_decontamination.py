@@ -4,7 +4,8 @@ scan the word windows of the documents, compare hits word by word, and report sp
 Words: A-Z in lower case, runs of 0-9, a-z and everything beyond ASCII. A window is ``width``
 words of an item; an item with fewer, but not none, is one window. The windows are
 broadcast in parts of at most ``PART_BYTES`` of item text: a larger benchmark takes several
-scans of the documents, whose hits are then merged per document. No document is shuffled.
+scans of the documents, which are then written once with a number per row, by which the hits
+are merged. No text is shuffled.
 
 Defined results: null texts and texts without words hit nothing; items without words have no
 window; a null item id is reported as ``null``; repeated items and windows count once per
@@ -14,12 +15,14 @@ item id; empty tables give no rows or no hits; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from caselens.llm import texts
+from caselens.scratch import write_and_reread
 
 WIDTH = 10
 PART_BYTES = 64 << 20
@@ -69,15 +72,16 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2])]
 
 
-FOUND = "doc_id bigint, n_words bigint, spans array<struct<first:bigint,last:bigint>>, items array<string>"
+FOUND = "n_words bigint, spans array<struct<first:bigint,last:bigint>>, items array<string>"
 
 
 def _scan(known):
+    """The hits of each row, after its columns but the text, which is the last."""
     kind = pa.struct([("first", pa.int64()), ("last", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in texts.blocks(batches):
-            words = texts.split_words(block.column(1), alphanumeric=True)
+            words = texts.split_words(block.column(block.num_columns - 1), alphanumeric=True)
             flags = np.zeros(len(words.codes), bool)
             items: dict[int, set[str]] = {}
             for begin, length, names in known.value.hits(words):
@@ -91,8 +95,8 @@ def _scan(known):
                 spans.append([{"first": x, "last": y} for x, y in _runs(flags[a:b])] if hit else [])
                 named.append(sorted(items[row]) if hit else [])
             yield pa.RecordBatch.from_arrays(
-                [block.column(0).cast(pa.int64()), pa.array(np.diff(words.offsets)), pa.array(spans, pa.list_(kind)), pa.array(named, pa.list_(pa.string()))],
-                names=["doc_id", "n_words", "spans", "items"],
+                [*block.columns[:-1], pa.array(np.diff(words.offsets)), pa.array(spans, pa.list_(kind)), pa.array(named, pa.list_(pa.string()))],
+                names=[*block.schema.names[:-1], "n_words", "spans", "items"],
             )
 
     return run
@@ -118,22 +122,19 @@ def contamination(
     docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_column: str = "doc_id",
     text_column: str = "text", part_bytes: int = PART_BYTES,
 ) -> DataFrame:
-    """Per document: ``doc_id``, ``n_words``, hit word ``spans`` [first, last) and the ``items``
-    of the windows that occur. Ids must tell documents apart where several parts are needed."""
+    """Per row: ``doc_id``, ``n_words``, hit word ``spans`` [first, last) and the ``items`` of the
+    windows that occur."""
     spark = docs.sparkSession
-    pairs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    scans = [
-        pairs.mapInArrow(_scan(spark.sparkContext.broadcast(WindowSet(part, width))), FOUND)
-        for part in benchmark_parts(benchmark, part_bytes=part_bytes)
-    ]
-    if not scans:
-        scans = [pairs.mapInArrow(_scan(spark.sparkContext.broadcast(WindowSet([], width))), FOUND)]
-    if len(scans) == 1:
-        return scans[0]
-    both = scans[0]
-    for scan in scans[1:]:
-        both = both.unionByName(scan)
-    merged = both.groupBy("doc_id").agg(
+    pairs = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
+    parts = [spark.sparkContext.broadcast(WindowSet(part, width)) for part in benchmark_parts(benchmark, part_bytes=part_bytes)]
+    if len(parts) < 2:
+        known = parts[0] if parts else spark.sparkContext.broadcast(WindowSet([], width))
+        return pairs.mapInArrow(_scan(known), f"doc_id bigint, {FOUND}")
+    # written, so that all scans see the same numbers
+    rows = write_and_reread(pairs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "numbered")
+    scans = [rows.mapInArrow(_scan(known), f"rid bigint, doc_id bigint, {FOUND}") for known in parts]
+    merged = reduce(DataFrame.unionByName, scans).groupBy("rid").agg(
+        F.max("doc_id").alias("doc_id"),
         F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),  # one short list per part
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -145,7 +146,7 @@ def contamination(
                        array(named_struct('first', element_at(acc, -1).first, 'last', greatest(element_at(acc, -1).last, s.last)))),
                 concat(acc, array(s))))"""
     )
-    return merged.withColumn("spans", joined)
+    return merged.drop("rid").withColumn("spans", joined)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -253,6 +253,16 @@ def test_contamination(spark, part_bytes):
     assert Counter(tuple(r) for r in got) == brute_hits(texts, ITEMS)
 
 
+def test_every_row_has_its_own_result_with_many_parts(spark):
+    """Rows without an id and rows that repeat one, all with hits of their own."""
+    texts = [(r[0], r[1][:6000] if r[1] else r[1]) for r in ODD] + [(2, "two words"), (None, "Two words"), (None, "no id twice, no id")]
+    benchmark = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    want = brute_hits(texts, ITEMS)
+    for part_bytes in (decontamination.PART_BYTES, 60):
+        found = decontamination.contamination(frame(spark, texts).repartition(3), benchmark, part_bytes=part_bytes)
+        assert Counter(tuple(r) for r in decontamination.digest(found).collect()) == want
+
+
 def test_contamination_of_odd_rows_and_empty_tables(spark, odd, empty):
     benchmark = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     assert decontamination.contamination(odd, benchmark).count() == len(ODD)
