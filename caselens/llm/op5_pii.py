@@ -1,8 +1,8 @@
 """Personal data: candidate spans, boosted trees, calibrated thresholds.
 
 Four kinds have exact rules (``base_spans``): email, ip, card, phone. Beside them, generators
-with high recall propose overlapping candidates: anything with enough digits in groups, and
-anything around an at sign. Boosted trees score candidates by format (digits, groups,
+with high recall propose overlapping candidates: every run of digit groups of up to
+``MOST_DIGITS`` digits, and every whole word with an at sign in it. Boosted trees score candidates by format (digits, groups,
 separators, checksum) and context (what stands around them). They learn from a bounded sample
 which candidates the rules confirm; a leading plus is left out of the features, so a number
 written like the confirmed ones but without it can be found. The threshold is the lowest at
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,9 @@ from caselens.llm.boosting import Trees, calibrated_threshold
 SAMPLE_DOCS = 8000
 SAMPLE_ROWS = 100_000
 PRECISION = 0.995
+MOST_DIGITS = 20
+LEAST_LENGTH = 7
+CHUNK = 4096
 KINDS = ("email", "ip", "card", "phone", "address", "number")
 RANK = {kind: i for i, kind in enumerate(KINDS)}
 
@@ -44,7 +48,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]")
-_NUMBER = re.compile(r"\(?[0-9][0-9 ().-]{5,38}[0-9]")
+_NUMBER = re.compile(r"\(?[0-9](?:[0-9 ().-]*[0-9])?")
 _RUNS = re.compile(r"[0-9]+")
 
 
@@ -93,26 +97,42 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], RANK[s[2]]))
 
 
-def candidates(text: str) -> list[Span]:
-    """Proposed spans, overlapping: numbers whole and from each later group, and words around an
-    at sign with and without what follows a second one."""
-    found = []
+def _numbers(text: str) -> Iterator[Span]:
+    """In each maximal run of digits and separators: from each group to each later one with at most
+    ``MOST_DIGITS`` digits in all, long before short, and single groups and the whole run whatever their digits."""
     for m in _NUMBER.finditer(text):
-        found.append((m.start(), m.end(), "number"))
-        inner = next((r.start() for r in _RUNS.finditer(text, m.start(), m.end()) if r.start() > m.start() + 1), None)
-        if inner is not None and m.end() - inner >= 7:
-            found.append((inner, m.end(), "number"))
+        if m.end() - m.start() < LEAST_LENGTH:
+            continue
+        groups = [r.span() for r in _RUNS.finditer(text, m.start(), m.end())]
+        for i, (start, end) in enumerate(groups):
+            ends, digits = [end], end - start
+            for a, b in groups[i + 1 : i + MOST_DIGITS]:
+                digits += b - a
+                if digits > MOST_DIGITS:
+                    break
+                ends.append(b)
+            if i == 0 and ends[-1] != m.end():
+                ends.append(m.end())
+            for stop in reversed(ends):
+                if stop - start >= LEAST_LENGTH:
+                    if start > m.start() and text[start - 1] == "(":
+                        yield start - 1, stop, "number"
+                    yield start, stop, "number"
+
+
+def candidates(text: str) -> Iterator[Span]:
+    """Proposed spans, overlapping: numbers, and words with an at sign inside."""
+    yield from _numbers(text)
     at = text.find("@")
     while at >= 0:
         left, right = at, at + 1
-        while left > max(0, at - 64) and not text[left - 1].isspace():
+        while left > 0 and not text[left - 1].isspace():
             left -= 1
-        while right < min(len(text), at + 64) and not text[right].isspace():
+        while right < len(text) and not text[right].isspace():
             right += 1
-        if left < at and right > at + 1:
-            found.append((left, right, "address"))
-        at = text.find("@", at + 1)
-    return found
+        if text.find("@", left + 1, right - 1) >= 0:
+            yield left, right, "address"
+        at = text.find("@", right)
 
 
 def _class(c: str) -> int:
@@ -156,39 +176,42 @@ class Model:
     def added(self, text: str, base: list[Span]) -> list[Span]:
         if self.trees is None or self.threshold > 1:
             return []
-        proposed = [c for c in candidates(text) if not _touches(c, base)]
-        if not proposed:
-            return []
-        p = self.trees.probability(np.array([features(text, c) for c in proposed], float))
+        covered = bytearray(len(text))
+        for start, end, _ in base:
+            covered[start:end] = b"\1" * (end - start)
+        proposed = (c for c in candidates(text) if covered.find(1, c[0], c[1]) < 0)
+        likely: list[tuple[float, Span]] = []
+        while chunk := list(islice(proposed, CHUNK)):
+            p = self.trees.probability(np.array([features(text, c) for c in chunk], float))
+            likely += [(float(p[i]), chunk[i]) for i in np.flatnonzero(p >= self.threshold)]
         kept: list[Span] = []
-        for i in np.argsort(-p, kind="stable"):
-            if p[i] >= self.threshold and not _touches(proposed[i], kept):
-                kept.append(proposed[i])
+        for _, c in sorted(likely, key=lambda x: -x[0]):
+            if covered.find(1, c[0], c[1]) < 0:
+                kept.append(c)
+                covered[c[0] : c[1]] = b"\1" * (c[1] - c[0])
         return kept
 
 
-def _touches(span: Span, others: list[Span]) -> bool:
-    return any(span[0] < o[1] and o[0] < span[1] for o in others)
-
-
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates of the sample with features and whether a rule confirms them: a base span that
     begins at the candidate, or at the plus before it, and ends with it."""
-    for batch in batches:
-        ids, rows, labels = [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if not text:
-                continue
-            ends = {}
-            for a, b, _ in base_spans(text):
-                ends.setdefault(b, []).append(a)
-            for c in candidates(text):
-                rows.append(features(text, c))
-                plus = c[0] > 0 and text[c[0] - 1] == "+"
-                labels.append(any(a == c[0] - plus for a in ends.get(c[1], ())))
-                ids.append(doc)
+    def rows() -> Iterator[tuple[int, list[float], bool]]:
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not text:
+                    continue
+                ends = {}
+                for a, b, _ in base_spans(text):
+                    ends.setdefault(b, []).append(a)
+                for c in candidates(text):
+                    plus = c[0] > 0 and text[c[0] - 1] == "+"
+                    yield doc, features(text, c), any(a == c[0] - plus for a in ends.get(c[1], ()))
+
+    found = rows()
+    while chunk := list(islice(found, CHUNK)):
+        ids, x, y = zip(*chunk)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(np.array(rows, float).tolist(), pa.list_(pa.float64())), pa.array(labels, pa.bool_())],
+            [pa.array(ids, pa.int64()), pa.array(np.array(x, float).tolist(), pa.list_(pa.float64())), pa.array(y, pa.bool_())],
             names=["h", "x", "y"],
         )
 

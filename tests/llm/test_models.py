@@ -136,6 +136,26 @@ def test_model_adds_numbers_written_without_a_plus(spark):
     assert got[5001].spans == "" == got[5002].spans
 
 
+def test_candidates_hold_every_run_of_groups():
+    text = "row 12 34 716-555-8176 99"
+    spans = {text[a:b] for a, b, _ in pii.candidates(text)}
+    assert {"716-555-8176", "34 716-555-8176", "12 34 716-555-8176 99", "716-555-8176 99"} <= spans
+    text = "7 " * 40 + "(716) 555-8176" + " 8" * 40
+    assert {"716) 555-8176", "(716) 555-8176"} <= {text[a:b] for a, b, _ in pii.candidates(text)}
+    text = f"see {'a' * 90}@{'b' * 90}.org, @x y@ @"
+    assert [text[a:b] for a, b, _ in pii.candidates(text)] == [f"{'a' * 90}@{'b' * 90}.org,"]
+
+
+def test_model_adds_numbers_within_lists_of_numbers(spark):
+    texts = ["row 12 34 716-555-8176 99", "log " + "7 " * 40 + "1 (716) 555-8176 end"]
+    model = pii.fit(spark.createDataFrame(planted(1500), "doc_id bigint, text string"))
+    assert model.threshold <= 1
+    scores = [{t[a:b]: model.trees.probability(np.array([pii.features(t, (a, b, k))]))[0] for a, b, k in pii.candidates(t)} for t in texts]
+    assert "716-555-8176" in scores[0] and "1 (716) 555-8176" in scores[1]
+    got = [model.added(t, []) for t in texts]
+    assert all(a[1] <= b[0] for own in got for a, b in zip(sorted(own), sorted(own)[1:]))
+
+
 def test_personal_data_of_odd_rows(odd, empty):
     found = pii.digest(pii.find(odd)).collect()
     assert Counter(r.doc_id for r in found) == Counter(r[0] for r in ODD)
