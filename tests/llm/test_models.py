@@ -66,6 +66,15 @@ def test_words_of_a_context_sum_to_one():
     assert known.classes_of([b"\x05", b"zz"]).tolist() == [0, lm.OTHER]
 
 
+def test_frequent_endings_have_classes_of_their_own(spark):
+    endings = [f"{a}{b}" for a in "abcdef" for b in "abcdefghij"]
+    train = [i for i in range(100) if remainder(i)][:3]
+    docs = spark.createDataFrame([(i, " ".join(f"word{e}" for e in endings)) for i in train], "doc_id bigint, text string")
+    known = lm.vocabulary(lm.count_words(docs))
+    found = known.classes_of([f"word{e}".encode() for e in endings])
+    assert len(set(found.tolist())) == 60 and lm.OTHER not in found
+
+
 # ---- personal data ---------------------------------------------------------------------------
 
 
