@@ -334,7 +334,7 @@ def adapted(length: int, needs: np.ndarray) -> int:
 
 
 def _drift(old: np.ndarray, new: np.ndarray) -> np.ndarray:
-    return np.sqrt(((new - old) ** 2).sum(2).astype(np.float64)) * (1 + SLACK)
+    return np.sqrt(((new - old) ** 2).sum(-1).astype(np.float64)) * (1 + SLACK)
 
 
 def fit_and_encode(
