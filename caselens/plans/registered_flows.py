@@ -28,7 +28,7 @@ from caselens.plans.standins import table, view, with_views
 from caselens.schemas import DEFAULT_TOP_K, RECORD_TABLES
 from caselens.scratch import scratch_path
 from caselens.sources import csv_tables
-from caselens.streaming import status as stream_status
+from caselens.streaming import state as stream_state, status as stream_status, timers
 
 # ---- CSV ------------------------------------------------------------------------------
 
@@ -271,53 +271,94 @@ def linked_images(spark, sf):
 # ---- events ---------------------------------------------------------------------------
 
 
-@registered(
-    """WITH last AS (SELECT max(event_id) AS id FROM events WHERE event_type = 'signup' AND user_id % 5 = 0)
+_CLEARED_SQL = """WITH last AS (SELECT max(event_id) AS id FROM events WHERE event_type = 'signup' AND user_id % 5 = 0)
        SELECT user_id, arg_max(event_type, event_id) AS status,
               arg_max(value, event_id) FILTER (WHERE event_type = 'purchase') AS amount, count(*) AS n_updates
        FROM events, last WHERE (last.id IS NULL OR event_id > last.id) AND NOT (event_type = 'signup' AND user_id % 5 = 0)
        GROUP BY user_id"""
-)
+
+
+@registered(_CLEARED_SQL)
 def latest_state_cleared(spark, sf):
     """Some sign-ups delete all that was known before."""
-    updates = table(spark, sf, "events").select(
+    return events.latest_state(_updates(spark, sf), "user_id", ["event_id"], ["status", "amount"], _clears())
+
+
+def _in_order(spark, log, order, slices=6):
+    """A stream of files that hold the rows of ``log`` in slices of ``order``, one a batch."""
+    path = scratch_path(spark, "log")
+    number = F.unix_micros(order) if dict(log.dtypes)[order] == "timestamp" else F.col(order)
+    bounds = log.select(F.percentile_approx(number, [i / slices for i in range(1, slices)])).first()[0]
+    place = sum((number > F.lit(b)).cast("int") for b in bounds)
+    for i in range(slices):  # written in order, so they are read in order
+        log.where(place == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _updates(spark, sf):
+    return table(spark, sf, "events").select(
         "user_id",
         "event_id",
         F.col("event_type").alias("status"),
         F.when(F.col("event_type") == "purchase", F.col("value")).alias("amount"),
     )
-    clears = (F.col("status") == "signup") & (F.col("user_id") % 5 == 0)
-    return events.latest_state(updates, "user_id", ["event_id"], ["status", "amount"], clears)
+
+
+def _clears():
+    return (F.col("status") == "signup") & (F.col("user_id") % 5 == 0)
+
+
+@registered(_CLEARED_SQL)
+def stream_latest_state(spark, sf):
+    """Updates in six batches, some of which clear all that was known."""
+    target, fields = scratch_path(spark, "states"), ["status", "amount"]
+    stream = _in_order(spark, _updates(spark, sf), "event_id")
+    stream_state.stream_latest_state(
+        stream, target, scratch_path(spark, "checkpoint"), "user_id", ["event_id"], fields, _clears(), compact_after=2
+    ).awaitTermination()
+    return stream_state.read_latest_state(spark, target, stream.schema, "user_id", ["event_id"], fields)
 
 
 _GAP_SECONDS = 60
 
 
-@registered(
-    f"""WITH r AS (SELECT user_id, min(ts) AS s, max(ts) AS seen, min(ts) FILTER (WHERE event_type = 'error') AS ended
+def _requests_log(spark, sf):
+    """A request per user."""
+    return table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("request_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.when(F.col("event_type") == "error", F.lit("error")).otherwise(F.lit("output")).alias("type"),
+    )
+
+
+_GAPS_SQL = f"""WITH r AS (SELECT user_id, min(ts) AS s, max(ts) AS seen, min(ts) FILTER (WHERE event_type = 'error') AS ended
                    FROM events GROUP BY user_id)
         SELECT CAST(user_id AS VARCHAR) AS request_id, strftime(s, '%Y-%m-%d %H:%M:%S') AS started_at,
                '{events.TIMED_OUT.format(seconds=_GAP_SECONDS)}' AS message
         FROM r WHERE s + INTERVAL {_GAP_SECONDS} SECOND < (SELECT max(ts) FROM events)
           AND (ended IS NULL OR ended > s + INTERVAL {_GAP_SECONDS} SECOND)"""
-)
+
+
+@registered(_GAPS_SQL)
 def stream_deadlines_gaps(spark, sf):
     """Requests, one per user, that return long after their deadline, over and over: each is
     reported once. The log comes in order of time."""
-    path, target = scratch_path(spark, "log"), scratch_path(spark, "deadlines")
-    log = table(spark, sf, "events").select(
-        F.col("user_id").cast("string").alias("request_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.when(F.col("event_type") == "error", F.lit("error")).otherwise(F.lit("output")).alias("type"),
-    )
-    slices = 6
-    bounds = log.select(F.percentile_approx("ts", [i / slices for i in range(1, slices)])).first()[0]
-    place = sum((F.col("ts") > F.lit(b)).cast("int") for b in bounds)
-    for i in range(slices):  # a file per slice of time, written in order
-        log.where(place == i).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    target = scratch_path(spark, "deadlines")
+    stream = _in_order(spark, _requests_log(spark, sf), "ts")
     stream_status.stream_deadlines(
         stream, target, scratch_path(spark, "checkpoint"), seconds=_GAP_SECONDS
     ).awaitTermination()
     found = stream_status.read_deadlines(spark, target)
     return found.withColumn("started_at", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@registered(_GAPS_SQL)
+def stream_deadlines_state(spark, sf):
+    """The same by keyed state and timers."""
+    target = scratch_path(spark, "deadlines")
+    stream = _in_order(spark, _requests_log(spark, sf), "ts")
+    timers.stream_deadlines_state(
+        stream, target, scratch_path(spark, "checkpoint"), seconds=_GAP_SECONDS
+    ).awaitTermination()
+    found = timers.read_deadlines(spark, target)
+    return found.withColumn("started_at", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss"))

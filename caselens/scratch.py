@@ -44,3 +44,10 @@ def remove(spark: SparkSession, path: str) -> None:
     """Remove what was written at ``path``, on whatever file system it is."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def finished_numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """The n of the finished folders ``kind=n`` below ``path``."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}=*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or ())

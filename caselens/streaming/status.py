@@ -12,7 +12,7 @@ from caselens.operators.events import (
     status_columns,
     status_of,
 )
-from caselens.scratch import remove
+from caselens.scratch import finished_numbers, remove
 from caselens.sources.csv_tables import stored_table
 
 MERGE_EVERY = 16  # batches whose summaries are merged into one
@@ -56,18 +56,11 @@ def stream_request_status(
     return writer.start()
 
 
-def _numbers(spark: SparkSession, target: str, kind: str) -> list[int]:
-    """The n of the finished folders ``kind=n`` below ``target``."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{kind}=*/_SUCCESS")
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or ())
-
-
 def read_request_status(spark: SparkSession, target: str, request: str = "request_id") -> DataFrame:
     """The status of every request so far: the last merged table and the batches after it."""
-    merged = _numbers(spark, target, "merged")[-1:]
+    merged = finished_numbers(spark, target, "merged")[-1:]
     parts = [f"{target}/merged={n}" for n in merged]
-    parts += [f"{target}/batch={n}" for n in _numbers(spark, target, "batch") if not merged or n > merged[0]]
+    parts += [f"{target}/batch={n}" for n in finished_numbers(spark, target, "batch") if not merged or n > merged[0]]
     return status_of(merge_status(spark.read.parquet(*parts), request), request)
 
 
