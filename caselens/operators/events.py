@@ -66,6 +66,31 @@ def _clip(body: Column, at: Column, low: Column, high: Column) -> tuple[Column,
     return F.substring(body, (start - at + 1).cast("int"), (stop - start).cast("int")), start
 
 
+def split_pages(pages: DataFrame, places: DataFrame, request: str, page_chars: int) -> DataFrame:
+    """(request, part, page, text) of pages (request, page, body), cut at known ``places``: per request
+    ``marker_at`` and the first and last character of both parts that is no white space; -1
+    for what there is not. A request may have any number of pages: its rows are spread."""
+    at = F.col("page") * F.lit(page_chars)
+    thinking, _ = _clip(F.col("body"), at, F.col("thinking_from"), F.col("thinking_to"))
+    answer, _ = _clip(F.col("body"), at, F.col("answer_from"), F.col("answer_to"))
+    parts = F.array(
+        F.struct(F.lit("thinking").alias("part"), thinking.alias("text"), (F.col("thinking_from") >= 0).alias("there")),
+        F.struct(F.lit("answer").alias("part"), answer.alias("text"), (F.col("answer_from") >= 0).alias("there")),
+    )
+    cut = skew_join(pages.select(request, "page", "body"), places, [request], salt_on=["page"])
+    filled = cut.select(request, "page", F.explode(parts).alias("p")).where(F.col("p.there") & (F.length("p.text") > 0))
+    # parts without any text: one empty row, or the message where there is no marker
+    message = F.when(F.col("marker_at") < 0, F.lit(NO_MARKER)).otherwise("")
+    empty = F.array(
+        F.when(F.col("thinking_from") < 0, F.struct(F.lit("thinking").alias("part"), F.lit("").alias("text"))),
+        F.when(F.col("answer_from") < 0, F.struct(F.lit("answer").alias("part"), message.alias("text"))),
+    )
+    unfilled = places.select(request, F.explode(F.filter(empty, lambda p: p.isNotNull())).alias("p"))
+    return filled.select(request, "p.part", "page", "p.text").unionByName(
+        unfilled.select(request, "p.part", F.lit(0).cast("bigint").alias("page"), "p.text")
+    )
+
+
 def answer_split(
     events: DataFrame, request: str = "request_id", page_chars: int = PAGE_CHARS, span: int = SPAN
 ) -> DataFrame:

@@ -18,6 +18,9 @@ from caselens.plans.registered_text import (
     _DOCS,
     _DISTANCE_SQL,
     _MULTI_SQL,
+    _PAGE,
+    _SPLIT_SQL,
+    _events,
     EMBEDDER,
     QUESTION,
     WIDTH,
@@ -28,7 +31,7 @@ from caselens.plans.standins import table, view, with_views
 from caselens.schemas import DEFAULT_TOP_K, RECORD_TABLES
 from caselens.scratch import scratch_path
 from caselens.sources import csv_tables
-from caselens.streaming import state as stream_state, status as stream_status, timers
+from caselens.streaming import answers as stream_answers_, state as stream_state, status as stream_status, timers
 
 # ---- CSV ------------------------------------------------------------------------------
 
@@ -314,9 +317,9 @@ def stream_latest_state(spark, sf):
     target, fields = scratch_path(spark, "states"), ["status", "amount"]
     stream = _in_order(spark, _updates(spark, sf), "event_id")
     stream_state.stream_latest_state(
-        stream, target, scratch_path(spark, "checkpoint"), "user_id", ["event_id"], fields, _clears(), compact_after=2
+        stream, target, scratch_path(spark, "checkpoint"), "user_id", ["event_id"], fields, _clears(), buckets=8, compact_after=2
     ).awaitTermination()
-    return stream_state.read_latest_state(spark, target, stream.schema, "user_id", ["event_id"], fields)
+    return stream_state.read_latest_state(spark, target, stream.schema, "user_id", ["event_id"], fields, buckets=8)
 
 
 _GAP_SECONDS = 60
@@ -362,3 +365,20 @@ def stream_deadlines_state(spark, sf):
     ).awaitTermination()
     found = timers.read_deadlines(spark, target)
     return found.withColumn("started_at", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@registered(_SPLIT_SQL)
+def stream_answer_split(spark, sf):
+    """Answers followed over micro-batches. Each output comes in pieces of three characters,
+    so files and batches end anywhere inside the marker."""
+    log = _events(spark, sf).select("request_id", "seq", "type", F.coalesce("text", F.lit("")).alias("text"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(3))
+    pieces = log.select("*", F.explode(starts).alias("at"))
+    piece = F.when(F.col("type") == "output", F.substring("text", F.col("at"), F.lit(3)))
+    log = pieces.select("request_id", (F.col("seq") * 1000 + F.col("at")).alias("seq"), "type", piece.alias("text"))
+    target = scratch_path(spark, "answers")
+    stream = _in_order(spark, log, "seq")
+    stream_answers_.stream_answers(
+        stream, target, scratch_path(spark, "checkpoint"), page_chars=_PAGE, buckets=8
+    ).awaitTermination()
+    return stream_answers_.read_answers(spark, target, stream.schema["request_id"], page_chars=_PAGE, buckets=8)

@@ -41,12 +41,15 @@ class Watch:
 
     def __call__(self, key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         started, ended, closed = state.get if state.exists else (None, None, False)
-        if closed:
-            if state.hasTimedOut:
-                state.remove()
-            return
+        if closed and self.forgotten(started, state):
+            state.remove()
+            started, ended, closed = None, None, False
         if state.hasTimedOut:
-            yield from self.close(key, started, ended, state)
+            if started is not None and not closed:
+                yield from self.close(key, started, ended, state)
+            return
+        if closed:
+            self.stay_closed(started, ended, state)
             return
         for part in rows:
             started = _least(started, part["started"])
@@ -63,17 +66,28 @@ class Watch:
     def close(self, key: tuple, started: int, ended: int | None, state: GroupState) -> Iterator[pd.DataFrame]:
         """The deadline has passed: report the request if it had not ended, and stay closed."""
         deadline = started + self.wait
-        if self.keep == 0:
-            state.remove()
-        else:
-            state.update((started, ended, True))
-            if self.keep is not None:
-                state.setTimeoutTimestamp(max(deadline // 1000, state.getCurrentWatermarkMs()) + 1000 * self.keep + 1)
+        self.stay_closed(started, ended, state)
         if ended is None or ended > deadline:
             at = pd.to_datetime([started], unit="us")
             yield pd.DataFrame({"request": list(key), "started_at": at, "message": [self.message]})
 
 
+    def forgotten(self, started: int, state: GroupState) -> bool:
+        return self.keep is not None and state.getCurrentWatermarkMs() > self.forget_at(started)
+
+    def forget_at(self, started: int) -> int:
+        return (started + self.wait) // 1000 + 1000 * self.keep
+
+    def stay_closed(self, started: int, ended: int | None, state: GroupState) -> None:
+        if self.keep is None:
+            state.update((started, ended, True))
+        elif not self.forgotten(started, state):
+            state.update((started, ended, True))
+            state.setTimeoutTimestamp(max(self.forget_at(started), state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+
+
 def _least(known: int | None, found: pd.Series) -> int | None:
     values = found.dropna()
     if not len(values):
@@ -97,9 +111,9 @@ def stream_deadlines_state(
 
     Needs ``ts`` and ``type``. A request is keyed state with a timer at its deadline, which goes off
     when the watermark, the latest time of earlier batches less ``delay``, has passed it: within ``delay``
-    events may come in any order, and those that come later still are not read. A closed
-    request stays as one flag, for good or until ``keep_closed`` seconds of event time later;
-    its later events change nothing. Reports are appended to the table at ``target``. Nothing
+    events may come in any order; those that come later still may be left out. A closed
+    request stays as one flag, for good or until ``keep_closed`` seconds of event time after its
+    deadline; events it sends meanwhile change nothing. Reports are appended to the table at ``target``. Nothing
     else is written, and a batch reads no more than its own rows and the states they touch.
     """
     kind = events.schema[request].dataType
