@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from caselens.functions.text import has_content
-from caselens.operators.skew import fits_broadcast, missing_from
+from caselens.operators.skew import fits_broadcast, held_of, missing_from, without_keys
 from caselens.schemas import DEFAULT_BATCH, EMBEDDINGS_KEY
 from caselens.scratch import write_and_reread
 
@@ -146,23 +146,38 @@ def unembedded(documents: DataFrame, existing: DataFrame) -> DataFrame:
     return missing_from(documents.where(has_content("content")), existing, EMBEDDINGS_KEY)
 
 
-def one_per_key(documents: DataFrame) -> DataFrame:
-    """Each (source_table, source_id) once: of several rows the least by their values.
+def new_documents(
+    documents: DataFrame, held: DataFrame | Callable[[DataFrame], DataFrame | None] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Documents with content whose (source_table, source_id) is not held yet, each key once (of
+    several rows the least by their values); and their keys, stored.
 
-    Keys that repeat are looked for first, by the keys alone. As a rule there are none or
-    few, and then the texts need not be sorted. Repeats are combined before any shuffle,
-    so a key that repeats very often costs no more than another.
+    The keys are counted and stored first; all that is asked of them is asked of that table.
+    ``held`` is a table of keys or a function from asked keys to those of them that are held.
+    Texts are read once after that, and combined before any shuffle only for keys that
+    repeat, so a key that repeats very often costs no more than another.
     """
+    todo = documents.where(has_content("content"))
+    keys = write_and_reread(todo.groupBy(*EMBEDDINGS_KEY).agg(F.count(F.lit(1)).alias("_n")), "asked-keys")
+    known = held(keys.select(*EMBEDDINGS_KEY)) if callable(held) else held
+    if known is not None:
+        known = write_and_reread(held_of(keys, known, EMBEDDINGS_KEY).distinct(), "held-keys")
+        side = F.broadcast(known) if fits_broadcast(known) else known
+        keys = write_and_reread(without_keys(keys, side, EMBEDDINGS_KEY), "new-keys")
+        todo = without_keys(todo, side, EMBEDDINGS_KEY)
+    repeated = keys.where("_n > 1").select(*EMBEDDINGS_KEY)
+    if not repeated.isEmpty():
+        todo = _least_of(todo, repeated)
+    return todo, keys.select(*EMBEDDINGS_KEY).dropna()
+
+
+def _least_of(documents: DataFrame, repeated: DataFrame) -> DataFrame:
     rest = [c for c in documents.columns if c not in EMBEDDINGS_KEY]
 
     def least(rows: DataFrame) -> DataFrame:
         kept = rows.groupBy(*EMBEDDINGS_KEY).agg(F.min(F.struct(*rest)).alias("_row"))
         return kept.select(*EMBEDDINGS_KEY, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
-    repeated = documents.groupBy(*EMBEDDINGS_KEY).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    repeated = write_and_reread(repeated.select(*EMBEDDINGS_KEY), "repeated-keys")
-    if repeated.isEmpty():
-        return documents
     if not fits_broadcast(repeated):
         return least(documents)
     repeated = F.broadcast(repeated)
@@ -170,20 +185,11 @@ def one_per_key(documents: DataFrame) -> DataFrame:
     return single.unionByName(least(documents.join(repeated, EMBEDDINGS_KEY, "left_semi")))
 
 
-def embed_documents(
-    documents: DataFrame,
-    embedder: Embedder,
-    existing: DataFrame | None = None,
-    **options,
-) -> DataFrame:
-    """Rows for the vector table: new documents only, each (source_table, source_id) once."""
-    todo = one_per_key(documents.where(has_content("content")))
-    if existing is not None:
-        todo = unembedded(todo, existing)
-    # Embedding costs far more than moving the texts, so they are spread evenly over the
-    # tasks; by ranges of the key, so that each task has few source tables to write.
-    todo = todo.repartitionByRange(*EMBEDDINGS_KEY)
-    return embed_texts(todo, "content", embedder, **options).select(
+def embed_rows(documents: DataFrame, embedder: Embedder, **options) -> DataFrame:
+    """Rows for the vector table. Embedding costs far more than moving the texts, so they are
+    spread evenly over the tasks by their key, which no two of them share."""
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return embed_texts(documents.repartition(tasks, *EMBEDDINGS_KEY), "content", embedder, **options).select(
         embedding_id().alias("embedding_id"),
         "source_table",
         "source_id",
@@ -195,6 +201,16 @@ def embed_documents(
     )
 
 
+def embed_documents(
+    documents: DataFrame,
+    embedder: Embedder,
+    existing: DataFrame | None = None,
+    **options,
+) -> DataFrame:
+    """Rows for the vector table: new documents only, each (source_table, source_id) once."""
+    return embed_rows(new_documents(documents, existing)[0], embedder, **options)
+
+
 def describe_images(
     images: DataFrame,
     describer: Callable[[str, bytes], str],

@@ -144,9 +144,20 @@ def missing_from(df: DataFrame, existing: DataFrame, keys: list[str]) -> DataFra
     key are spread, a key that repeats very often is split by adaptive execution.
     """
     asked = write_and_reread(df.select(*keys).distinct(), "keys")
-    present = existing.select(*keys).join(F.broadcast(asked) if fits_broadcast(asked) else asked, keys, "left_semi")
+    return without_keys(df, held_of(asked, existing, keys), keys)
+
+
+def held_of(asked: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys of ``existing`` that are among ``asked``, a stored table, which is sent to where
+    ``existing`` is read if it is of a checked size."""
+    asked = asked.select(*keys)
+    return existing.select(*keys).join(F.broadcast(asked) if fits_broadcast(asked) else asked, keys, "left_semi")
+
+
+def without_keys(df: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``held``; rows without a key are spread."""
     no_key = F.coalesce(*[F.when(F.col(k).isNull(), F.lit(True)) for k in keys], F.lit(False))
     group = F.when(no_key, F.pmod(F.xxhash64(*df.columns), F.lit(NO_KEY_GROUPS))).otherwise(F.lit(0).cast("bigint"))
     none = F.pmod(F.xxhash64(*keys), F.lit(1))  # always 0, but no constant, so it stays a key of the join
     spread = df.withColumn("_group", group)
-    return spread.join(present.withColumn("_group", none), [*keys, "_group"], "left_anti").select(*df.columns)
+    return spread.join(held.withColumn("_group", none), [*keys, "_group"], "left_anti").select(*df.columns)

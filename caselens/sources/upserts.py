@@ -77,10 +77,14 @@ class UpsertTable:
         path = f"{self.path}/kind={kind}/version={version}"
         placed.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
+    def stored(self, spark: SparkSession, buckets: list[int] | None = None) -> DataFrame:
+        """Rows as they were written, of the given buckets or of all: a key may have several."""
+        parts = [p for p in self.last(spark).parts if buckets is None or p[2] in buckets]
+        return self._read(spark, parts).select(*self.schema.names)
+
     def read(self, spark: SparkSession, buckets: list[int] | None = None) -> DataFrame:
         """One row per key, of the given buckets or of all."""
-        parts = [p for p in self.last(spark).parts if buckets is None or p[2] in buckets]
-        return self.merged(self._read(spark, parts)).select(*self.schema.names)
+        return self.merged(self.stored(spark, buckets)).select(*self.schema.names)
 
     def upsert(self, rows: DataFrame, tag: str, cleared: bool = False) -> None:
         """Merge ``rows`` into the table; ``cleared`` deletes all that was there before."""

@@ -21,7 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from caselens.functions.text import PYTHON_SPACE_CHARS
 from caselens.operators.events import ANSWER_MARKER, PAGE_CHARS, split_pages
 from caselens.sources.csv_tables import existing_table
-from caselens.streaming.upserts import UpsertTable
+from caselens.sources.upserts import UpsertTable
 
 _PLACES = ["length", "marker_at", "thinking_from", "thinking_to", "answer_from", "answer_to"]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from caselens.streaming.upserts import UpsertTable
+from caselens.sources.upserts import UpsertTable
 
 
 def _table(target: str, updates_schema: T.StructType, key: str, order: list[str], fields: list[str], **options) -> UpsertTable:

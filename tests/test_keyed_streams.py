@@ -8,7 +8,7 @@ from pyspark.sql import functions as F, types as T
 
 from caselens.operators import events as E
 from caselens.streaming import answers, state, timers
-from caselens.streaming.upserts import UpsertTable
+from caselens.sources.upserts import UpsertTable
 
 START = dt.datetime(2024, 1, 1)
 LOG = "request_id string, ts timestamp, type string"
