@@ -159,9 +159,12 @@ def new_documents(
     """
     todo = documents.where(has_content("content"))
     keys = write_and_reread(todo.groupBy(*EMBEDDINGS_KEY).agg(F.count(F.lit(1)).alias("_n")), "asked-keys")
-    known = held(keys.select(*EMBEDDINGS_KEY)) if callable(held) else held
+    if callable(held):
+        known = held(keys.select(*EMBEDDINGS_KEY))
+    else:
+        known = held if held is None else held_of(keys, held, EMBEDDINGS_KEY).distinct()
     if known is not None:
-        known = write_and_reread(held_of(keys, known, EMBEDDINGS_KEY).distinct(), "held-keys")
+        known = write_and_reread(known, "held-keys")
         side = F.broadcast(known) if fits_broadcast(known) else known
         keys = write_and_reread(without_keys(keys, side, EMBEDDINGS_KEY), "new-keys")
         todo = without_keys(todo, side, EMBEDDINGS_KEY)

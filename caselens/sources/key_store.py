@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from caselens.operators.skew import fits_broadcast
-from caselens.scratch import finished_numbers, remove, write_and_reread
+from caselens.scratch import finished_numbers, remove, write_and_reread, write_text
 from caselens.sources.upserts import Manifest, UpsertTable
 
 BLOCK_BITS = 32_768  # of a bitmap of Spark's
@@ -31,8 +31,9 @@ class KeyStore:
     path: str
     key: T.StructType
     blocks: int = BLOCKS
-    buckets: int = 64
+    buckets: int = 16
     compact_after: int = 8
+    check_every: int = 8  # additions after which it is seen whether the filter is full
 
     @property
     def table(self) -> UpsertTable:
@@ -42,7 +43,7 @@ class KeyStore:
         return self.table.last(spark)
 
     def _filter(self, blocks: int) -> UpsertTable:
-        return UpsertTable(f"{self.path}/filter/blocks={blocks}", _FILTER, ["block"], {"bits": "bitmap_or_agg"}, 8, self.compact_after)
+        return UpsertTable(f"{self.path}/filter/blocks={blocks}", _FILTER, ["block"], {"bits": "bitmap_or_agg"}, 4, self.compact_after)
 
     def _blocks(self, spark: SparkSession) -> int:
         """The blocks of the filter in use: the largest that was finished."""
@@ -68,14 +69,13 @@ class KeyStore:
         self._filter(blocks).upsert(self._bitmaps(keys, blocks), tag)
         self._finish(spark, blocks)
         self.table.upsert(keys.select(*self.key.names), tag)
-        if self.density(spark) > FULL:
+        if self.last(spark).version % self.check_every == 0 and self.density(spark) > FULL:
             self._grow(spark, blocks)
 
     def _finish(self, spark: SparkSession, blocks: int) -> None:
         folder = f"{self.path}/filter/blocks={blocks}"
         if blocks not in finished_numbers(spark, f"{self.path}/filter", "blocks"):
-            done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-            done.getFileSystem(spark._jsc.hadoopConfiguration()).create(done, True).close()
+            write_text(spark, f"{folder}/_SUCCESS", "")
 
     def density(self, spark: SparkSession) -> float:
         """The share of bits that are set."""

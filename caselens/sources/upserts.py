@@ -14,11 +14,12 @@ time may write to a table.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from caselens.scratch import finished_numbers, remove
+from caselens.scratch import finished_numbers, numbers, read_text, remove, write_text
 
 BUCKETS = 64
 COMPACT_AFTER = 8
@@ -57,9 +58,8 @@ class UpsertTable:
         return grouped.agg(*[F.expr(f"{name}(`{column}`)").alias(column) for column, name in self.merge.items()])
 
     def _manifest(self, spark: SparkSession, version: int) -> Manifest:
-        rows = spark.read.schema("tag string, kind string, version int, bucket int").parquet(f"{self.path}/manifest={version}")
-        rows = rows.collect()  # no more than buckets x (compact_after + 1), and one for the tag
-        return Manifest(version, rows[0]["tag"], [(r["kind"], r["version"], r["bucket"]) for r in rows if r["kind"]])
+        told = json.loads(read_text(spark, f"{self.path}/manifest={version}/_SUCCESS"))
+        return Manifest(version, told["tag"], [tuple(p) for p in told["parts"]])
 
     def last(self, spark: SparkSession) -> Manifest:
         versions = finished_numbers(spark, self.path, "manifest")
@@ -94,9 +94,7 @@ class UpsertTable:
             return
         version = before.version + 1
         self._write(self.merged(rows), "delta", version)
-        written = T.StructType(list(self.schema.fields)).add("bucket", "integer")
-        delta = spark.read.schema(written).parquet(f"{self.path}/kind=delta/version={version}")
-        touched = sorted(r[0] for r in delta.select("bucket").distinct().collect())
+        touched = numbers(spark, f"{self.path}/kind=delta/version={version}", "bucket")
         parts = [] if cleared else list(before.parts)
         parts += [("delta", version, b) for b in touched]
         now = Manifest(version, tag, parts)
@@ -104,9 +102,8 @@ class UpsertTable:
         if due:
             self._write(self.merged(self._read(spark, [p for b in due for p in now.of(b)])), "base", version)
             now = Manifest(version, tag, [p for p in parts if p[2] not in due] + [("base", version, b) for b in due])
-        rows = [(tag, None, None, None), *[(tag, *p) for p in now.parts]]
-        listed = spark.createDataFrame(rows, "tag string, kind string, version int, bucket int")
-        listed.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest={version}")
+        # buckets x (compact_after + 1) parts at most
+        write_text(spark, f"{self.path}/manifest={version}/_SUCCESS", json.dumps({"tag": tag, "parts": now.parts}))
         self._forget(spark, now, before)
 
     def _forget(self, spark: SparkSession, now: Manifest, before: Manifest) -> None:

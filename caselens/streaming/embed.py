@@ -7,14 +7,13 @@ failure asks the table itself, finds there what it had written, and nothing is a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from caselens.operators.embed import Embedder, embed_rows, new_documents
 from caselens.operators.skew import fits_broadcast
 from caselens.schemas import EMBEDDINGS_KEY, EMBEDDINGS_SCHEMA
-from caselens.scratch import write_and_reread
-from caselens.sources.csv_tables import stored_table
+from caselens.scratch import read_text, write_and_reread, write_text
 from caselens.sources.key_store import KeyStore
 from caselens.sources.vector_store import append_vectors, stored_vectors
 
@@ -27,12 +26,6 @@ def keys_of(target: str, **options) -> KeyStore:
     return KeyStore(f"{target}/_keys", key, **options)
 
 
-def _begun(spark: SparkSession, target: str) -> str | None:
-    """The tag of the batch that began last."""
-    found = stored_table(spark, f"{target}/_keys/begun", EMBEDDINGS_SCHEMA[:0].add("tag", "string"))
-    return None if found is None else found.first()["tag"]
-
-
 def add_new(batch: DataFrame, target: str, tag: str, embedder: Embedder, store: KeyStore, **options) -> None:
     """Embed and append the documents of one batch that the table does not hold."""
     spark = batch.sparkSession
@@ -42,11 +35,12 @@ def add_new(batch: DataFrame, target: str, tag: str, embedder: Embedder, store:
     vectors = stored_vectors(spark, target)
     if last.version < 0 and vectors is not None:  # a table from before, or from elsewhere
         store.add(vectors.select(*EMBEDDINGS_KEY).distinct(), "as found")
-    if _begun(spark, target) == tag:
+    begun = f"{target}/_keys/begun"
+    if read_text(spark, begun) == tag:
         held = vectors.select(*EMBEDDINGS_KEY) if vectors is not None else None
     else:
         held = store.held
-        spark.createDataFrame([(tag,)], "tag string").coalesce(1).write.mode("overwrite").parquet(f"{target}/_keys/begun")
+        write_text(spark, begun, tag)
     documents, keys = new_documents(batch, held)
     seen = Observation()
     embedded = embed_rows(documents, embedder, **options)

@@ -39,7 +39,7 @@ def test_held_keys_are_exact(spark, tmp_path):
 
 
 def test_a_full_filter_grows(spark, tmp_path):
-    store = KeyStore(str(tmp_path), KEY, blocks=1, buckets=2)
+    store = KeyStore(str(tmp_path), KEY, blocks=1, buckets=2, check_every=1)
     for i in range(2):
         pairs = spark.range(4000 * i, 4000 * i + 4000).select(F.lit("t").alias("a"), F.col("id").cast("string").alias("b"))
         store.add(pairs, f"run:{i}")
