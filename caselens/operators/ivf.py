@@ -75,7 +75,7 @@ def default_cells(n_vectors: int, width: int) -> int:
 
 
 def fit_centres(
-    vectors: DataFrame, n_cells: int, seed: int = 0, max_iter: int = 20, vector: str = "embedding"
+    vectors: DataFrame, n_cells: int, seed: int = 0, max_iter: int = 10, vector: str = "embedding"
 ) -> np.ndarray:
     """k-means centres of all unit vectors, fitted by Spark's distributed k-means."""
     known = vectors.where(F.col(vector).isNotNull())
@@ -93,7 +93,7 @@ def build_cells(
     width: int,
     n_cells: int | None = None,
     seed: int = 0,
-    max_iter: int = 20,
+    max_iter: int = 10,
     id_columns: list[str] | None = None,
     vector: str = "embedding",
     centres: np.ndarray | None = None,
@@ -149,10 +149,9 @@ def nearest_in_cells(
     spark = questions.sparkSession
     width = cells.centres.shape[1]
     n_probe = min(n_probe, len(cells.centres))
-    ids, vector = cells.id_columns, cells.vector
+    ids = cells.id_columns
     stored = cells.read(spark)
     schema = result_schema(stored, questions, question_id, ids)
-    arrow_schema = to_arrow_schema(schema)
     questions = questions.select(question_id, question_vector).where(F.col(question_vector).isNotNull())
     local = fits_broadcast(questions, width, limit_bytes)
     if local is None:
@@ -163,11 +162,30 @@ def nearest_in_cells(
     pairs = _nearest_cells(units, cells.centres, n_probe)
     order = np.argsort(pairs, axis=None, kind="stable")
     cell_of, who = pairs.ravel()[order], order // n_probe
-    shared = spark.sparkContext.broadcast((units, local[question_id].combine_chunks(), cell_of, who))
+    found = scan_pairs(cells, stored, units, local[question_id].combine_chunks(), cell_of, who, k, schema)
+    return keep_best(found, question_id, ids, k)
+
+
+def scan_pairs(
+    cells: Cells,
+    stored: DataFrame,
+    units: np.ndarray,
+    names: pa.Array,
+    cell_of: np.ndarray,
+    who: np.ndarray,
+    k: int,
+    schema: T.StructType,
+    limit: np.ndarray | None = None,
+) -> DataFrame:
+    """The k best of each question in the tasks that read the cells it asks: question ``who[i]``
+    asks ``cell_of[i]``, in order of the cells. Nothing beyond a question's ``limit`` is handed on."""
+    spark, ids, vector = stored.sparkSession, cells.id_columns, cells.vector
+    width, arrow_schema = cells.centres.shape[1], to_arrow_schema(schema)
+    shared = spark.sparkContext.broadcast((units, names, cell_of, who, limit))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        question_units, names, cell_of, who = shared.value
-        best = BestPerQuestion(len(question_units), ids, k)
+        question_units, names, cell_of, who, limit = shared.value
+        best = BestPerQuestion(len(question_units), ids, k, limit)
         for table in small_tables(batches, width):
             table = table.sort_by([(c, "ascending") for c in ids])
             rows, valid = matrix_of(table[vector], width)
@@ -185,8 +203,7 @@ def nearest_in_cells(
             yield from finish(found, names, arrow_schema)
 
     probed = stored.where(F.col("cell").isin(np.unique(cell_of).tolist()))
-    cores = spark.sparkContext.defaultParallelism
-    return keep_best(probed.coalesce(TASKS_PER_CORE * cores).mapInArrow(scan, schema), question_id, ids, k)
+    return probed.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism).mapInArrow(scan, schema)
 
 
 def _cell_grid(cells, stored, questions, question_id, question_vector, n_probe, k, schema, grid_rows):

@@ -18,12 +18,13 @@ RANGES = 1024  # of a key with more than ``span`` rows
 MAX_CUT_BYTES = 64 << 20
 
 
-def _ranged(df: DataFrame, key: str, seq: str, span: int) -> DataFrame:
-    """Add ``_range``. No more than one key per ``span`` rows of the table can need cutting."""
-    large = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > span).select(key)
-    large = write_and_reread(large, "large-keys")
-    if large.isEmpty():
-        return df.withColumn("_range", F.lit(0))
+def _ranged(df: DataFrame, key: str, seq: str, span: int) -> DataFrame | None:
+    """Add ``_range``, or None if no key has to be cut, which one aggregate tells. No more than
+    one key per ``span`` rows of the table can need cutting."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    if (counts.agg(F.max("_n")).first()[0] or 0) <= span:
+        return None
+    large = write_and_reread(counts.where(F.col("_n") > span).select(key), "large-keys")
     shares = [i / RANGES for i in range(1, RANGES)]
     own = df.select(key, seq).join(F.broadcast(large) if fits_broadcast(large) else large, key, "left_semi")
     cuts = own.groupBy(key).agg(F.percentile_approx(seq, shares, 4 * RANGES).alias("_cuts"))
@@ -37,6 +38,9 @@ def _ranged(df: DataFrame, key: str, seq: str, span: int) -> DataFrame:
 def running_total(df: DataFrame, key: str, seq: str, value: str, name: str, span: int = SPAN) -> DataFrame:
     """Add ``name``: the sum of ``value`` over earlier rows of the key (0 for the first)."""
     ranged = _ranged(df, key, seq, span)
+    if ranged is None:
+        earlier = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, F.coalesce(F.sum(value).over(earlier), F.lit(0)))
     earlier_ranges = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         ranged.groupBy(key, "_range")
@@ -56,8 +60,11 @@ def running_total(df: DataFrame, key: str, seq: str, value: str, name: str, span
 
 def with_next(df: DataFrame, key: str, seq: str, columns: list[str], span: int = SPAN) -> DataFrame:
     """Add ``next_<column>`` from the following row of the key (NULL for the last)."""
-    ranged = _ranged(df, key, seq, span)
     row = F.struct(*columns)
+    ranged = _ranged(df, key, seq, span)
+    if ranged is None:
+        following = df.withColumn("_next", F.lead(row).over(Window.partitionBy(key).orderBy(seq)))
+        return following.select(*df.columns, *[F.col("_next")[c].alias(f"next_{c}") for c in columns])
     inside = Window.partitionBy(key, "_range").orderBy(seq)
     ranged = ranged.withColumn("_next", F.lead(row).over(inside))
     # the first row of the next range that has any, one row per range

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from caselens.schemas import RECORD_TABLES
-from caselens.scratch import write_and_reread
 
 
 def _any(conditions):
@@ -81,34 +80,24 @@ def width_rejects(df: DataFrame, key: str, vector: str, width: int) -> DataFrame
 def check_record_tables(tables: dict[str, DataFrame]) -> DataFrame:
     """Violation counts for every key and reference of the loaded record tables.
 
-    Each table is read once: its keys and references become (rule, value) rows, counted per
-    value before anything is compared. References then meet the keys of their parents.
+    A rule reads the columns it is about, in their own types. References are counted per value
+    in the tasks that read them, so a value that very many rows name meets its parent once.
     """
-    rules, counted = [], []
+    n_rows, zero = F.count(F.lit(1)).alias("n"), F.lit(0).cast("bigint")
+    found = []
+
+    def add(name: str, rule: str, column: str, bad: DataFrame) -> None:
+        counted = bad.agg(F.count(F.lit(1)).alias("n_values"), F.coalesce(F.sum("n"), zero).alias("n_rows"))
+        labels = [F.lit(name).alias("table_name"), F.lit(rule).alias("rule"), F.lit(column).alias("column_name")]
+        found.append(counted.select(*labels, "n_values", "n_rows"))
+
     for name, df in tables.items():
         spec = RECORD_TABLES[name]
-        own = [(len(rules), name, "primary key", spec.key, name)]
-        own += [
-            (len(rules) + 1 + i, name, "reference", fk, parent)
-            for i, (fk, (parent, _)) in enumerate((r for r in spec.references.items() if r[1][0] in tables))
-        ]
-        rules += own
-        cells = F.array(
-            *[F.struct(F.lit(n).alias("rule_no"), F.col(column).cast("string").alias("value")) for n, _, _, column, _ in own]
-        )
-        counted.append(df.select(F.explode(cells).alias("c")).groupBy("c.rule_no", "c.value").agg(F.count(F.lit(1)).alias("n")))
-    values = write_and_reread(reduce(DataFrame.unionByName, counted), "key-values")
-    listed = values.sparkSession.createDataFrame(
-        rules, "rule_no int, table_name string, rule string, column_name string, parent string"
-    )
-    known = values.join(F.broadcast(listed), "rule_no")
-    keys = known.where(F.col("rule") == "primary key")
-    bad_keys = keys.where((F.col("n") > 1) | F.col("value").isNull()).select("rule_no", "n")
-    parents = keys.select(F.col("table_name").alias("parent"), "value")
-    used = known.where((F.col("rule") == "reference") & F.col("value").isNotNull())
-    orphans = used.join(parents, ["parent", "value"], "left_anti").select("rule_no", "n")
-    found = bad_keys.unionByName(orphans).groupBy("rule_no").agg(F.count(F.lit(1)).alias("n_values"), F.sum("n").alias("n_rows"))
-    zero = F.lit(0).cast("bigint")
-    return listed.join(found, "rule_no", "left").select(
-        "table_name", "rule", "column_name", F.coalesce("n_values", zero).alias("n_values"), F.coalesce("n_rows", zero).alias("n_rows")
-    )
+        keys = df.groupBy(spec.key).agg(n_rows)
+        add(name, "primary key", spec.key, keys.where((F.col("n") > 1) | F.col(spec.key).isNull()))
+        for column, (parent, parent_key) in spec.references.items():
+            if parent in tables:
+                used = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_value")).agg(n_rows)
+                known = tables[parent].select(F.col(parent_key).alias("_value"))
+                add(name, "reference", column, used.join(known, "_value", "left_anti"))
+    return reduce(DataFrame.unionByName, found)

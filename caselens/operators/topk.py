@@ -25,6 +25,8 @@ MAX_BROADCAST_BYTES = 128 << 20  # the question matrix sent to every executor
 MAX_QUESTIONS = 50_000  # questions whose k best a task keeps
 MAX_CELLS = 4 << 20  # numbers of a matrix held at once in a task
 GRID_BYTES = 64 << 20  # of vectors, and of questions, in one group of the grid
+SAMPLE_ROWS = 4 << 20  # vectors that give a first bound
+SAMPLE_TASKS = 64
 TASKS_PER_CORE = 2  # tasks that scan all vectors; each emits questions x k rows at most
 
 _NAN, _NULL = 3.0, 4.0  # sort positions beyond any distance
@@ -53,9 +55,10 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
 class BestPerQuestion:
     """The k best (question, distance, ids) seen so far, as one small Arrow table."""
 
-    def __init__(self, n_questions: int, id_columns: list[str], k: int):
+    def __init__(self, n_questions: int, id_columns: list[str], k: int, limit: np.ndarray | None = None):
+        """``limit``: distances beyond which nothing of a question is wanted."""
         self.k, self.ids = k, id_columns
-        self.limit = np.full(n_questions, np.inf)
+        self.limit = np.full(n_questions, np.inf) if limit is None else limit.copy()
         self.tables: list[pa.Table] = []
         self.rows = 0
 
@@ -129,8 +132,9 @@ def scan_batches(
     vector: str,
     k: int,
     schema: pa.Schema,
+    limit: np.ndarray | None = None,
 ) -> Iterator[pa.RecordBatch]:
-    best = BestPerQuestion(len(question_units), id_columns, k)
+    best = BestPerQuestion(len(question_units), id_columns, k, limit)
     width = question_units.shape[1]
     for table in small_tables(batches, width):
         table = table.sort_by([(c, "ascending") for c in id_columns])
@@ -214,6 +218,61 @@ def nearest(
     return keep_best(candidates, question_id, id_columns, k)
 
 
+def nearest_bounded(
+    vectors: DataFrame,
+    questions: DataFrame,
+    k: int = DEFAULT_TOP_K,
+    *,
+    width: int,
+    question_id: str = "question_id",
+    question_vector: str = "embedding",
+    id_columns: list[str] | None = None,
+    vector: str = "embedding",
+    sample_rows: int = SAMPLE_ROWS,
+    limit_bytes: int = MAX_BROADCAST_BYTES,
+) -> DataFrame:
+    """The result of :func:`nearest` in two passes over the vectors, in tasks of the files' own size.
+
+    The first pass compares the questions with about ``sample_rows`` vectors, chosen by a hash of
+    their ids, in a fixed number of tasks: the k-th distance found bounds the true one from
+    above. The second pass hands on only what is within that bound, so about
+    ``k x vectors / sample_rows`` rows of a question in all, however many tasks read them;
+    these are cut to k in the tasks and again when they meet. Questions beyond the limit are taken in
+    the grid of :func:`nearest`.
+    """
+    id_columns = id_columns or ["source_table", "source_id"]
+    schema = result_schema(vectors, questions, question_id, id_columns)
+    arrow_schema = to_arrow_schema(schema)
+    vectors = vectors.select(*id_columns, vector)
+    questions = questions.select(question_id, question_vector).where(F.col(question_vector).isNotNull())
+    options = {"width": width, "question_id": question_id, "question_vector": question_vector}
+    options |= {"id_columns": id_columns, "vector": vector}
+    local = fits_broadcast(questions, width, limit_bytes)
+    if local is None:
+        return nearest(vectors, questions, k, limit_bytes=limit_bytes, **options)
+    units = unit_rows(matrix_of(local[question_vector], width)[0])
+    names = local[question_id].combine_chunks()
+    shared = vectors.sparkSession.sparkContext.broadcast((units, names, np.full(len(units), np.inf)))
+
+    def scan(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            units, names, limit = shared.value
+            yield from scan_batches(batches, units, names, id_columns, vector, k, arrow_schema, limit)
+
+        return run
+
+    share = max(1, vectors.count() // sample_rows)
+    sample = vectors.where(F.pmod(F.xxhash64(*id_columns), F.lit(share)) == 0).repartition(SAMPLE_TASKS, *id_columns)
+    first = keep_best(sample.mapInArrow(scan(shared), schema), question_id, id_columns, k)
+    # one row per question, and the questions fit the driver
+    bounds = first.where(F.col("rank") == k).select(question_id, F.coalesce("distance", F.lit(_NULL)).alias("bound")).toArrow()
+    bound = dict(zip(bounds[question_id].to_pylist(), bounds["bound"].to_numpy()))
+    limit = np.array([bound.get(name, np.inf) for name in names.to_pylist()], dtype="float64")
+    limit[np.isnan(limit)] = _NAN
+    bounded = vectors.sparkSession.sparkContext.broadcast((units, names, limit))
+    return keep_best(vectors.mapInArrow(scan(bounded), schema), question_id, id_columns, k)
+
+
 def _grid(vectors, questions, question_id, question_vector, id_columns, vector, k, width, schema, grid_rows):
     """Spread both sides by hash over a grid whose groups hold about ``grid_rows`` of each."""
     arrow_schema = to_arrow_schema(schema)

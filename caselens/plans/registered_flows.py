@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import pyarrow as pa
 from pyarrow import fs
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F, types as T
 from caselens.functions import links, paths
 from caselens.functions.text import pretty_json
 from caselens.functions.vectors import cosine_distance
-from caselens.operators import embed, events, ivf, topk
+from caselens.operators import bounds, embed, events, ivf, pq, topk
 from caselens.plans import ingest, sql_tool
 from caselens.plans.registered_tables import as_double, as_text, registered
 from caselens.plans.registered_text import (
@@ -22,6 +23,7 @@ from caselens.plans.registered_text import (
     _SPLIT_SQL,
     _events,
     EMBEDDER,
+    PROBED_SHARE,
     QUESTION,
     WIDTH,
     _as_questions,
@@ -29,7 +31,7 @@ from caselens.plans.registered_text import (
 )
 from caselens.plans.standins import table, view, with_views
 from caselens.schemas import DEFAULT_TOP_K, RECORD_TABLES
-from caselens.scratch import scratch_path
+from caselens.scratch import scratch_path, write_and_reread
 from caselens.sources import csv_tables
 from caselens.streaming import answers as stream_answers_, state as stream_state, status as stream_status, timers
 
@@ -204,12 +206,54 @@ def _with_true_distance(found, embeddings, questions):
         FROM embeddings"""
 )
 def ann_ivf_quality(spark, sf):
-    """A third of the cells: k different rows a question, exact distances, recall of 0.6 at least."""
+    """The cells that ``ann_ivf`` probes: k different rows a question, exact distances, recall of 0.9 at least."""
     embeddings, asked = table(spark, sf, "embeddings"), _as_questions(spark, sf)
     cells = ivf.build_cells(embeddings, scratch_path(spark, "cells"), width=WIDTH, id_columns=["vec_id"])
-    found = ivf.nearest_in_cells(cells, asked, n_probe=-(-len(cells.centres) // 3))
+    found = ivf.nearest_in_cells(cells, asked, n_probe=math.ceil(PROBED_SHARE * len(cells.centres)))
     exact = topk.nearest(embeddings, asked, width=WIDTH, id_columns=["vec_id"])
-    return _quality(_with_true_distance(found, embeddings, asked), exact, embeddings.count() * DEFAULT_TOP_K, 0.6)
+    return _quality(_with_true_distance(found, embeddings, asked), exact, embeddings.count() * DEFAULT_TOP_K, 0.9)
+
+
+@registered(
+    f"""SELECT count(*) * {DEFAULT_TOP_K} AS n_rows, true AS distinct_ids, true AS exact_distances, true AS recalled
+        FROM embeddings"""
+)
+def ann_pq_quality(spark, sf):
+    """Product codes at their defaults: k different rows a question, exact distances, recall of 0.9 at least."""
+    embeddings, asked = table(spark, sf, "embeddings"), _as_questions(spark, sf)
+    found = _by_codes(spark, embeddings, asked)
+    exact = topk.nearest(embeddings, asked, width=WIDTH, id_columns=["vec_id"])
+    return _quality(_with_true_distance(found, embeddings, asked), exact, embeddings.count() * DEFAULT_TOP_K, 0.9)
+
+
+def _by_codes(spark, embeddings, asked):
+    codes = pq.build_codes(embeddings, scratch_path(spark, "codes"), width=WIDTH, id_columns=["vec_id"])
+    return write_and_reread(pq.nearest_by_codes(codes, asked), "found")
+
+
+_FILTERED_SQL = _MULTI_SQL.replace("FROM unit q, unit v", "FROM unit q, unit v WHERE v.vec_id IN (SELECT vec_id FROM embeddings WHERE label IN (3, 5))")
+
+
+@registered(f"SELECT 'all' AS records, * FROM ({_MULTI_SQL}) UNION ALL SELECT 'labels 3 and 5', * FROM ({_FILTERED_SQL})")
+def topk_by_bounds(spark, sf):
+    """Exact search that leaves out cells by their bounds and by the labels they hold."""
+    embeddings, asked = table(spark, sf, "embeddings"), _as_questions(spark, sf)
+    cells = bounds.build_bounded_cells(
+        embeddings, scratch_path(spark, "cells"), width=WIDTH, id_columns=["vec_id"], filters=["label"]
+    )
+    ways = {"all": None, "labels 3 and 5": {"label": [3, 5]}}
+    found = [bounds.nearest_by_bounds(cells, asked, wanted=w).select(F.lit(name).alias("records"), "*") for name, w in ways.items()]
+    return found[0].unionByName(found[1]).withColumn("distance", F.abs(F.round("distance", 6)))
+
+
+@registered(_MULTI_SQL)
+def cosine_topk_bounded(spark, sf):
+    """All nearest vectors in two passes: a bound from a tenth of the vectors, then what is within it."""
+    embeddings = table(spark, sf, "embeddings")
+    found = topk.nearest_bounded(
+        embeddings, _as_questions(spark, sf), width=WIDTH, id_columns=["vec_id"], sample_rows=max(1, embeddings.count() // 10)
+    )
+    return found.withColumn("distance", F.abs(F.round("distance", 6)))
 
 
 @registered(
@@ -217,14 +261,14 @@ def ann_ivf_quality(spark, sf):
         FROM (SELECT {_DISTANCE_SQL} AS d FROM embeddings)"""
 )
 def ann_lsh_quality(spark, sf):
-    """Hashing: k different rows, exact distances, recall of 0.6 at least."""
+    """Hashing as in ``ann_lsh``: k different rows, exact distances, recall of 0.9 at least."""
     embeddings = table(spark, sf, "embeddings")
     asked = spark.range(1).select(
         F.lit(0).alias("question_id"), F.array(*[F.lit(x).cast("float") for x in QUESTION]).alias("embedding")
     )
-    found = ivf.nearest_by_hashing(embeddings, QUESTION, id_columns=["vec_id"], n_tables=20).withColumn("question_id", F.lit(0))
+    found = ivf.nearest_by_hashing(embeddings, QUESTION, id_columns=["vec_id"]).withColumn("question_id", F.lit(0))
     exact = topk.nearest_to(embeddings, QUESTION, id_columns=["vec_id"]).withColumn("question_id", F.lit(0))
-    return _quality(_with_true_distance(found, embeddings, asked), exact, DEFAULT_TOP_K, 0.6)
+    return _quality(_with_true_distance(found, embeddings, asked), exact, DEFAULT_TOP_K, 0.9)
 
 
 # ---- text, SQL, links -----------------------------------------------------------------

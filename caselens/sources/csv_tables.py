@@ -2,37 +2,47 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import json
+from collections.abc import Iterator
 from functools import reduce
-from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from caselens.operators.skew import missing_from
 from caselens.schemas import RECORD_TABLES, TIME_COLUMNS
 from caselens.scratch import write_and_reread
+from caselens.sources.files import open_file
 
 
-def _by_header(spark: SparkSession, path: str, options: dict, multi_line: bool) -> list[tuple[list[str], list[str]]]:
+def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, its first record as JSON) of listed files. No more of a file is read."""
+    for batch in batches:
+        paths = batch.column(0).to_pylist()
+        headers = []
+        for path in paths:
+            with open_file(path, unpacked=True) as file, io.TextIOWrapper(file, "utf-8-sig", errors="replace", newline="") as text:
+                headers.append(json.dumps(next(csv.reader(text), [])))
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(headers, pa.string())], ["file", "header"])
+
+
+def _by_header(spark: SparkSession, path: str, options: dict) -> list[tuple[list[str], list[str]]]:
     """(column names, files) of the files at ``path``, those with the same header together.
 
-    The first line of a file is the first row of its first block."""
-    lines = spark.read.text(path)
-    files = lines.inputFiles()
-    if len(files) > 1 and not multi_line:
-        first = (
-            lines.where(F.col("_metadata.file_block_start") == 0)
-            .select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-            .groupBy("file")
-            .agg(F.min_by("value", "at").alias("header"))
-        )
-        groups = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
-        found = [[unquote(f) for f in r["files"]] for r in groups]
-    else:
-        found = [[unquote(f)] for f in files]
-    if len(found) == 1:
+    Files are listed without being opened, and tasks read their first records. Where all files
+    have one header, as a rule, the folder is read as it is; else the names come to the
+    driver, which has to name them to the readers.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", False).load(path).where("length > 0").select("path")
+    headers = write_and_reread(listed.mapInArrow(_headers, "file string, header string"), "headers")
+    kinds = headers.select("header").distinct().limit(2).collect()
+    if len(kinds) < 2:
         return [(spark.read.options(**options).csv(path).columns, [path])]
-    return [(spark.read.options(**options).csv(group[0]).columns, group) for group in found]
+    groups = headers.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    return [(spark.read.options(**options).csv(r["files"][0]).columns, r["files"]) for r in groups]
 
 
 def read_csv(
@@ -82,7 +92,7 @@ def read_csv(
         row = F.struct(*[typed(f).alias(f.name) for f in schema.fields])
         return raw.select(row.alias("row"), record.alias("record"), reason.alias("reason"))
 
-    parts = [judged(header, files) for header, files in _by_header(spark, path, options, multi_line)]
+    parts = [judged(header, files) for header, files in _by_header(spark, path, options)]
     checked = write_and_reread(reduce(DataFrame.unionByName, parts), "csv")
     rows = checked.where(F.col("reason").isNull()).select("row.*")
     return rows, checked.where(F.col("reason").isNotNull()).select("record", "reason")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from caselens.operators.skew import skew_join
+from caselens.operators.skew import fits_broadcast, skew_join
 from caselens.scratch import write_and_reread
+from caselens.sources.files import open_file
 
 IMAGE_GLOB = "*.{jpg,jpeg,png,gif,webp,bmp,svg}"
 
@@ -28,13 +30,6 @@ def relative_path(path: Column, folder: str) -> Column:
     return F.substring_index(plain, marker, -1)
 
 
-def with_image(records: DataFrame, images: DataFrame, path: str = "image_path") -> DataFrame:
-    """Records with their image bytes; ``content`` is NULL where the file is missing. Many
-    records may name one file."""
-    files = images.select(F.col("relative_path").alias(path), "content")
-    return skew_join(records, files, [path], how="left")
-
-
 def with_found(records: DataFrame, images: DataFrame, path: str = "image_path") -> DataFrame:
     """Records with ``found``: whether their image file is there. No file is opened."""
     files = images.select(F.col("relative_path").alias(path), F.lit(True).alias("found"))
@@ -52,6 +47,18 @@ def described_files(
 ) -> DataFrame:
     """(path, description, describe_error) of the files that ``records`` name, each described once,
     beside its scan: the bytes of a file go nowhere else. The result is stored."""
-    wanted = records.select(F.col(path).alias("relative_path")).distinct()
-    files = images.join(wanted, "relative_path", "left_semi").select(F.col("relative_path").alias(path), "content")
-    return write_and_reread(describe(files).drop("content"), "descriptions")
+    wanted = write_and_reread(records.select(F.col(path).alias("relative_path")).distinct(), "wanted-images")
+    if fits_broadcast(wanted):
+        files = images.join(F.broadcast(wanted), "relative_path", "left_semi").select("relative_path", "content")
+    else:  # more paths than are sent to every task: choose by the listing, then open what was chosen
+        chosen = images.select("relative_path", "path").join(wanted, "relative_path", "left_semi")
+        files = chosen.mapInArrow(_opened, "relative_path string, content binary")
+    return write_and_reread(describe(files.withColumnRenamed("relative_path", path)).drop("content"), "descriptions")
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One file per batch."""
+    for batch in batches:
+        for name, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            with open_file(path) as file:
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([file.read()], pa.binary())], ["relative_path", "content"])

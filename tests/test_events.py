@@ -198,7 +198,7 @@ def test_ranges_follow_rows_and_not_numbers(spark):
     df = spark.createDataFrame(rows, "key string, seq bigint, n int")
     sizes = ordered._ranged(df, "key", "seq", 100).where("key = 'hot'").groupBy("_range").count().collect()
     assert len(sizes) > 100 and max(r["count"] for r in sizes) <= 5
-    assert ordered._ranged(df, "key", "seq", 1000).where("_range <> 0").count() == 0
+    assert ordered._ranged(df, "key", "seq", 1000) is None  # no key is that long
     totals = {(r.key, r.seq, r.n): r.t for r in ordered.running_total(df, "key", "seq", "n", "t", span=100).collect()}
     following = {(r.key, r.seq): r.next_seq for r in ordered.with_next(df, "key", "seq", ["seq"], span=100).collect()}
     for key in ("hot", "k3"):

@@ -140,8 +140,21 @@ def test_images(spark, csv_dir):
     rows, _ = csv_tables.read_record_table(spark, f"{csv_dir}/xray.csv", "xray")
     files = images.read_images(spark, csv_dir)
     assert [r.xray_id for r in images.missing_images(rows, files).collect()] == ["X2"]
-    found = {r.xray_id: r.content for r in images.with_image(rows, files).collect()}
-    assert bytes(found["X1"]) == b"12345" and found["X2"] is None
+    (path,) = [r.image_path for r in rows.collect() if r.xray_id == "X1"]
+    for limit in (None, 0):  # sent to the scan, or opened after the listing was joined
+        with pytest.MonkeyPatch.context() as patched:
+            if limit is not None:
+                patched.setattr(images, "fits_broadcast", lambda keys: False)
+            plans = []
+
+            def describe(df):
+                plans.append(df._jdf.queryExecution().executedPlan().toString())
+                return df.withColumn("description", F.decode("content", "utf-8"))
+
+            found = images.described_files(files, rows, describe)
+            assert {r.image_path: r.description for r in found.collect()} == {path: "12345"}
+        # no exchange carries the bytes
+        assert all("content" not in line for line in plans[0].splitlines() if "Exchange" in line)
 
 
 def test_jdbc_options():
