@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from caselens.functions.text import has_content, metadata_json, render
 from caselens.operators.embed import describe_images
@@ -123,3 +123,32 @@ def load_audit(documents: DataFrame, existing: DataFrame) -> DataFrame:
             F.sum(F.when(F.col("_have"), 0).otherwise(F.col("n") - F.col("blank"))).alias("n_to_embed"),
         )
     )
+
+
+def append_audited(documents: DataFrame, existing: DataFrame, path: str, source_tables: list[str]) -> DataFrame:
+    """Append the documents that have content and no vector yet to the table at ``path``, and return
+    what :func:`load_audit` counts, per source table of the given ones.
+
+    The counts are taken while the rows go by on their way to storage: nothing is read
+    back, and no second pass is made. Other source tables are written but not counted.
+    """
+    keys = ["source_table", "source_id"]
+    kinds = {
+        "n_documents": F.lit(True),
+        "n_blank": ~has_content("content"),
+        "n_embedded": has_content("content") & F.col("_have"),
+        "n_to_embed": has_content("content") & ~F.col("_have"),
+    }
+    have = existing.select(*keys).distinct().withColumn("_have", F.lit(True))
+    marked = skew_join(documents, have, keys, how="left").withColumn("_have", F.coalesce("_have", F.lit(False)))
+    seen = Observation()
+    counts = [
+        F.count_if((F.col("source_table") == name) & kind).alias(f"{n}_{column}")
+        for n, name in enumerate(source_tables)
+        for column, kind in kinds.items()
+    ]
+    todo = marked.observe(seen, *counts).where(kinds["n_to_embed"]).drop("_have")
+    todo.select(*documents.columns).write.mode("append").parquet(path)
+    rows = [(name, *[seen.get[f"{n}_{column}"] for column in kinds]) for n, name in enumerate(source_tables)]
+    schema = "source_table string, " + ", ".join(f"{column} bigint" for column in kinds)
+    return documents.sparkSession.createDataFrame(rows, schema)

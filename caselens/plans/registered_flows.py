@@ -10,14 +10,16 @@ from pyarrow import fs
 from pyspark.sql import functions as F, types as T
 
 from caselens.functions import links, paths
+from caselens.functions.json_filter import metadata_contains
 from caselens.functions.text import pretty_json
 from caselens.functions.vectors import cosine_distance
-from caselens.operators import bounds, embed, events, ivf, pq, topk
+from caselens.operators import bounds, documents, embed, events, ivf, pq, topk
 from caselens.plans import ingest, sql_tool
 from caselens.plans.registered_tables import as_double, as_text, registered
 from caselens.plans.registered_text import (
     _DOCS,
     _DISTANCE_SQL,
+    _documents,
     _MULTI_SQL,
     _PAGE,
     _SPLIT_SQL,
@@ -271,6 +273,60 @@ def ann_lsh_quality(spark, sf):
     return _quality(_with_true_distance(found, embeddings, asked), exact, DEFAULT_TOP_K, 0.9)
 
 
+# ---- metadata, audits -----------------------------------------------------------------
+
+_K = "CAST(json_extract_string(props, '$.k') AS INT)"
+
+
+@registered(
+    f"""SELECT event_id, CASE event_type WHEN 'click' THEN 'objects in lists' WHEN 'view' THEN 'empty lists'
+              WHEN 'error' THEN 'nested lists' ELSE 'scalars in lists' END AS held
+        FROM events WHERE event_type IN ('click', 'view') AND {_K} % 3 = 0 OR event_type = 'error' AND {_K} % 3 = 1
+            OR event_type IN ('purchase', 'signup') AND {_K} IN (5, 17)"""
+)
+def metadata_contains_array(spark, sf):
+    """Lists at several depths of metadata, some empty, and what is wanted in them."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    metadata = F.concat(
+        F.lit('{"tags": ["x", '), k.cast("string"), F.lit(', {"a": [1, {"m": '), (k % 3).cast("string"), F.lit('}], "b": "'),
+        F.col("event_type"), F.lit('"}, [[2, "'), F.col("event_type"), F.lit('"], ['), (k % 3).cast("string"), F.lit("]], [], null], "),
+        F.lit('"none": '), F.when(k % 3 == 0, "[]").otherwise("{}"), F.lit("}"),
+    )
+    wanted = {
+        "objects in lists": {"tags": [{"b": "click", "a": [{"m": 0}]}]},
+        "empty lists": {"tags": [[], None, {"b": "view"}], "none": []},
+        "nested lists": {"tags": [[[1]], [["error", 2], [1]]]},
+    }
+    rows = table(spark, sf, "events").select("event_id", metadata.alias("m"))
+    held = F.when(F.lit(False), F.lit(""))
+    for name, value in wanted.items():
+        held = held.when(metadata_contains("m", value), name)
+    either = metadata_contains("m", {"tags": ["x", 5]}) | metadata_contains("m", {"tags": [17, "x", 17]})
+    other = metadata_contains("m", {"tags": [{"b": "purchase"}]}) | metadata_contains("m", {"tags": [{"b": "signup"}]})
+    held = held.when(either & other, "scalars in lists")
+    return rows.select("event_id", held.alias("held")).where("held IS NOT NULL")
+
+
+@registered(
+    with_views(
+        *_DOCS,
+        then=f"""SELECT source_table, count(*) AS n_documents, CAST(0 AS BIGINT) AS n_blank,
+                        count(*) FILTER (WHERE strlen(content) % 3 = 0) AS n_embedded,
+                        count(*) FILTER (WHERE strlen(content) % 3 <> 0) AS n_to_embed
+                 FROM (SELECT source_table, source_id, min(content) AS content
+                       FROM ({" UNION ALL ".join(_DOCS.values())}) GROUP BY source_table, source_id) GROUP BY source_table""",
+    )
+)
+def load_audit_observed(spark, sf):
+    """The documents of all record tables, a third of them embedded before: what is counted while
+    the rest is written."""
+    found = [_documents(spark, sf, name) for name in _DOCS]
+    records = documents.all_documents(*found).groupBy("source_table", "source_id").agg(F.min("content").alias("content"))
+    stored = write_and_reread(records, "documents")
+    before = stored.where(F.octet_length("content") % 3 == 0).select("source_table", "source_id")
+    return documents.append_audited(stored, before, scratch_path(spark, "to-embed"), list(_DOCS))
+
+
 # ---- text, SQL, links -----------------------------------------------------------------
 
 

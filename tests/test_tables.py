@@ -3,7 +3,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from caselens.operators import analytics as A, quality as Q
+from caselens.operators import analytics as A, documents, quality as Q
 from caselens.operators.embed import TokenHashEmbedder
 from caselens.plans import ingest as plan
 from caselens.plans.registered_text import describe_by_size
@@ -136,6 +136,21 @@ def test_only_the_folder_of_a_source_is_read(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(source_table" in plan_text
 
 
+def test_counts_in_flight_equal_the_audit(spark, tmp_path):
+    schema = "source_table string, source_id string, content string, metadata string"
+    rows = [("a", str(i), None if i % 5 == 0 else " " if i % 7 == 0 else f"text {i}", "{}") for i in range(200)]
+    rows += [("b", "1", "x", "{}"), ("b", None, "no key", "{}"), ("d", "1", "not counted", "{}")]
+    docs = spark.createDataFrame(rows, schema).repartition(4)
+    have = docs.where("source_table = 'a' AND cast(source_id AS int) % 3 = 0").select("source_table", "source_id")
+    have = have.union(have)
+    found = documents.append_audited(docs, have, str(tmp_path / "new"), ["a", "b", "c"])
+    audit = documents.load_audit(docs, have).where("source_table <> 'd'")
+    assert sorted(map(tuple, found.where("n_documents > 0").collect())) == sorted(map(tuple, audit.collect()))
+    assert [tuple(r)[1:] for r in found.where("source_table = 'c'").collect()] == [(0, 0, 0, 0)]
+    written = spark.read.parquet(str(tmp_path / "new"))
+    assert written.count() == audit.agg(F.sum("n_to_embed")).first()[0] + 1 and written.columns == docs.columns
+
+
 def test_images(spark, csv_dir):
     rows, _ = csv_tables.read_record_table(spark, f"{csv_dir}/xray.csv", "xray")
     files = images.read_images(spark, csv_dir)

@@ -140,6 +140,46 @@ def test_metadata_contains(spark):
     assert hits({}) == [0, 1, 2, 5]
 
 
+def holds(found, wanted, top=True):
+    """Containment in plain Python."""
+    if isinstance(wanted, dict):
+        return isinstance(found, dict) and all(k in found and holds(found[k], v, False) for k, v in wanted.items())
+    if isinstance(wanted, list):
+        return isinstance(found, list) and all(any(holds(f, w, False) for f in found) for w in wanted)
+    if top and isinstance(found, list):
+        return any(holds(f, wanted, False) for f in found)
+    if wanted is None or isinstance(wanted, (bool, str)):
+        return type(found) is type(wanted) and found == wanted
+    return isinstance(found, (int, float)) and not isinstance(found, bool) and found == wanted
+
+
+def test_lists_in_metadata(spark):
+    docs = [
+        {"a": [1, 2, [3, [4, "x"]], {"b": [None, True]}], "c": []},
+        {"a": [[1], [2, []]], "c": [[]]},
+        {"a": [], "c": {}},
+        {"a": 1, "c": [1, 1]},
+        [1, "x", [2], {"a": 1}, None, True],
+        [[]],
+        [],
+        "x",
+        1,
+        None,
+        {"a": [{"b": [1]}, {"b": [2], "d": 1.0}]},
+        {"a": [1.5, "1", False]},
+    ]
+    wanted = [
+        {"a": []}, {"a": [2, 1, 1]}, {"a": [[]]}, {"a": [[3, [4]]]}, {"a": [[[4]]]}, {"a": [{"b": [None]}]}, {"c": [[]]}, {"c": []},
+        {"a": 1}, {"a": [1]}, {"c": {}}, {"c": [1]}, {"a": [{"b": []}]}, {"a": [{"b": [2], "d": 1}]}, {"a": [{"b": [1], "d": 1}]},
+        [], [[]], [1], ["x", 1], [{"a": 1}], [None, True], "x", 1, None, True, {}, {"a": ["1"]}, {"a": [False, 1.5]}, [[2]], [2],
+    ]
+    rows = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "i int, m string")
+    marked = rows.select("i", *[metadata_contains("m", w).alias(f"w{n}") for n, w in enumerate(wanted)])
+    for row in marked.collect():
+        for n, w in enumerate(wanted):
+            assert row[f"w{n}"] == holds(docs[row.i], w), (docs[row.i], w)
+
+
 def test_paths(spark):
     prefix = "chest_xray_60/NORMAL/"
     cases = {
