@@ -35,7 +35,7 @@ from caselens.plans.standins import table, view, with_views
 from caselens.schemas import DEFAULT_TOP_K, RECORD_TABLES
 from caselens.scratch import scratch_path, write_and_reread
 from caselens.sources import csv_tables
-from caselens.streaming import answers as stream_answers_, state as stream_state, status as stream_status, timers
+from caselens.streaming import answers as stream_answers_, load, state as stream_state, status as stream_status, timers
 
 # ---- CSV ------------------------------------------------------------------------------
 
@@ -58,21 +58,27 @@ def csv_mixed_headers(spark, sf):
     return rows.transform(as_double("amount")).transform(as_text("bill_date"))
 
 
-@registered(
-    """SELECT event_id, CASE WHEN event_type <> 'error' THEN event_type END AS kind, event_type = 'error' AS rejected
+_MAPPED_SQL = """SELECT event_id, CASE WHEN event_type <> 'error' THEN event_type END AS kind, event_type = 'error' AS rejected
        FROM events"""
-)
-def csv_mapped(spark, sf):
-    """A renamed column, an ignored one, and lines with a cell too many, each line a row or a reject."""
-    source = scratch_path(spark, "events-csv")
+
+
+def _write_events(spark, sf, source, half=None):
+    """Events, or a half of them in files of two column orders, as CSV: a column to ignore, and
+    lines with a cell too many."""
     cells = table(spark, sf, "events").select(
         F.col("event_id").alias("id"),
         F.when(F.col("event_type") == "error", F.lit("x,y")).otherwise(F.lit("x")).alias("junk"),
         F.col("event_type").alias("type"),
     )
-    cells.write.option("header", True).option("quote", "\u0000").csv(source)  # unquoted, so x,y is two cells
-    schema = T.StructType().add("event_id", "long").add("kind", "string")
-    rows, rejects = csv_tables.read_csv(spark, source, schema, {"event_id": "id", "kind": "type"})
+    parts = [cells]
+    if half is not None:
+        own = cells.where(F.col("id") % 2 == half)
+        parts = [own.where(F.col("id") % 3 == 0), own.where(F.col("id") % 3 != 0).select("id", "type", "junk")]
+    for part in parts:
+        part.write.mode("append").option("header", True).option("quote", "\u0000").csv(source)  # unquoted, so x,y is two cells
+
+
+def _with_rejects(rows, rejects):
     lost = rejects.select(
         F.regexp_extract("record", r"^(\d+),", 1).cast("bigint").alias("event_id"),
         F.lit(None).cast("string").alias("kind"),
@@ -81,6 +87,30 @@ def csv_mapped(spark, sf):
     return rows.withColumn("rejected", F.lit(False)).unionByName(lost)
 
 
+def _mapped():
+    return T.StructType().add("event_id", "long").add("kind", "string"), {"event_id": "id", "kind": "type"}
+
+
+@registered(_MAPPED_SQL)
+def csv_mapped(spark, sf):
+    """A renamed column, an ignored one, and lines with a cell too many, each line a row or a reject."""
+    source = scratch_path(spark, "events-csv")
+    _write_events(spark, sf, source)
+    return _with_rejects(*csv_tables.read_csv(spark, source, *_mapped()))
+
+
+@registered(_MAPPED_SQL)
+def stream_csv(spark, sf):
+    """The same from a folder that grows while it is loaded, by files of two headers; the second
+    run loads only what came since the first."""
+    source, target, checkpoint = (scratch_path(spark, name) for name in ("events-csv", "loaded", "checkpoint"))
+    schema, mapping = _mapped()
+    for part in (0, 1):
+        _write_events(spark, sf, f"{source}/{part}", part)
+        load.stream_csv(spark, source, target, checkpoint, schema, mapping, files_per_batch=2).awaitTermination()
+    return _with_rejects(*load.read_loaded(spark, target, schema))
+
+
 # ---- ingest ---------------------------------------------------------------------------
 
 

@@ -29,7 +29,7 @@ def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(headers, pa.string())], ["file", "header"])
 
 
-def _by_header(spark: SparkSession, path: str, options: dict) -> list[tuple[list[str], list[str]]]:
+def _by_header(spark: SparkSession, path: str | list[str], options: dict) -> list[tuple[list[str], list[str]]]:
     """(column names, files) of the files at ``path``, those with the same header together.
 
     Files are listed without being opened, and tasks read their first records. Where all files
@@ -40,19 +40,19 @@ def _by_header(spark: SparkSession, path: str, options: dict) -> list[tuple[list
     headers = write_and_reread(listed.mapInArrow(_headers, "file string, header string"), "headers")
     kinds = headers.select("header").distinct().limit(2).collect()
     if len(kinds) < 2:
-        return [(spark.read.options(**options).csv(path).columns, [path])]
+        return [(spark.read.options(**options).csv(path).columns, [path] if isinstance(path, str) else path)]
     groups = headers.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
     return [(spark.read.options(**options).csv(r["files"][0]).columns, r["files"]) for r in groups]
 
 
 def read_csv(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     schema: T.StructType,
     mapping: dict[str, str] | None = None,
     multi_line: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows in ``schema``, rejected rows with their reason).
+    """(rows in ``schema``, rejected rows with their reason) of a file, a folder or a list of files.
 
     ``mapping`` names the CSV column of each target column; other CSV columns are
     ignored. Files may have their columns in different orders: each is read by its own

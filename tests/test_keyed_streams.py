@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F, types as T
 
 from caselens.operators import events as E
-from caselens.streaming import answers, state, timers
+from caselens.streaming import answers, load, state, timers
 from caselens.sources.upserts import UpsertTable
 
 START = dt.datetime(2024, 1, 1)
@@ -200,3 +200,31 @@ def test_answers_equal_batch_after_each_file(spark, tmp_path):
         want = sorted((tuple(r) for r in batch.collect()), key=repr)
         assert got == [r for r in want if r[0]], i  # output without a request is nobody's
     assert pathlib.Path(tmp_path / "answers" / "requests").exists()
+
+
+# ---- CSV ------------------------------------------------------------------------------
+
+
+def test_files_are_loaded_once_by_their_own_headers(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    schema, mapping = T.StructType().add("n", "integer").add("name", "string"), {"n": "id", "name": "label"}
+
+    def run(checkpoint="checkpoint"):
+        load.stream_csv(
+            spark, str(folder), str(tmp_path / "out"), str(tmp_path / checkpoint), schema, mapping, files_per_batch=1
+        ).awaitTermination()
+        rows, rejects = load.read_loaded(spark, str(tmp_path / "out"), schema)
+        return sorted(map(tuple, rows.collect())), sorted(r.reason for r in rejects.collect())
+
+    (folder / "a.csv").write_text("id,label,other\n1,one,x\nx,two,y\n3,three\n")
+    (folder / "b.csv").write_text('label,id\n"quoted, four",4\n')
+    (folder / "empty.csv").write_text("")
+    assert run() == ([(1, "one"), (4, "quoted, four")], ["n", "wrong number of cells"])
+    assert run() == ([(1, "one"), (4, "quoted, four")], ["n", "wrong number of cells"])
+    (folder / "c.csv").write_text("id,label\n5,five\n")
+    assert run()[0] == [(1, "one"), (4, "quoted, four"), (5, "five")]
+    # all batches again, as after a lost checkpoint: each replaces its own folder
+    for file in sorted((tmp_path / "checkpoint" / "commits").glob("*")):
+        file.unlink()
+    assert run()[0] == [(1, "one"), (4, "quoted, four"), (5, "five")]
