@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -10,12 +11,12 @@ from caselens.functions import bands
 from caselens.functions.json_filter import metadata_contains
 from caselens.operators import analytics, documents, quality
 from caselens.operators.embed import unembedded
-from caselens.operators.skew import skew_join
+from caselens.operators.skew import fits_broadcast, skew_join
 from caselens.plans import sql_tool
 from caselens.plans.standins import TABLES, table, view, with_views
 from caselens.schemas import RECORD_TABLES
-from caselens.scratch import scratch_path
-from caselens.sources import csv_tables, images
+from caselens.scratch import scratch_path, write_and_reread
+from caselens.sources import bucketed, csv_tables, images
 
 QUERIES, ORACLES = {}, {}
 
@@ -195,42 +196,62 @@ def join_two(spark, sf):
     return joined.drop("appointment_id").transform(as_double("cost"))
 
 
-@registered(
-    with_views(
-        "treatments",
-        "appointments",
-        "patients",
-        "doctors",
-        then="""SELECT d.hospital_branch, p.insurance_provider, t.treatment_type, count(*) AS n,
-                       CAST(sum(t.cost) AS DOUBLE) AS total
-                FROM treatments t JOIN appointments a USING (appointment_id)
-                JOIN patients p ON a.patient_id = p.patient_id
-                JOIN doctors d ON a.doctor_id = d.doctor_id
-                GROUP BY d.hospital_branch, p.insurance_provider, t.treatment_type""",
-    )
+_STAR_SQL = with_views(
+    "treatments",
+    "appointments",
+    "patients",
+    "doctors",
+    then="""SELECT d.hospital_branch, p.insurance_provider, t.treatment_type, count(*) AS n,
+                   CAST(sum(t.cost) AS DOUBLE) AS total
+            FROM treatments t JOIN appointments a USING (appointment_id)
+            JOIN patients p ON a.patient_id = p.patient_id
+            JOIN doctors d ON a.doctor_id = d.doctor_id
+            GROUP BY d.hospital_branch, p.insurance_provider, t.treatment_type""",
 )
+
+
+@registered(_STAR_SQL)
 def star_join(spark, sf):
     """The fact is dealt once by appointment, for its sums and for the join; patients and doctors
     are sent to it if Spark finds them small enough; one aggregate ends the query."""
     treatments, visits = view(spark, sf, "treatments"), view(spark, sf, "appointments")
-    per_visit = (
-        treatments.select("appointment_id", "treatment_type", "cost")
-        .repartition("appointment_id")
-        .groupBy("appointment_id", "treatment_type")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("total"))
-    )
+    fact = treatments.select("appointment_id", "treatment_type", "cost").repartition("appointment_id")
+    return _star(spark, sf, fact, visits.select("appointment_id", "patient_id", "doctor_id"))
+
+
+def _star(spark, sf, fact, visits, sent=lambda parent: parent):
+    per_visit = fact.groupBy("appointment_id", "treatment_type").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("total"))
     patients = view(spark, sf, "patients").select("patient_id", "insurance_provider")
     doctors = view(spark, sf, "doctors").select("doctor_id", "hospital_branch")
     return (
-        per_visit.join(visits.select("appointment_id", "patient_id", "doctor_id"), "appointment_id")
-        .join(patients, "patient_id")
-        .join(doctors, "doctor_id")
+        per_visit.join(visits, "appointment_id")
+        .join(sent(patients), "patient_id")
+        .join(sent(doctors), "doctor_id")
         .groupBy("hospital_branch", "insurance_provider", "treatment_type")
         .agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
         .transform(as_double("total"))
     )
 
 
+def _bucketed(spark, rows, key, buckets=8):
+    found = bucketed.BucketedTable(f"caselens_{uuid.uuid4().hex}", scratch_path(spark, "bucketed"), rows.schema, key, buckets)
+    found.append(rows)
+    return found.open(spark)
+
+
+def _sent_if_small(parent):
+    stored = write_and_reread(parent, "parent")
+    return F.broadcast(stored) if fits_broadcast(stored) else stored
+
+
+@registered(_STAR_SQL)
+def star_join_bucketed(spark, sf):
+    """The fact and its visits are stored in buckets of the appointment: neither moves again."""
+    fact = view(spark, sf, "treatments").select("appointment_id", "treatment_type", "cost")
+    visits = view(spark, sf, "appointments").select("appointment_id", "patient_id", "doctor_id")
+    return _star(spark, sf, _bucketed(spark, fact, "appointment_id"), _bucketed(spark, visits, "appointment_id"), _sent_if_small)
+
+
 @registered(
     with_views(
         "xray",
@@ -271,16 +292,27 @@ def check_primary_key(spark, sf):
     return quality.primary_key_violations(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@registered(
-    """SELECT o_custkey, count(*) AS n_rows FROM orders
+_ORPHANS_SQL = """SELECT o_custkey, count(*) AS n_rows FROM orders
        WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment <> 'MACHINERY')
        GROUP BY o_custkey"""
-)
+
+
+@registered(_ORPHANS_SQL)
 def check_foreign_key(spark, sf):
     kept = table(spark, sf, "customer").where(F.col("c_mktsegment") != "MACHINERY")
     return quality.foreign_key_violations(table(spark, sf, "orders"), "o_custkey", kept, "c_custkey")
 
 
+@registered(_ORPHANS_SQL)
+def check_foreign_key_bucketed(spark, sf):
+    """Both sides stored in buckets of the reference: the check moves nothing."""
+    kept = table(spark, sf, "customer").where(F.col("c_mktsegment") != "MACHINERY").select("c_custkey")
+    used = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return quality.foreign_key_violations(
+        _bucketed(spark, used, "o_custkey"), "o_custkey", _bucketed(spark, kept, "c_custkey"), "c_custkey"
+    )
+
+
 def _record_tables(spark, sf):
     names = ["doctors", "patients", "appointments", "treatments", "billing", "xray"]
     return {name: view(spark, sf, name) for name in names}
