@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -34,9 +35,13 @@ from caselens.scratch import scratch_path, write_and_reread
 LENGTH = 2048
 END = 2
 MANIFEST = "file string, first_doc bigint, n_docs bigint, n_tokens bigint"
-MOST_CACHED = 300_000
+MOST_CACHED = 400_000  # of each of two generations
 
-_PLAIN = re.compile(rb"([A-Za-z]+|(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)\Z")
+#: ASCII punctuation apart from the apostrophe, which the tokenizer may cut differently.
+_MARKS = "".join(map(chr, [*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
+#: A run of ASCII or of Latin-1 letters too, and the usual word: such a run, then punctuation.
+_LETTERS = "^(?:[A-Za-z]|[\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])+"
+_PLAIN = _LETTERS + "[" + re.escape(_MARKS) + "]*$"
 
 
 def _byte_letters() -> dict[int, int]:
@@ -47,10 +52,37 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(hidden)}
 
 
+class _Kept(dict):
+    """What was computed of the keys, as long as they are not too many; then what has not been
+    asked for since the last such time is forgotten."""
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute, self.older = compute, {}
+
+    def __missing__(self, key):
+        if len(self) >= MOST_CACHED:
+            self.older = dict(self)
+            self.clear()
+        value = self.older.get(key)
+        self[key] = value = self.compute(key) if value is None else value
+        return value
+
+
+def _gathered(flat: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``flat`` that ``codes`` name, one after another, and their lengths."""
+    firsts = np.cumsum(counts) - counts
+    lengths = counts[codes]
+    ends = np.cumsum(lengths)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(firsts[codes] - ends + lengths, lengths)
+    return flat[at], lengths
+
+
 class Encoder:
     """Whole texts to ids. Words between white space are encoded on their own, which gives
-    the same ids, and kept for the next time; the usual word, letters and then punctuation,
-    goes to the model at once, any other through the whole tokenizer."""
+    the same ids. The usual word, letters and then punctuation, is cut in two: the letters
+    in lower case go to the model and are kept for the next time, whatever follows
+    them; the punctuation and any other word go through the whole tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -58,59 +90,67 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.letters = _byte_letters()
-        self.known: dict[bytes, bytes] = {}
-        self.marks: dict[bytes, bytes] = {b"": b""}
+        self.bodies, self.marks = _Kept(self._body), _Kept(lambda marks: self._whole([marks])[0])
+        self.others: dict[str, bytes] = {}
+        self.plain = True
         words = ["Señor", "Ça.", "größer", "thouinan,"]
-        self.plain = all(self._plain(w.encode()) == self._whole([w])[0] for w in words)
+        self.plain = all(self._words(pa.array([w]))[0].tobytes() == self._whole([w])[0] for w in words)
 
     def _whole(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(words, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
-    def _plain(self, word: bytes) -> bytes | None:
-        parts = _PLAIN.match(word)
-        if parts is None:
-            return None
-        body, marks = parts.groups()
-        if marks not in self.marks:
-            if len(self.marks) > MOST_CACHED:
-                self.marks = {b"": b""}
-            self.marks[marks] = self._whole([marks.decode()])[0]
-        lower = body.lower() if body.isascii() else body.decode().lower().encode()
-        own = self.tokenizer.model.tokenize(lower.decode("latin-1").translate(self.letters))
-        return np.array([t.id for t in own], self.kind).tobytes() + self.marks[marks]
+    def _body(self, lower: str) -> bytes:
+        if not lower.isascii():
+            lower = lower.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(lower)], self.kind).tobytes()
+
+    def _other(self, words: list[str]) -> list[bytes]:
+        known = self.others
+        if len(known) > MOST_CACHED:
+            known.clear()
+        new = [w for w in words if w not in known]
+        for begin in range(0, len(new), 1024):
+            part = new[begin : begin + 1024]
+            known.update(zip(part, self._whole(part)))
+        found = [known[w] for w in words]
+        for w in new:
+            if len(w) >= 64:
+                del known[w]
+        return found
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words one after another, and how many each has."""
+        plain = np.zeros(len(words), bool)
+        if self.plain:
+            short = pc.less(pc.binary_length(words), 64)
+            plain = pc.and_(short, pc.match_substring_regex(words, _PLAIN)).to_numpy(zero_copy_only=False)
+        usual = words.filter(pa.array(plain))
+        body = pc.utf8_lower(pc.utf8_rtrim(usual, characters=_MARKS)).dictionary_encode()
+        marks = pc.replace_substring_regex(usual, pattern=_LETTERS, replacement="").dictionary_encode()
+        pieces = [self.bodies[w] for w in body.dictionary.to_pylist()]
+        n_bodies = len(pieces)
+        pieces += [self.marks[m] if m else b"" for m in marks.dictionary.to_pylist()]
+        n_usual = len(pieces)
+        pieces += self._other(words.filter(pa.array(~plain)).to_pylist())
+        pieces.append(b"")
+        two = np.full((len(words), 2), len(pieces) - 1)
+        two[plain, 0] = body.indices.to_numpy(zero_copy_only=False)
+        two[plain, 1] = n_bodies + marks.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        two[~plain, 0] = n_usual + np.arange(len(words) - int(plain.sum()))
+        flat = np.frombuffer(b"".join(pieces), self.kind)
+        counts = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.kind.itemsize
+        ids, lengths = _gathered(flat, counts, two.ravel())
+        return ids, lengths.reshape(-1, 2).sum(1)
 
     def encode(self, column: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows one after another, and where the ids of each row end."""
         words = texts.split_words(column, lower=False)
-        if len(self.known) > MOST_CACHED:
-            self.known = {}
-        known, others = self.known, []
-        ids: list[bytes | None] = [known.get(w) for w in words.vocabulary]
-        for i, own in enumerate(ids):
-            if own is None:
-                word = words.vocabulary[i]
-                own = self._plain(word) if self.plain and len(word) < 64 else None
-                if own is None:
-                    others.append(i)
-                else:
-                    ids[i] = known[word] = own
-        for begin in range(0, len(others), 1024):
-            part = others[begin : begin + 1024]
-            for i, own in zip(part, self._whole([words.vocabulary[i].decode() for i in part])):
-                ids[i] = own
-                if len(words.vocabulary[i]) < 64:
-                    known[words.vocabulary[i]] = own
-        ids.append(np.array([end], self.kind).tobytes())
-        flat = np.frombuffer(b"".join(ids), self.kind)
-        counts = np.fromiter((len(x) for x in ids), np.int64, len(ids)) // self.kind.itemsize
-        firsts = np.cumsum(counts) - counts
-        codes = np.insert(words.codes, words.offsets[1:], len(ids) - 1)
-        lengths = counts[codes]
-        ends = np.cumsum(lengths)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(firsts[codes] - ends + lengths, lengths)
-        rows = ends[words.offsets[1:] + np.arange(len(words.offsets) - 1)]
-        return flat[at], rows
+        ids, counts = self._words(pa.array(words.vocabulary, pa.large_binary()).cast(pa.large_string()))
+        ids, counts = np.append(ids, np.array([end], self.kind)), np.append(counts, 1)
+        codes = np.insert(words.codes, words.offsets[1:], len(counts) - 1)
+        flat, lengths = _gathered(ids, counts, codes)
+        return flat, np.cumsum(lengths)[words.offsets[1:] + np.arange(len(words.offsets) - 1)]
 
 
 @lru_cache(maxsize=2)
