@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from caselens.llm import texts
 from caselens.scratch import write_and_reread
@@ -214,9 +215,10 @@ def _fuse(model, columns: list[str], decide: bool):
     return run
 
 
-def _with_evidence(docs: DataFrame, text: Column, declared: Column, host: Column, suffix: Column) -> tuple[DataFrame, TextModel]:
+def _with_evidence(docs: DataFrame, kept: list[str], text: Column, declared: Column, host: Column, suffix: Column) -> tuple[DataFrame, TextModel]:
+    # the row's own columns in one struct, where their names cannot clash with the ones made here
     rows = docs.select(
-        "*", F.coalesce(text, F.lit("")).alias("_text"), declared.alias("_declared"), suffix.alias("_suffix"),
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.coalesce(text, F.lit("")).alias("_text"), declared.alias("_declared"), suffix.alias("_suffix"),
         host.alias("_host"), F.substring_index(host, ".", -2).alias("_domain"),
     )
     model = text_model(rows)
@@ -245,19 +247,23 @@ def _with_evidence(docs: DataFrame, text: Column, declared: Column, host: Column
 
 def identify(docs: DataFrame, columns: list[str], text: Column, declared: Column, host: Column, suffix: Column) -> DataFrame:
     """``columns`` of the rows with ``language``, ``confidence``, ``text_language``, ``accepted``."""
-    rows, model = _with_evidence(docs, text, declared, host, suffix)
-    known = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    needed = rows.select(*columns, "_text", "_prior", "_declared_logs", "_suffix_logs")
-    return needed.mapInArrow(_fuse(known, columns, False), f"{kinds}, language string, confidence double, text_language string, accepted boolean")
+    found = _fused(docs, columns, text, declared, host, suffix, False)
+    return found.select(*[F.col("_row")[c].alias(c) for c in columns], *FUSED)
 
 
 def accepted(docs: DataFrame, text: Column, declared: Column, host: Column, suffix: Column) -> DataFrame:
     """The accepted rows with all their columns."""
-    rows, model = _with_evidence(docs, text, declared, host, suffix)
+    return _fused(docs, docs.columns, text, declared, host, suffix, True).select("_row.*")
+
+
+def _fused(docs: DataFrame, kept: list[str], text: Column, declared: Column, host: Column, suffix: Column, decide: bool) -> DataFrame:
+    rows, model = _with_evidence(docs, kept, text, declared, host, suffix)
     known = docs.sparkSession.sparkContext.broadcast(model)
-    needed = rows.select(*docs.columns, "_text", "_prior", "_declared_logs", "_suffix_logs")
-    return needed.mapInArrow(_fuse(known, docs.columns, True), docs.schema)
+    needed = rows.select("_row", "_text", "_prior", "_declared_logs", "_suffix_logs")
+    schema = StructType([needed.schema["_row"]])
+    if not decide:
+        schema = schema.add("language", "string").add("confidence", "double").add("text_language", "string").add("accepted", "boolean")
+    return needed.mapInArrow(_fuse(known, ["_row"], decide), schema)
 
 
 def document_evidence() -> dict[str, Column]:

@@ -149,12 +149,12 @@ def repeated(docs: DataFrame) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with its own columns."""
     h = F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
     times = write_and_reread(
-        mix(docs).groupBy("doc_id", "h").agg(F.sum("copies").cast("int").alias("_mix_times"), F.count(F.lit(1)).alias("_mix_rows")), "mix"
-    ).select(F.col("doc_id").alias("_mix_id"), F.col("h").alias("_mix_h"), "_mix_times", "_mix_rows")
-    rows = docs.withColumn("_mix_own", h)
-    if not times.where("_mix_rows > 1").isEmpty():  # rows alike in id and text share their copies
-        rows = rows.dropDuplicates(["doc_id", "_mix_own"])
-    taken = times.where("_mix_times > 0")
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_own") == F.col("_mix_h"))
-    joined = rows.join(taken, same)
-    return joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix_times")))).select(*docs.columns)
+        mix(docs).groupBy("doc_id", "h").agg(F.sum("copies").cast("int").alias("times"), F.count(F.lit(1)).alias("alike")), "mix"
+    ).select(F.col("doc_id").alias("id"), F.col("h").alias("hash"), "times", "alike")
+    # the row's own columns in one struct, where their names cannot clash with the ones made here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("own_id"), h.alias("own_hash"))
+    if not times.where("alike > 1").isEmpty():  # rows alike in id and text share their copies
+        rows = rows.dropDuplicates(["own_id", "own_hash"])
+    taken = times.where("times > 0")
+    joined = rows.join(taken, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash")))
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times"))).alias("copy")).select("row.*")

@@ -362,3 +362,18 @@ def test_stages_on_odd_rows(spark, odd, empty, which):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(SF))
     docs.count()
+
+
+CLASHING = ["_text", "_declared", "_suffix", "_host", "_domain", "_prior", "_row", "_gone", "_mix_id", "_mix_own", "_mix_copy", "row", "id", "hash", "times", "copy", "own_id", "own_hash"]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES[:4])
+def test_stages_keep_columns_whose_names_clash(spark, odd, name, stage):
+    """Every row that a stage keeps has all its own columns, whatever they are called."""
+    columns = [c.split()[0] for c in DOCS.split(", ")]
+    docs = odd.select(*columns)
+    extended = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHING])
+    got = stage(spark, extended, str(SF)).collect()
+    want = stage(spark, docs, str(SF)).collect()
+    assert got and sorted(map(repr, (tuple(r)[: len(columns)] for r in got))) == sorted(map(repr, map(tuple, want)))
+    assert all(r[c] == f"own {c}" for r in got for c in CLASHING)
