@@ -75,6 +75,139 @@ def test_frequent_endings_have_classes_of_their_own(spark):
     assert len(set(found.tolist())) == 60 and lm.OTHER not in found
 
 
+def test_pairs_of_a_group_leave_a_rest(documents, monkeypatch):
+    """Whatever pairs are features, the words after a word sum to 1 within a class."""
+    monkeypatch.setattr(lm, "PAIRS", 800)
+    known = lm.vocabulary(lm.count_words(documents))
+    shares, rests, tokens = lm.weigh_pairs(documents, documents.sparkSession.sparkContext.broadcast(known))
+    assert tokens.sum() == known.tokens - known.ends and 0 < len(shares.keys) <= 800
+    train = [r.text for r in documents.collect() if remainder(r.doc_id)]
+    words = [t[:-1] for t in map(tokens_of, train)]
+    block = lm.texts.Words(*_coded(words))
+    group, pair = lm.Tokens(block, known.classes_of(block.vocabulary)).pairs()
+    of = dict(zip(pair.tolist(), group.tolist()))
+    left = Counter()
+    for key, share in zip(shares.keys.tolist(), shares.values.tolist()):
+        left[of[key]] += share
+    assert set(left) == set(rests.keys.tolist())
+    assert all(abs(left[g] + r - 1) < 1e-5 and r > 0 for g, r in zip(rests.keys.tolist(), rests.values.tolist()))
+
+
+def tokens_of(text):
+    return [t and t.encode() for t in tokens(text)]
+
+
+def _coded(words):
+    vocabulary = sorted({w for own in words for w in own})
+    number = {w: i for i, w in enumerate(vocabulary)}
+    offsets = np.cumsum([0, *map(len, words)])
+    return np.array([number[w] for own in words for w in own], np.int64), vocabulary, offsets
+
+
+def brute_scores(rows, weights):
+    """log10 of every text's probability, a token at a time, by the formulas, from trained class weights."""
+    train = [tokens_of(r[1]) for r in rows if remainder(r[0])]
+    counts = Counter(t for own in train for t in own[:-1])
+
+    def ending(w):
+        tail = (w.rstrip(lm.CLOSING) or w)[-2:]
+        return int.from_bytes(tail, "big")
+
+    by_ending = Counter()
+    for w, c in counts.items():
+        by_ending[ending(w)] += c
+    ranked = sorted(by_ending, key=lambda e: (-by_ending[e], e))[: lm.OTHER]
+    number = {e: i for i, e in enumerate(ranked)}
+
+    def cls(w):
+        return lm.END if w is None else number.get(ending(w), lm.OTHER)
+
+    mass = Counter()
+    for w, c in counts.items():
+        mass[cls(w)] += c + 0.1
+    pairs, groups = Counter(), Counter()
+    kinds: dict = {}
+    for own in train:
+        for a, b in zip([None, *own], own[:-1]):
+            pairs[a, b] += 1
+            groups[a, cls(b)] += 1
+    for a, b in pairs:
+        kinds[a, cls(b)] = kinds.get((a, cls(b)), 0) + 1
+
+    m64 = (1 << 64) - 1
+
+    def mix(x):
+        return int(lm.texts.mix(np.array([x & m64], np.uint64))[0])
+
+    def hashed(w, start):
+        return mix(1 if w is None and not start else 2 if w is None else int(lm.texts.word_hashes([w])[0]))
+
+    def row(x, kind):
+        return lm.BEFORE + lm.NEAR + ((mix(x + kind) >> 40) * lm.HASHED >> 24)
+
+    out = []
+    for r in rows:
+        own, total = tokens_of(r[1]), 0.0
+        for i, w in enumerate(own):
+            past = [own[i - k] if i >= k else None for k in (1, 2, 3)]
+            h = [hashed(x, True) for x in past]
+            c = [cls(x) for x in past]
+            features = [c[1] * lm.CLASSES + c[0], lm.BEFORE + (mix(h[0] + 11) & lm.NEAR - 1)]
+            features += [row(h[0] * 0x9E3779B97F4A7C15 + h[1], 12), row(h[1], 13), row(h[2], 14)]
+            x = weights[features].astype(float).sum(axis=0)
+            p = np.exp(np.clip(x, -30, 30))
+            total += math.log10(p[cls(w)] / p.sum())
+            if w is not None:
+                q = (counts[w] + 0.1) / (mass[cls(w)] + 0.1)
+                n, of = pairs[past[0], w], groups[past[0], cls(w)]
+                rest = lm.DISCOUNT * kinds[past[0], cls(w)] / of if of else 1
+                total += math.log10((n - lm.DISCOUNT) / of + rest * q if n else rest * q)
+        out.append(total)
+    return out
+
+
+def test_scores_equal_the_formulas(spark, rows, monkeypatch):
+    """Most words take the join, so pairs of words that are not sent are compared as well."""
+    monkeypatch.setattr(lm, "HEAD", 300)
+    trained, train = [], lm.train
+    monkeypatch.setattr(lm, "train", lambda *a: trained.append(train(*a)) or trained[-1])
+    own = [r for r in rows if len(r[1] or "") < 3000][:120] + [(10**6, ""), (10**6 + 1, None), (10**6 + 2, "of the of the unheard-of")]
+    docs = spark.createDataFrame([r[:2] for r in own], "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    for r, want in zip(own, brute_scores(own, trained[0])):
+        assert abs(got[r[0]] - want) < 1e-3 + 1e-4 * abs(want), r[0]
+
+
+def test_gradient_steps_equal_plain_ones():
+    rng = np.random.default_rng(5)
+    start = rng.normal(size=(lm.ROWS, lm.CLASSES)).astype(np.float32)
+    rows = [rng.integers(0, width, 900).astype(np.uint16) for width in (3, 40, 400, 60000, 5)]
+    targets = rng.integers(0, lm.CLASSES, 900)
+    weights, seen = start.copy(), np.ones(lm.ROWS, np.float32)
+    lm._learn(weights, seen, targets, rows)
+    want = np.zeros((lm.ROWS, lm.CLASSES))
+    for t in range(900):
+        x = np.clip(sum(start[r[t]].astype(float) for r in rows), -30, 30)
+        p = np.exp(x) / np.exp(x).sum()
+        p[targets[t]] -= 1
+        for r in rows:
+            want[r[t]] += p
+    want = start - lm.STEP * want / np.sqrt(1 + (want**2).sum(axis=1))[:, None]
+    assert np.allclose(weights, want, atol=2e-4)
+
+
+def test_scores_do_not_follow_the_partitions(documents):
+    two, eight = ({r.doc_id: r.score for r in lm.score(documents.repartition(n)).collect()} for n in (2, 8))
+    assert two.keys() == eight.keys() and all(abs(two[i] - eight[i]) < 1e-6 * (1 - two[i]) for i in two)
+
+
+def test_model_is_better_than_a_bigram(spark):
+    """A Witten-Bell bigram over the same training tokens has -3.553 per held-out token."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = lm.score(docs).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert got[0] / got[2] > -3.5 > got[1] / got[2]
+
+
 # ---- personal data ---------------------------------------------------------------------------
 
 
