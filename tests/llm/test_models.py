@@ -84,8 +84,8 @@ def test_pairs_of_a_group_leave_a_rest(documents, monkeypatch):
     train = [r.text for r in documents.collect() if remainder(r.doc_id)]
     words = [t[:-1] for t in map(tokens_of, train)]
     block = lm.texts.Words(*_coded(words))
-    group, pair = lm.Tokens(block, known.classes_of(block.vocabulary)).pairs()
-    of = dict(zip(pair.tolist(), group.tolist()))
+    pair, part = lm.Tokens(block, known.classes_of(block.vocabulary)).pairs(lm.parts_of(known))
+    of = dict(zip(lm.of_part(pair, part).tolist(), lm.of_part(pair >> np.uint64(32), part).tolist()))
     left = Counter()
     for key, share in zip(shares.keys.tolist(), shares.values.tolist()):
         left[of[key]] += share
