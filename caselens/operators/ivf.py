@@ -8,11 +8,13 @@ cells gives the exact result.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
 from pyspark.ml.functions import array_to_vector
@@ -21,23 +23,21 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from caselens.operators.topk import (
-    GRID_BYTES,
     MAX_BROADCAST_BYTES,
     MAX_CELLS,
     TASKS_PER_CORE,
     BestPerQuestion,
+    blocks_of,
     finish,
     fits_broadcast,
+    in_groups,
     keep_best,
     matrix_of,
     result_schema,
-    scan_batches,
-    score_block,
     small_tables,
     unit_rows,
 )
 from caselens.schemas import DEFAULT_TOP_K
-from caselens.scratch import write_and_reread
 
 
 @dataclass(frozen=True)
@@ -143,8 +143,8 @@ def nearest_in_cells(
     without a vector finds nothing.
 
     Cells no question asks for are not read; within a cell only the questions that probe
-    it are scored. Questions beyond ``limit_bytes`` are sent to their cells instead of to
-    every executor.
+    it are scored. Questions beyond ``limit_bytes``, or that probe more cells in all than ``MAX_CELLS``,
+    are dealt to tasks in bounded groups; a cell passes a group in blocks of ``grid_rows``.
     """
     spark = questions.sparkSession
     width = cells.centres.shape[1]
@@ -153,9 +153,18 @@ def nearest_in_cells(
     stored = cells.read(spark)
     schema = result_schema(stored, questions, question_id, ids)
     questions = questions.select(question_id, question_vector).where(F.col(question_vector).isNotNull())
-    local = fits_broadcast(questions, width, limit_bytes)
+    local = fits_broadcast(questions, width, min(limit_bytes, MAX_CELLS // n_probe * 8 * width))
     if local is None:
-        candidates = _cell_grid(cells, stored, questions, question_id, question_vector, n_probe, k, schema, grid_rows)
+
+        def probed(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            asks = np.zeros((len(cells.centres), len(units)), bool)
+            asks[_nearest_cells(units, cells.centres, n_probe).T, np.arange(len(units))] = True
+            return np.flatnonzero(asks.any(axis=1)), asks
+
+        def asked(place: np.ndarray, cell: int, limit: np.ndarray) -> np.ndarray:
+            return place[cell]
+
+        candidates = search_cells(cells, stored, questions, question_id, question_vector, k, schema, probed, asked, grid_rows=grid_rows)
         return keep_best(candidates, question_id, ids, k)
     units = unit_rows(matrix_of(local[question_vector], width)[0])
     # (cell, question) in order of the cells: who asks a cell is a slice of the second
@@ -194,10 +203,7 @@ def scan_pairs(
                 inside = np.flatnonzero(cell == number)
                 own = table.select(ids).take(pa.array(inside))
                 asked = who[np.searchsorted(cell_of, number) : np.searchsorted(cell_of, number, side="right")]
-                step = max(1, MAX_CELLS // len(inside))
-                for at in range(0, len(asked), step):
-                    some = asked[at : at + step]
-                    best.offer(own, score_block(rows[inside], valid[inside], question_units[some]), some)
+                best.offer_vectors(own, rows[inside], valid[inside], question_units[asked], asked)
         found = best.result()
         if found is not None:
             yield from finish(found, names, arrow_schema)
@@ -206,49 +212,36 @@ def scan_pairs(
     return probed.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism).mapInArrow(scan, schema)
 
 
-def _cell_grid(cells, stored, questions, question_id, question_vector, n_probe, k, schema, grid_rows):
-    """Questions are sent to their cells; each cell is a grid of groups with about ``grid_rows``
-    of its vectors and of its questions."""
-    spark = questions.sparkSession
-    width = cells.centres.shape[1]
-    grid_rows = grid_rows or max(1, GRID_BYTES // (8 * width))
-    shared = spark.sparkContext.broadcast(cells.centres)
-    asked_schema = T.StructType([*questions.schema.fields, T.StructField("cell", T.IntegerType())])
-    asked_arrow, arrow_schema = to_arrow_schema(asked_schema), to_arrow_schema(schema)
+def search_cells(cells: Cells, stored: DataFrame, questions, question_id, question_vector, k, schema, plan, asked, wanted=None, grid_rows=None) -> DataFrame:
+    """The k best of each question, in groups of questions that read the stored cells. ``plan`` gives of a
+    group's unit vectors the cells to read, in order, and what ``asked`` needs to tell which of the questions
+    want a cell, given their limits so far. Rows without a ``wanted`` value of a column are left out."""
+    width, ids, vector = cells.centres.shape[1], cells.id_columns, cells.vector
+    blocks, arrow_schema = blocks_of(stored, width, grid_rows), to_arrow_schema(schema)
+    files: dict[int, list[str]] = {}
+    for path in blocks.paths:
+        files.setdefault(int(re.search(r"/cell=(\d+)/", path).group(1)), []).append(path)
+    allowed = {c: [v for v in values if v is not None] for c, values in (wanted or {}).items()}
+
+    def search(units: np.ndarray, names: pa.Array) -> Iterator[pa.RecordBatch]:
+        best = BestPerQuestion(len(units), ids, k)
+        order, state = plan(units)
+        for cell in order.tolist():
+            who = np.flatnonzero(asked(state, cell, best.limit))
+            if cell not in files or not len(who):
+                continue
+            asking = units if len(who) == len(units) else units[who]
+            for table in blocks.read([*ids, vector], files[cell]):
+                for c, values in allowed.items():
+                    table = table.filter(pc.is_in(table[c], value_set=pa.array(values, table[c].type)))
+                table = table.sort_by([(c, "ascending") for c in ids])
+                rows, present = matrix_of(table[vector], width)
+                best.offer_vectors(table.select(ids), unit_rows(rows), present, asking, who)
+        found = best.result()
+        if found is not None:
+            yield from finish(found, names, arrow_schema)
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in small_tables(batches, width):
-            units = unit_rows(matrix_of(table[question_vector], width)[0])
-            found = _nearest_cells(units, shared.value, n_probe)
-            repeated = table.take(pa.array(np.repeat(np.arange(len(units)), n_probe)))
-            repeated = repeated.append_column("cell", pa.array(found.ravel().astype("int32")))
-            yield from repeated.cast(asked_arrow).to_batches()
-
-    asked = write_and_reread(questions.mapInArrow(probe, asked_schema), "probes")
-    groups = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / grid_rows).alias(name))
-    sizes = F.broadcast(groups(stored, "_rows").join(groups(asked, "_columns"), "cell"))  # a row per cell at most
-
-    def spread(df: DataFrame, own: str, other: str, key: str, across: str, key_columns: list[str]) -> DataFrame:
-        placed = df.join(sizes, "cell").withColumn(key, F.pmod(F.xxhash64(*key_columns), F.col(own)))
-        return placed.withColumn(across, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1))).drop(own, other)
-
-    left = spread(stored, "_rows", "_columns", "_i", "_j", cells.id_columns)
-    right = spread(asked, "_columns", "_rows", "_j", "_i", [question_id])
-
-    def score(vector_group: pa.Table, question_group: pa.Table) -> pa.Table:
-        out = scan_batches(
-            vector_group.combine_chunks().to_batches(max_chunksize=10_000),
-            unit_rows(matrix_of(question_group[question_vector], width)[0]),
-            question_group[question_id].combine_chunks(),
-            cells.id_columns,
-            cells.vector,
-            k,
-            arrow_schema,
-        )
-        return pa.Table.from_batches(list(out), arrow_schema)
-
-    key = ["cell", "_i", "_j"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(score, schema)
+    return in_groups(questions, question_id, question_vector, width, k, search, schema, 2 * len(cells.centres))
 
 
 def nearest_by_hashing(

@@ -9,22 +9,28 @@ NaN distances (zero vectors) come after all others and NULL vectors after those.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as parquet
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from caselens.operators.skew import fits_broadcast as keys_fit_broadcast, skew_join
 from caselens.schemas import DEFAULT_TOP_K
 from caselens.scratch import write_and_reread
+from caselens.sources.files import open_file
 
 MAX_BROADCAST_BYTES = 128 << 20  # the question matrix sent to every executor
 MAX_QUESTIONS = 50_000  # questions whose k best a task keeps
 MAX_CELLS = 4 << 20  # numbers of a matrix held at once in a task
-GRID_BYTES = 64 << 20  # of vectors, and of questions, in one group of the grid
+GROUP_QUESTIONS = 4096  # that a task holds while all vectors pass it
+GROUP_BEST = 1 << 19  # rows of their results
+BLOCK_ROWS = 4096  # vectors that pass at a time
 SAMPLE_ROWS = 4 << 20  # vectors that give a first bound
 SAMPLE_TASKS = 64
 TASKS_PER_CORE = 2  # tasks that scan all vectors; each emits questions x k rows at most
@@ -60,7 +66,7 @@ class BestPerQuestion:
         self.k, self.ids = k, id_columns
         self.limit = np.full(n_questions, np.inf) if limit is None else limit.copy()
         self.tables: list[pa.Table] = []
-        self.rows = 0
+        self.rows = self.blocks = 0
 
     def offer(self, ids: pa.Table, scores: np.ndarray, questions: np.ndarray) -> None:
         """``scores`` is rows x questions; ``ids`` must be sorted, so that among equal
@@ -72,11 +78,49 @@ class BestPerQuestion:
         ties = scores == cut
         keep = (scores < cut) | (ties & (np.cumsum(ties, axis=0) <= self.k))
         row, column = np.nonzero(keep)
+        if not len(row):
+            return
+        self._add(ids, row, questions[column], scores[row, column])
+
+    def offer_vectors(self, ids: pa.Table, units: np.ndarray, present: np.ndarray, question_units: np.ndarray, questions: np.ndarray) -> None:
+        """The same by the vectors of the rows and of the questions. Products in 32 bits leave out
+        what is surely beyond a question's limit; only the others are compared exactly."""
+        if not len(units) or not len(questions):
+            return
+        width = units.shape[1]
+        longest = max(1.0, float(np.sqrt(np.nanmax(np.einsum("ij,ij->i", units, units), initial=0.0))))
+        margin = (1e-6 + 2e-7 * width) * longest
+        near = units.astype("float32")
+        step = max(1, MAX_CELLS // max(len(units), width))
+        for at in range(0, len(questions), step):
+            some, block = questions[at : at + step], question_units[at : at + step]
+            limit = self.limit[some]
+            known = limit <= 2.5
+            if known.any():
+                own = np.flatnonzero(known)
+                product = near @ (block if len(own) == len(block) else block[own]).astype("float32").T
+                hit = product >= (1 - limit[own] - margin).astype("float32")
+                if np.count_nonzero(hit) <= hit.size // 16:
+                    row, column = np.nonzero(hit)
+                    column = own[column]
+                    distance = np.round(1.0 - np.einsum("ij,ij->i", units[row], block[column]), 9)
+                    keep = distance <= limit[column]
+                    self._add(ids, row[keep], some[column[keep]], distance[keep])
+                else:  # copies without end: only k of them are taken
+                    known[:] = False
+            if not known.all():
+                rest = np.flatnonzero(~known)
+                self.offer(ids, score_block(units, present, block[rest]), some[rest])
+        self.blocks += 1
+        if not self.blocks & (self.blocks - 1) and np.isinf(self.limit).any():
+            self.compact()
+
+    def _add(self, ids: pa.Table, row: np.ndarray, questions: np.ndarray, distances: np.ndarray) -> None:
         if not len(row):
             return
         taken = ids.take(pa.array(row))
-        taken = taken.append_column("_q", pa.array(questions[column].astype("int32")))
-        taken = taken.append_column("_d", pa.array(scores[row, column]))
+        taken = taken.append_column("_q", pa.array(questions.astype("int32")))
+        taken = taken.append_column("_d", pa.array(distances))
         self.tables.append(taken)
         self.rows += len(row)
         if self.rows > 4 * len(self.limit) * self.k + 100_000:
@@ -134,21 +178,70 @@ def scan_batches(
     schema: pa.Schema,
     limit: np.ndarray | None = None,
 ) -> Iterator[pa.RecordBatch]:
-    best = BestPerQuestion(len(question_units), id_columns, k, limit)
     width = question_units.shape[1]
-    for table in small_tables(batches, width):
+    yield from scan_tables(small_tables(batches, width), question_units, question_ids, id_columns, vector, k, schema, limit)
+
+
+def scan_tables(tables, question_units, question_ids, id_columns, vector, k, schema, limit=None) -> Iterator[pa.RecordBatch]:
+    best = BestPerQuestion(len(question_units), id_columns, k, limit)
+    width, everyone = question_units.shape[1], np.arange(len(question_units))
+    for table in tables:
         table = table.sort_by([(c, "ascending") for c in id_columns])
         matrix, present = matrix_of(table[vector], width)
-        units, ids = unit_rows(matrix), table.select(id_columns)
-        step = max(1, MAX_CELLS // max(1, len(units)))
-        for at in range(0, len(question_units), step):
-            block = question_units[at : at + step]
-            best.offer(ids, score_block(units, present, block), np.arange(at, at + len(block)))
+        best.offer_vectors(table.select(id_columns), unit_rows(matrix), present, question_units, everyone)
     found = best.result()
     if found is not None:
         yield from finish(found, question_ids, schema)
 
 
+@dataclass(frozen=True)
+class Blocks:
+    """The files of a stored table, which tasks read in blocks of ``rows`` rows."""
+
+    paths: list[str]
+    rows: int
+
+    def read(self, columns: list[str], paths: list[str] | None = None) -> Iterator[pa.Table]:
+        for path in self.paths if paths is None else paths:
+            with open_file(unquote(path)) as file:
+                for batch in parquet.ParquetFile(file).iter_batches(self.rows, columns=columns):
+                    yield pa.Table.from_batches([batch])
+
+
+def blocks_of(stored: DataFrame, width: int, rows: int | None = None) -> Blocks:
+    return Blocks(sorted(stored.inputFiles()), max(1, min(rows or BLOCK_ROWS, MAX_CELLS // width)))
+
+
+Search = Callable[[np.ndarray, pa.Array], Iterator[pa.RecordBatch]]
+
+
+def in_groups(questions: DataFrame, question_id: str, question_vector: str, width: int, k: int, search: Search, schema: T.StructType, cells: int = 1) -> DataFrame:
+    """What ``search`` finds for (unit vectors, ids) of groups of questions. A task holds one group at a
+    time, bounded in questions, in their results of ``k`` rows and in numbers for ``cells`` of each, and
+    reads what it compares them with from storage: no vector and no question is ever repeated."""
+    most = max(1, min(GROUP_QUESTIONS, GROUP_BEST // k, 2 * MAX_CELLS // max(cells, width)))
+    n, cores = questions.count(), questions.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-n // most), min(TASKS_PER_CORE * cores, n // 256))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def asked():
+            table = pa.Table.from_batches(held)
+            held.clear()
+            return unit_rows(matrix_of(table[question_vector], width)[0]), table[question_id].combine_chunks()
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                held.append(batch.slice(at, most))
+                if sum(b.num_rows for b in held) >= most:
+                    yield from search(*asked())
+        if held:
+            yield from search(*asked())
+
+    return questions.select(question_id, question_vector).repartition(tasks).mapInArrow(run, schema)
+
+
 def result_schema(vectors: DataFrame, questions: DataFrame, question_id: str, id_columns: list[str]):
     return T.StructType(
         [
@@ -188,8 +281,8 @@ def nearest(
 
     Questions within ``limit_bytes`` are sent to every executor and the vectors are
     read in place, by a number of tasks that follows the cores and not the files: each
-    hands on no more than k rows per question. More questions than that meet the vectors in
-    a grid of groups, each of bounded size on both sides.
+    hands on no more than k rows per question. More questions than that are dealt to tasks in
+    bounded groups; the vectors are stored once and pass each group in blocks of ``grid_rows``.
     """
     id_columns = id_columns or ["source_table", "source_id"]
     schema = result_schema(vectors, questions, question_id, id_columns)
@@ -211,10 +304,12 @@ def nearest(
         cores = vectors.sparkSession.sparkContext.defaultParallelism
         candidates = vectors.coalesce(TASKS_PER_CORE * cores).mapInArrow(scan, schema)
     else:
-        grid_rows = grid_rows or max(1, GRID_BYTES // (8 * width))
-        candidates = _grid(
-            vectors, questions, question_id, question_vector, id_columns, vector, k, width, schema, grid_rows
-        )
+        blocks = blocks_of(write_and_reread(vectors, "vectors"), width, grid_rows)
+
+        def search(units: np.ndarray, names: pa.Array) -> Iterator[pa.RecordBatch]:
+            yield from scan_tables(blocks.read([*id_columns, vector]), units, names, id_columns, vector, k, arrow_schema)
+
+        candidates = in_groups(questions, question_id, question_vector, width, k, search, schema)
     return keep_best(candidates, question_id, id_columns, k)
 
 
@@ -238,7 +333,7 @@ def nearest_bounded(
     above. The second pass hands on only what is within that bound, so about
     ``k x vectors / sample_rows`` rows of a question in all, however many tasks read them;
     these are cut to k in the tasks and again when they meet. Questions beyond the limit are taken in
-    the grid of :func:`nearest`.
+    the groups of :func:`nearest`.
     """
     id_columns = id_columns or ["source_table", "source_id"]
     schema = result_schema(vectors, questions, question_id, id_columns)
@@ -273,34 +368,6 @@ def nearest_bounded(
     return keep_best(vectors.mapInArrow(scan(bounded), schema), question_id, id_columns, k)
 
 
-def _grid(vectors, questions, question_id, question_vector, id_columns, vector, k, width, schema, grid_rows):
-    """Spread both sides by hash over a grid whose groups hold about ``grid_rows`` of each."""
-    arrow_schema = to_arrow_schema(schema)
-    n_rows = max(1, -(-vectors.count() // grid_rows))
-    n_columns = max(1, -(-questions.count() // grid_rows))
-    left = vectors.withColumn("_i", F.pmod(F.xxhash64(*id_columns), F.lit(n_rows))).withColumn(
-        "_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_columns - 1).cast("bigint")))
-    )
-    right = questions.withColumn("_j", F.pmod(F.xxhash64(question_id), F.lit(n_columns))).withColumn(
-        "_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_rows - 1).cast("bigint")))
-    )
-
-    def score(vector_group: pa.Table, question_group: pa.Table) -> pa.Table:
-        matrix, _ = matrix_of(question_group[question_vector], width)
-        out = scan_batches(
-            vector_group.combine_chunks().to_batches(max_chunksize=10_000),
-            unit_rows(matrix),
-            question_group[question_id].combine_chunks(),
-            id_columns,
-            vector,
-            k,
-            arrow_schema,
-        )
-        return pa.Table.from_batches(list(out), arrow_schema)
-
-    return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(score, schema)
-
-
 def nearest_to(
     vectors: DataFrame,
     question: list[float],
