@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from caselens.operators.ivf import Cells, build_cells, scan_pairs
+from caselens.operators.ivf import Cells, build_cells, scan_pairs, search_cells
 from caselens.operators.topk import (
     MAX_BROADCAST_BYTES,
+    MAX_CELLS,
     fits_broadcast,
     keep_best,
     matrix_of,
@@ -115,8 +116,9 @@ def nearest_by_bounds(
     each filter column. The columns of :func:`caselens.operators.topk.nearest`. A question without
     a vector finds nothing.
 
-    Questions are sent to every executor and have to fit ``limit_bytes``. After each wave
-    their k-th distances come to the driver.
+    Questions within ``limit_bytes`` are sent to every executor, and after each wave their k-th
+    distances come to the driver. More than that, or than have ``MAX_CELLS`` bounds in all, are dealt
+    to tasks in bounded groups, which read the cells in order of their mean bounds.
     """
     spark, cells, wanted = questions.sparkSession, bounded.cells, wanted or {}
     width, ids = cells.centres.shape[1], bounded.id_columns
@@ -125,16 +127,32 @@ def nearest_by_bounds(
         stored = stored.where(F.col(name).isin(list(allowed)))
     schema = result_schema(stored, questions, question_id, cells.id_columns)
     questions = questions.select(question_id, question_vector).where(F.col(question_vector).isNotNull())
-    local = fits_broadcast(questions, width, limit_bytes)
+    numbers = np.flatnonzero(_open_cells(bounded, wanted))
+    centres, radii = unit_rows(cells.centres[numbers]), bounded.radii[numbers]
+
+    def bounds_of(units: np.ndarray) -> np.ndarray:
+        """The least cosine distances (questions x cells): half the square; a question or cell without
+        a direction has no near side."""
+        away = np.sqrt(np.maximum(2 - 2 * (units @ centres.T), 0)) - radii
+        return np.where(radii >= 0, np.nan_to_num(np.maximum(away, 0) ** 2 / 2, nan=0.0), 2.0)
+
+    local = fits_broadcast(questions, width, min(limit_bytes, MAX_CELLS // max(1, len(numbers)) * 8 * width))
     if local is None:
-        raise ValueError("too many questions at once; ask them in parts")
-    units, names = unit_rows(matrix_of(local[question_vector], width)[0]), local[question_id].combine_chunks()
+        at = np.zeros(len(cells.centres), np.int64)
+        at[numbers] = np.arange(len(numbers))
 
-    numbers = np.flatnonzero(_open_cells(bounded, wanted))
-    centres = unit_rows(cells.centres[numbers])
-    away = np.sqrt(np.maximum(2 - 2 * (units @ centres.T), 0)) - bounded.radii[numbers]
-    # the least cosine distance: half the square; a question or cell without a direction has no near side
-    least = np.where(bounded.radii[numbers] >= 0, np.nan_to_num(np.maximum(away, 0) ** 2 / 2, nan=0.0), 2.0)
+        def plan(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            least = bounds_of(units)
+            return numbers[np.argsort(least.mean(axis=0), kind="stable")], least
+
+        def asked(least: np.ndarray, cell: int, limit: np.ndarray) -> np.ndarray:
+            # a distance that is NaN or NULL comes after all others: then every cell may still do better
+            return (least[:, at[cell]] - ROUNDING <= limit) | (limit > 2.5)
+
+        found = search_cells(cells, cells.read(spark), questions, question_id, question_vector, k, schema, plan, asked, wanted)
+        return keep_best(found, question_id, ids, k).select(question_id, *ids, "distance", "rank")
+    units, names = unit_rows(matrix_of(local[question_vector], width)[0]), local[question_id].combine_chunks()
+    least = bounds_of(units)
     order = np.argsort(least, axis=1, kind="stable")
     sorted_least = np.take_along_axis(least, order, 1)
 
