@@ -22,14 +22,17 @@ from caselens.operators.skew import fits_broadcast as keys_fit_broadcast
 from caselens.operators.topk import (
     MAX_BROADCAST_BYTES,
     MAX_CELLS,
+    _NAN,
+    _NULL,
     TASKS_PER_CORE,
     BestPerQuestion,
+    blocks_of,
     finish,
     fits_broadcast,
+    in_groups,
     keep_best,
     matrix_of,
     result_schema,
-    score_block,
     small_tables,
     unit_rows,
 )
@@ -192,7 +195,8 @@ def nearest_by_codes(
     """About the k nearest records of each question, with exact distances, ranked among the
     ``shortlist x k`` whose codes are nearest. A question without a vector finds nothing.
 
-    Questions are sent to every executor and have to fit ``limit_bytes``.
+    Questions within ``limit_bytes`` are sent to every executor. More than that are dealt to tasks in
+    bounded groups, past which the codes are read, and then the vectors.
     """
     spark = questions.sparkSession
     ids, books = codes.id_columns, codes.books
@@ -203,7 +207,8 @@ def nearest_by_codes(
     questions = questions.select(question_id, question_vector).where(F.col(question_vector).isNotNull())
     local = fits_broadcast(questions, width, limit_bytes)
     if local is None:
-        raise ValueError("too many questions at once; ask them in parts")
+        found = _in_groups(codes, stored, questions, question_id, question_vector, k, shortlist, schema)
+        return keep_best(found, question_id, ids, k)
     units = unit_rows(matrix_of(local[question_vector], width)[0])
     shared = spark.sparkContext.broadcast((units, local[question_id].combine_chunks(), books))
 
@@ -213,10 +218,7 @@ def nearest_by_codes(
         for table in small_tables(batches, width):
             table = table.sort_by([(c, "ascending") for c in ids])
             rebuilt, present = _rebuilt(table["code"], books)
-            step = max(1, MAX_CELLS // max(1, len(table)))
-            for at in range(0, len(units), step):
-                some = np.arange(at, min(at + step, len(units)))
-                best.offer(table.select(ids), score_block(rebuilt, present, units[some]), some)
+            best.offer_vectors(table.select(ids), rebuilt, present, units, np.arange(len(units)))
         found = best.result()
         if found is not None:
             yield from finish(found, names, arrow_schema)
@@ -229,3 +231,44 @@ def nearest_by_codes(
     pairs = stored.select(*ids, F.col(codes.vector).alias("_vector")).join(side, ids).join(F.broadcast(asked), question_id)
     distance = F.round(cosine_distance(F.col("_vector"), F.col("_asked")), 9)
     return keep_best(pairs.select(question_id, *ids, distance.alias("distance")), question_id, ids, k)
+
+
+def _in_groups(codes: Codes, stored: DataFrame, questions, question_id, question_vector, k, shortlist, schema) -> DataFrame:
+    """The k best of each question in groups of questions. A record is known by its place in the files."""
+    ids, books, vector = codes.id_columns, codes.books, codes.vector
+    width, arrow_schema = books.shape[0] * books.shape[2], to_arrow_schema(schema)
+    blocks = blocks_of(stored, width)
+    shared = stored.sparkSession.sparkContext.broadcast(books)
+
+    def search(units: np.ndarray, names: pa.Array) -> Iterator[pa.RecordBatch]:
+        best, start = BestPerQuestion(len(units), [*ids, "_at"], shortlist * k), 0
+        for table in blocks.read([*ids, "code"]):
+            table = table.append_column("_at", pa.array(np.arange(start, start + len(table))))
+            start += len(table)
+            table = table.sort_by([(c, "ascending") for c in ids])
+            rebuilt, present = _rebuilt(table["code"], shared.value)
+            best.offer_vectors(table.select([*ids, "_at"]), rebuilt, present, units, np.arange(len(units)))
+        listed = best.result()
+        if listed is None:
+            return
+        listed = listed.sort_by("_at")
+        at, question = listed["_at"].to_numpy(), listed["_q"].to_numpy()
+        distance, start = np.empty(len(at)), 0
+        for table in blocks.read([vector]):
+            low, high = np.searchsorted(at, [start, start + len(table)])
+            if low < high:
+                rows, present = matrix_of(table[vector], width)
+                rows = unit_rows(rows)
+                step = max(1, MAX_CELLS // width)
+                for a in range(low, high, step):
+                    part = slice(a, min(high, a + step))
+                    own = at[part] - start
+                    found = np.round(1.0 - np.einsum("ij,ij->i", rows[own], units[question[part]]), 9)
+                    found[np.isnan(found)] = _NAN
+                    distance[part] = np.where(present[own], found, _NULL)
+            start += len(table)
+        nearest = BestPerQuestion(len(units), ids, k)
+        nearest.tables = [listed.drop_columns(["_at", "_d"]).append_column("_d", pa.array(distance))]
+        yield from finish(nearest.result(), names, arrow_schema)
+
+    return in_groups(questions, question_id, question_vector, width, shortlist * k, search, schema)
