@@ -8,9 +8,7 @@ reported in an error column instead of ending the job.
 from __future__ import annotations
 
 import hashlib
-import math
 import time
-from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -55,7 +53,7 @@ def once(function):
 class _Buckets(dict):
     """token -> bucket, remembered while they are not too many."""
 
-    MOST = 1 << 20
+    MOST = 1 << 17
 
     def __init__(self, dimensions: int):
         super().__init__()
@@ -72,6 +70,15 @@ class _Buckets(dict):
 _KNOWN: dict[int, _Buckets] = {}  # kept from task to task
 
 
+def _list_array(vectors: list[np.ndarray | None]) -> pa.Array:
+    """The vectors as a list column, None as NULL."""
+    sizes = [0 if v is None else len(v) for v in vectors]
+    flat = np.concatenate([np.zeros(0, "float32"), *[v for v in vectors if v is not None]])
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("int32"))
+    missing = pa.array([v is None for v in vectors], pa.bool_())
+    return pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float32()), mask=missing)
+
+
 class TokenHashEmbedder:
     """The offline default: counts of md5-hashed tokens, scaled to length one.
 
@@ -84,15 +91,13 @@ class TokenHashEmbedder:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         known = _KNOWN.setdefault(self.dimensions, _Buckets(self.dimensions))
-        out = []
-        for text in texts:
-            tokens = Counter(text.encode().split())
-            buckets = np.fromiter(map(known.__getitem__, tokens), "int64", len(tokens))
-            times = np.fromiter(tokens.values(), "float64", len(tokens))
-            counts = np.bincount(buckets, times, self.dimensions)
-            length = math.sqrt(float(counts @ counts)) or 1.0
-            out.append((counts / length).astype("float32"))
-        return out
+        tokens = [text.encode().split() for text in texts]
+        sizes = np.array([len(t) for t in tokens], "int64")
+        buckets = np.fromiter((known[t] for text in tokens for t in text), "int64", sizes.sum())
+        places = np.repeat(np.arange(len(texts)) * self.dimensions, sizes) + buckets
+        counts = np.bincount(places, minlength=len(texts) * self.dimensions).reshape(-1, self.dimensions).astype("float64")
+        lengths = np.sqrt(np.einsum("ij,ij->i", counts, counts))
+        return list((counts / np.where(lengths > 0, lengths, 1.0)[:, None]).astype("float32"))
 
 
 def embed_texts(
@@ -106,7 +111,6 @@ def embed_texts(
 ) -> DataFrame:
     """Add ``embedding`` and ``embed_error``. Concurrency is the number of partitions."""
     call = with_retries(embedder, attempts, delay)
-    vector_type = pa.list_(pa.float32())
     added = T.StructType().add("embedding", T.ArrayType(T.FloatType())).add("embed_error", "string")
 
     def one_call(texts: list[str]) -> tuple[list, list]:
@@ -127,7 +131,7 @@ def embed_texts(
                 vectors += found
                 errors += failed
             yield pa.StructArray.from_arrays(
-                [pa.array(vectors, vector_type), pa.array(errors, pa.string())],
+                [_list_array(vectors), pa.array(errors, pa.string())],
                 names=["embedding", "embed_error"],
             )
 

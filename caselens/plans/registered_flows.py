@@ -120,14 +120,19 @@ def _write_files(files, folder: str) -> int:
 
     def write(batches):
         store, base = fs.FileSystem.from_uri(url)
+        made = set()
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                store.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
+                below = f"{base}/{name}".rsplit("/", 1)[0]
+                if below not in made:
+                    store.create_dir(below, recursive=True)
+                    made.add(below)
                 with store.open_output_stream(f"{base}/{name}") as out:
                     out.write(text.encode())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    written = files.select("image_path", "image_text").repartition(8).mapInArrow(write, "n bigint")
+    tasks = 2 * files.sparkSession.sparkContext.defaultParallelism
+    written = files.select("image_path", "image_text").repartition(tasks).mapInArrow(write, "n bigint")
     return written.agg(F.sum("n")).first()[0] or 0
 
 

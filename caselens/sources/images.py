@@ -11,6 +11,8 @@ from caselens.operators.skew import fits_broadcast, skew_join
 from caselens.scratch import write_and_reread
 from caselens.sources.files import open_file
 
+TASKS_PER_CORE = 4  # that list, open and describe files, however many there are
+OPENED_ROWS, OPENED_BYTES = 256, 8 << 20  # of files handed on at a time
 IMAGE_GLOB = "*.{jpg,jpeg,png,gif,webp,bmp,svg}"
 
 
@@ -46,19 +48,35 @@ def described_files(
     images: DataFrame, records: DataFrame, describe: Callable[[DataFrame], DataFrame], path: str = "image_path"
 ) -> DataFrame:
     """(path, description, describe_error) of the files that ``records`` name, each described once,
-    beside its scan: the bytes of a file go nowhere else. The result is stored."""
+    beside its scan: the bytes of a file go nowhere else. The number of tasks follows the cores, as
+    small files would otherwise make one per few of them. The result is stored."""
+    tasks = TASKS_PER_CORE * records.sparkSession.sparkContext.defaultParallelism
     wanted = write_and_reread(records.select(F.col(path).alias("relative_path")).distinct(), "wanted-images")
     if fits_broadcast(wanted):
         files = images.join(F.broadcast(wanted), "relative_path", "left_semi").select("relative_path", "content")
     else:  # more paths than are sent to every task: choose by the listing, then open what was chosen
-        chosen = images.select("relative_path", "path").join(wanted, "relative_path", "left_semi")
+        listed = images.select("relative_path", "path").coalesce(tasks)
+        chosen = listed.join(wanted, "relative_path", "left_semi").repartition(tasks, "path")
         files = chosen.mapInArrow(_opened, "relative_path string, content binary")
     return write_and_reread(describe(files.withColumnRenamed("relative_path", path)).drop("content"), "descriptions")
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One file per batch."""
+    """Some files at a time, bounded in number and in bytes."""
+    names, contents = [], []
+
+    def opened() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], ["relative_path", "content"])
+        names.clear()
+        contents.clear()
+        return out
+
     for batch in batches:
         for name, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             with open_file(path) as file:
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([file.read()], pa.binary())], ["relative_path", "content"])
+                names.append(name)
+                contents.append(file.read())
+            if len(names) >= OPENED_ROWS or sum(map(len, contents)) >= OPENED_BYTES:
+                yield opened()
+    if names:
+        yield opened()

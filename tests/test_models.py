@@ -109,6 +109,13 @@ def test_token_hash():
     assert not empty.any()
 
 
+def test_token_hash_of_many_texts_is_that_of_each():
+    texts = ["a b a", "", "a\u00a0b  c", " ".join(f"w{i % 37}" for i in range(500))]
+    embedder = TokenHashEmbedder(16)
+    assert [v.tolist() for v in embedder(texts)] == [embedder([t])[0].tolist() for t in texts]
+    assert embedder([]) == []
+
+
 def test_descriptions(spark):
     calls = []
 

@@ -172,6 +172,36 @@ def test_images(spark, csv_dir):
         assert all("content" not in line for line in plans[0].splitlines() if "Exchange" in line)
 
 
+def test_many_files_are_opened_by_all_tasks(spark, tmp_path, monkeypatch):
+    """Paths are few bytes, so adaptive execution would have one task open all files."""
+    for i in range(300):
+        (tmp_path / f"{i}.png").write_text(f"<{i}>")
+    rows = spark.createDataFrame([(f"{i}.png",) for i in range(0, 300, 2)], "image_path string")
+    monkeypatch.setattr(images, "fits_broadcast", lambda keys: False)
+    sizes = []
+
+    def describe(df):
+        sizes.append(df.rdd.glom().map(len).collect())
+        return df.withColumn("description", F.decode("content", "utf-8"))
+
+    found = images.described_files(images.read_images(spark, str(tmp_path)), rows, describe)
+    assert {r.image_path: r.description for r in found.collect()} == {f"{i}.png": f"<{i}>" for i in range(0, 300, 2)}
+    assert len(sizes[0]) == images.TASKS_PER_CORE * spark.sparkContext.defaultParallelism and max(sizes[0]) < 75
+
+
+def test_files_are_handed_on_in_bounded_batches(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    for i in range(10):
+        (tmp_path / f"{i}.png").write_text("x" * i)
+    names = pa.RecordBatch.from_pydict({"n": [f"{i}" for i in range(10)], "p": [str(tmp_path / f"{i}.png") for i in range(10)]})
+    monkeypatch.setattr(images, "OPENED_ROWS", 3)
+    monkeypatch.setattr(images, "OPENED_BYTES", 9)
+    batches = list(images._opened(iter([names])))
+    assert [len(c) for b in batches for c in b.column(1).to_pylist()] == list(range(10))
+    assert max(b.num_rows for b in batches) == 3
+
+
 def test_jdbc_options():
     options = jdbc.jdbc_options("patients", {"DB_HOST": "db", "DB_PASSWORD": "s"}, split_on="n", bounds=(0, 9), partitions=3)
     assert options["url"].startswith("jdbc:postgresql://db:5432/") and options["password"] == "s"
