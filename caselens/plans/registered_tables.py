@@ -249,7 +249,8 @@ def star_join_bucketed(spark, sf):
     """The fact and its visits are stored in buckets of the appointment: neither moves again."""
     fact = view(spark, sf, "treatments").select("appointment_id", "treatment_type", "cost")
     visits = view(spark, sf, "appointments").select("appointment_id", "patient_id", "doctor_id")
-    return _star(spark, sf, _bucketed(spark, fact, "appointment_id"), _bucketed(spark, visits, "appointment_id"), _sent_if_small)
+    n = bucketed.buckets_for(fact, 8)
+    return _star(spark, sf, _bucketed(spark, fact, "appointment_id", n), _bucketed(spark, visits, "appointment_id", n), _sent_if_small)
 
 
 @registered(
@@ -308,8 +309,9 @@ def check_foreign_key_bucketed(spark, sf):
     """Both sides stored in buckets of the reference: the check moves nothing."""
     kept = table(spark, sf, "customer").where(F.col("c_mktsegment") != "MACHINERY").select("c_custkey")
     used = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    n = bucketed.buckets_for(used, 8)
     return quality.foreign_key_violations(
-        _bucketed(spark, used, "o_custkey"), "o_custkey", _bucketed(spark, kept, "c_custkey"), "c_custkey"
+        _bucketed(spark, used, "o_custkey", n), "o_custkey", _bucketed(spark, kept, "c_custkey", n), "c_custkey"
     )
 
 

@@ -13,6 +13,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 BUCKETS = 64
+BUCKET_ROWS = 1 << 20  # a task sorts a bucket of each side
+
+
+def buckets_for(rows: DataFrame, least: int = 1) -> int:
+    """Buckets for tables the larger of which has these rows, so that no bucket grows with them."""
+    return max(least, -(-rows.count() // BUCKET_ROWS))
 
 
 @dataclass(frozen=True)

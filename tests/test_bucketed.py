@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import functions as F, types as T
 
 from caselens.operators import quality
+from caselens.sources import bucketed as dealing
 from caselens.sources.bucketed import BucketedTable
 
 FACT = T.StructType().add("k", "long").add("kind", "string").add("cost", "double")
@@ -69,3 +70,11 @@ def test_another_session_finds_the_table(spark, tmp_path):
         counted = again.open(spark).groupBy("k").count()
         assert "Exchange" not in plan(counted)
         assert counted.agg(F.sum("count")).first()[0] == 401
+
+
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    rows = spark.range(1000)
+    assert dealing.buckets_for(rows, 8) == 8
+    monkeypatch.setattr(dealing, "BUCKET_ROWS", 10)
+    assert dealing.buckets_for(rows, 8) == 100
+    assert dealing.buckets_for(rows.limit(0)) == 1
