@@ -178,6 +178,30 @@ def test_scores_equal_the_formulas(spark, rows, monkeypatch):
         assert abs(got[r[0]] - want) < 1e-3 + 1e-4 * abs(want), r[0]
 
 
+def test_pairs_that_are_not_sent_count_as_well(spark, rows, monkeypatch):
+    """Few pairs go to the tasks; words of all others get what the formulas say, head words or not."""
+    monkeypatch.setattr(lm, "HEAD", 300)
+    monkeypatch.setattr(lm, "PAIRS", 40)
+    sent, trained, lookup, train = [], [], lm._lookup, lm.train
+    monkeypatch.setattr(lm, "_lookup", lambda *a: sent.append(lookup(*a)) or sent[-1])
+    monkeypatch.setattr(lm, "train", lambda *a: trained.append(train(*a)) or trained[-1])
+    own = [r for r in rows if len(r[1] or "") < 3000][:120] + [(10**6, ""), (10**6 + 1, None), (10**6 + 2, "of the of the unheard-of")]
+    docs = spark.createDataFrame([r[:2] for r in own], "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    assert all(len(found.keys) <= 40 for found in sent)
+    for r, want in zip(own, brute_scores(own, trained[0])):
+        assert abs(got[r[0]] - want) < 1e-3 + 1e-4 * abs(want), r[0]
+
+
+def test_learners_are_no_more_than_shards(documents, monkeypatch):
+    """However many partitions shuffles have, as a learner hands on changes of its own."""
+    repartition = type(documents).repartition
+    monkeypatch.setattr(type(documents), "repartition", lambda self, n, *c: repartition(self, max(n, 50), *c))
+    turns = [lm.learners(documents, 3, turn).select(F.spark_partition_id().alias("n"), "doc_id").collect() for turn in range(lm.ROUNDS)]
+    assert all({r.n for r in rows} == {0, 1, 2} for rows in turns)
+    assert sorted(r.doc_id for rows in turns for r in rows) == sorted(r.doc_id for r in documents.collect() if remainder(r.doc_id))
+
+
 def test_gradient_steps_equal_plain_ones():
     rng = np.random.default_rng(5)
     start = rng.normal(size=(lm.ROWS, lm.CLASSES)).astype(np.float32)
