@@ -422,15 +422,24 @@ def latest_state_cleared(spark, sf):
     return events.latest_state(_updates(spark, sf), "user_id", ["event_id"], ["status", "amount"], _clears())
 
 
+_FILE_ROWS = 500_000
+
+
 def _in_order(spark, log, order, slices=6):
-    """A stream of files that hold the rows of ``log`` in slices of ``order``, one a batch."""
-    path = scratch_path(spark, "log")
+    """A stream of files that hold the rows of ``log`` in slices of ``order``, one a batch. A slice has
+    as many files as its rows need, all slices the same number."""
+    path, stored = scratch_path(spark, "log"), write_and_reread(log, "rows")
     number = F.unix_micros(order) if dict(log.dtypes)[order] == "timestamp" else F.col(order)
-    bounds = log.select(F.percentile_approx(number, [i / slices for i in range(1, slices)])).first()[0]
+    rows, bounds = stored.select(F.count(F.lit(1)), F.percentile_approx(number, [i / slices for i in range(1, slices)])).first()
+    files = max(1, -(-rows // (slices * _FILE_ROWS)))
     place = sum((number > F.lit(b)).cast("int") for b in bounds)
     for i in range(slices):  # written in order, so they are read in order
-        log.where(place == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part = stored.where(place == i)
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(path)
+        written = len(spark.read.schema(log.schema).parquet(path).inputFiles()) if files > 1 else i + 1
+        for _ in range(files * (i + 1) - written):  # a slice of few rows gets empty files, as a batch takes a number of files
+            part.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _updates(spark, sf):

@@ -3,20 +3,19 @@
 The state of a request is some numbers whatever it has written: the length so far, how much of
 the marker its end may be the start of, where the marker was, and where the first and last
 character that is no white space is in front of the marker and behind it. A marker may be cut
-anywhere, over any number of batches. The output itself is appended as pages; the places per
-request are merged into an upsert table. A reader cuts the pages at these places, so at any
+anywhere, over any number of batches. The output itself is appended as pages; the places and the
+state per request are merged into an upsert table, and a batch joins the states with its texts. A reader cuts the pages at these places, so at any
 time it gets what the batch operator would make of the output so far.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import astuple, dataclass
+from dataclasses import asdict, astuple, dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from caselens.functions.text import PYTHON_SPACE_CHARS
 from caselens.operators.events import ANSWER_MARKER, PAGE_CHARS, split_pages
@@ -88,33 +87,38 @@ def _pages(text: str, at: int, size: int) -> Iterator[tuple[int, int, str]]:
         begin = end
 
 
-class _Writer:
-    def __init__(self, page_chars: int):
-        self.page_chars = page_chars
+_PLACES_TYPE = T.StructType([T.StructField(p, T.LongType()) for p in _PLACES])
+_SPLIT_TYPE = T.StructType([T.StructField(f, T.LongType()) for f in Split.__dataclass_fields__])
+_PLACES_ARROW, _SPLIT_ARROW = (pa.struct([(f.name, pa.int64()) for f in kind]) for kind in (_PLACES_TYPE, _SPLIT_TYPE))
 
-    def __call__(self, key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        split = Split(*state.get) if state.exists else Split()
-        events = sorted((row for part in rows for row in zip(part["seq"], part["text"])), key=lambda row: row[0])
-        begin, said = split.length, [text for _, text in events if text]
-        for text in said:
-            split.take(text)
-        state.update(astuple(split))
-        pieces = list(_pages("".join(said), begin, self.page_chars))
-        none = [None] * len(pieces)
-        page, at, text = zip(*pieces) if pieces else ((), (), ())
-        # the pieces, and a row of the places without a text
-        columns = {"request": [key[0]] * (len(pieces) + 1), "page": [*page, None], "at": [*at, None], "text": [*text, None]}
-        columns |= {name: [*none, place] for name, place in zip(_PLACES, split.places())}
-        yield pd.DataFrame(columns, dtype=object)
+
+def _advance(page_chars: int):
+    """From (request, text of the batch, state before): the pieces of the text, and a row of the
+    places and the state after it without a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, (text, state) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                split = Split(**state) if state else Split()
+                begin = split.length
+                if text:
+                    split.take(text)
+                    rows += [(i, page, at, piece, None, None) for page, at, piece in _pages(text, begin, page_chars)]
+                rows.append((i, None, None, None, dict(zip(_PLACES, split.places())), asdict(split)))
+            if rows:
+                own, *columns = zip(*rows)
+                kinds = [pa.int64(), pa.int64(), pa.string(), _PLACES_ARROW, _SPLIT_ARROW]
+                arrays = [batch.column(0).take(pa.array(own)), *(pa.array(c, k) for c, k in zip(columns, kinds))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["request", "page", "at", "text", "places", "state"])
+
+    return run
 
 
 def _table(target: str, request: T.StructField, **options) -> UpsertTable:
-    schema = T.StructType([T.StructField("request", request.dataType)])
-    for place in _PLACES:
-        schema = schema.add(place, "long")
-    # places never go back, apart from the end of the thinking, which a marker may take back
-    latest = T.StructType([schema["length"], *[schema[p] for p in _PLACES[1:]]])
-    return UpsertTable(target, T.StructType([schema["request"], T.StructField("places", latest)]), ["request"], {"places": "max"}, **options)
+    # the length comes first and never goes back, so the largest is the latest
+    schema = T.StructType([T.StructField("request", request.dataType)]).add("places", _PLACES_TYPE).add("state", _SPLIT_TYPE)
+    return UpsertTable(target, schema, ["request"], {"places": "max", "state": "max"}, **options)
 
 
 def stream_answers(
@@ -130,36 +134,32 @@ def stream_answers(
     """Follow the output of all requests: (request, ``seq``, type, text) rows, batches in the order
     of ``seq``.
 
-    Below ``target``, ``pages`` has the output by batch and ``requests`` the places. A request's
-    output of one batch is put in order in one task. Events without a request are left out. A batch that runs again replaces its pages.
+    Below ``target``, ``pages`` has the output by batch and ``requests`` the places and states. A batch
+    reads the states in the buckets it touches; a request's output of one batch is put in order in one
+    task. Events without a request are left out. A batch that runs again replaces its pages, and changes
+    nothing once its states are written.
     """
     field = events.schema[request]
-    kind = field.dataType.simpleString()
     table = _table(f"{target}/requests", field, **options)
     said = F.when(F.col("type") == "output", F.col("text")).alias("text")
-    places = ", ".join(f"{p} bigint" for p in _PLACES)
-    numbers = ", ".join(f"{f} bigint" for f in Split.__dataclass_fields__)
-    split = (
-        events.where(F.col(request).isNotNull())
-        .select(request, "seq", said)
-        .groupBy(request)
-        .applyInPandasWithState(
-            _Writer(page_chars),
-            f"request {kind}, page bigint, at bigint, text string, {places}",
-            numbers,
-            "update",
-            GroupStateTimeout.NoTimeout,
-        )
-    )
+    own = events.where(F.col(request).isNotNull()).select(F.col(request).alias("request"), "seq", said)
+    schema = T.StructType([T.StructField("request", field.dataType)]).add("page", "long").add("at", "long").add("text", "string")
+    schema = schema.add("places", _PLACES_TYPE).add("state", _SPLIT_TYPE)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark, tag = batch.sparkSession, f"{checkpoint}:{batch_id}"
+        if table.last(spark).tag == tag:
+            return
+        touched = [r[0] for r in batch.select(table.bucket()).distinct().collect()]
+        known = table.read(spark, touched).select("request", "state")
+        texts = batch.groupBy("request").agg(F.expr("listagg(text, '') within group (order by seq)").alias("text"))
+        split = texts.join(known, "request", "left").mapInArrow(_advance(page_chars), schema)
         path = f"{target}/pages/batch={batch_id}"
-        batch.withColumn("is_text", F.col("page").isNotNull()).write.mode("overwrite").partitionBy("is_text").parquet(path)
-        written = batch.sparkSession.read.schema(batch.schema.add("is_text", "boolean")).parquet(path)
-        summary = written.where("NOT is_text").select("request", F.struct(*_PLACES).alias("places"))
-        table.upsert(summary, f"{checkpoint}:{batch_id}")
+        split.withColumn("is_text", F.col("page").isNotNull()).write.mode("overwrite").partitionBy("is_text").parquet(path)
+        written = spark.read.schema(T.StructType(list(schema.fields)).add("is_text", "boolean")).parquet(path)
+        table.upsert(written.where("NOT is_text").select("request", "places", "state"), tag)
 
-    writer = split.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = own.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()

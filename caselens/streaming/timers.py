@@ -89,7 +89,9 @@ class Watch:
 
 
 def _least(known: int | None, found: pd.Series) -> int | None:
-    values = found.dropna()
+    values = found.to_numpy()  # once per request and batch, where pandas' own methods are dear
+    if values.dtype.kind != "i":
+        values = found.dropna().to_numpy()
     if not len(values):
         return known
     least = int(values.min())

@@ -7,6 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F, types as T
 
 from caselens.operators import events as E
+from caselens.plans import registered_flows
 from caselens.streaming import answers, load, state, timers
 from caselens.sources.upserts import UpsertTable
 
@@ -228,3 +229,26 @@ def test_files_are_loaded_once_by_their_own_headers(spark, tmp_path):
     for file in sorted((tmp_path / "checkpoint" / "commits").glob("*")):
         file.unlink()
     assert run()[0] == [(1, "one"), (4, "quoted, four"), (5, "five")]
+
+
+# ---- logs in slices -------------------------------------------------------------------
+
+
+def test_slices_of_a_log_are_batches_of_several_files(spark, tmp_path, monkeypatch):
+    """Slices of many rows are written by several tasks, and ties may leave slices without rows."""
+    monkeypatch.setattr(registered_flows, "_FILE_ROWS", 20)
+    for name, seq in {"spread": F.col("id"), "ties": F.when(F.col("id") < 390, 7).otherwise(F.col("id"))}.items():
+        log = spark.range(400).select(seq.cast("long").alias("seq"), "id").repartition(5)
+        stream, batches = registered_flows._in_order(spark, log, "seq"), []
+
+        def keep(batch, number):
+            rows = batch.select("seq", F.input_file_name().alias("file")).collect()
+            batches.append((len({r.file for r in rows}), [r.seq for r in rows]))
+
+        writer = stream.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / name))
+        writer.trigger(availableNow=True).start().awaitTermination()
+        assert sorted(s for _, seqs in batches for s in seqs) == sorted(r.seq for r in log.collect())
+        full = [seqs for _, seqs in batches if seqs]
+        assert all(max(a) < min(b) for a, b in zip(full, full[1:]))
+        if name == "spread":
+            assert len(full) == 6 and all(files == 4 for files, _ in batches)
