@@ -38,6 +38,7 @@ from caselens.scratch import write_and_reread
 
 BUCKETS = 1 << 14
 TRIGRAMS = 200
+BLOCK_BYTES = 1 << 18  # of text whose trigrams are held at once, at some 60 bytes each
 KAPPA = 20.0
 UNDETERMINED = "und"
 UNDETERMINED_PRIOR = 1e-3
@@ -91,7 +92,7 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
-    for block in texts.blocks(batches, size=1 << 20):
+    for block in texts.blocks(batches, size=BLOCK_BYTES):
         row, bucket = trigrams(block.column(1))
         tags = np.array([t or "" for t in block.column(0).to_pylist()], object)
         for tag in set(tags.tolist()) - {""}:
@@ -147,7 +148,7 @@ def _suggest(model):
     """The language of the text alone, as a number; null without trigrams or for ``und``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in texts.blocks(batches, text="_text", size=1 << 20):
+        for block in texts.blocks(batches, text="_text", size=BLOCK_BYTES):
             logs, counts = model.value.likelihoods(block.column(block.schema.get_field_index("_text")))
             best = logs.argmax(axis=1)
             none = (counts == 0) | (best == len(model.value.languages) - 1)
@@ -184,7 +185,7 @@ def _fuse(model, columns: list[str], decide: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = model.value.languages
-        for block in texts.blocks(batches, text="_text", size=1 << 20):
+        for block in texts.blocks(batches, text="_text", size=BLOCK_BYTES):
             n = block.num_rows
             logs, counts = model.value.likelihoods(block.column(block.schema.get_field_index("_text")))
             only = np.where(counts > 0, logs.argmax(axis=1), len(languages) - 1)

@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -534,3 +536,19 @@ def test_stages_keep_columns_whose_names_clash(spark, odd, name, stage):
     want = stage(spark, docs, str(SF)).collect()
     assert got and sorted(map(repr, (tuple(r)[: len(columns)] for r in got))) == sorted(map(repr, map(tuple, want)))
     assert all(r[c] == f"own {c}" for r in got for c in CLASHING)
+
+
+def test_languages_are_told_in_little_memory():
+    """Whatever a batch holds, the trigrams of a small part of its texts are held at once."""
+    model = language_id.TextModel(["en", "und"], np.zeros((2, language_id.BUCKETS)))
+    batch = pa.RecordBatch.from_pydict({c: ["the quick brown fox " * 100 if c == "_text" else None] * 2000 for c in ("_declared", "_suffix", "_host", "_domain", "_text")})
+    tracemalloc.start()
+    found = sum(b.num_rows for b in language_id._suggest(Known(model))([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 2000 and peak < 32 << 20
+
+
+class Known:
+    def __init__(self, value):
+        self.value = value
