@@ -28,6 +28,9 @@ from caselens.sources.files import open_file
 MAX_BROADCAST_BYTES = 128 << 20  # the question matrix sent to every executor
 MAX_QUESTIONS = 50_000  # questions whose k best a task keeps
 MAX_CELLS = 4 << 20  # numbers of a matrix held at once in a task
+TILE_CELLS, TILE_QUESTIONS = 1 << 18, 512  # products in 32 bits at a time
+FIRST_ROWS = 1024  # that give a question its first limit
+MAX_COMPARED = 1 << 16  # pairs compared exactly at a time
 GROUP_QUESTIONS = 4096  # that a task holds while all vectors pass it
 GROUP_BEST = 1 << 19  # rows of their results
 BLOCK_ROWS = 4096  # vectors that pass at a time
@@ -87,34 +90,81 @@ class BestPerQuestion:
         what is surely beyond a question's limit; only the others are compared exactly."""
         if not len(units) or not len(questions):
             return
-        width = units.shape[1]
-        longest = max(1.0, float(np.sqrt(np.nanmax(np.einsum("ij,ij->i", units, units), initial=0.0))))
-        margin = (1e-6 + 2e-7 * width) * longest
-        near = units.astype("float32")
-        step = max(1, MAX_CELLS // max(len(units), width))
-        for at in range(0, len(questions), step):
-            some, block = questions[at : at + step], question_units[at : at + step]
-            limit = self.limit[some]
-            known = limit <= 2.5
-            if known.any():
-                own = np.flatnonzero(known)
-                product = near @ (block if len(own) == len(block) else block[own]).astype("float32").T
-                hit = product >= (1 - limit[own] - margin).astype("float32")
-                if np.count_nonzero(hit) <= hit.size // 16:
-                    row, column = np.nonzero(hit)
-                    column = own[column]
-                    distance = np.round(1.0 - np.einsum("ij,ij->i", units[row], block[column]), 9)
-                    keep = distance <= limit[column]
-                    self._add(ids, row[keep], some[column[keep]], distance[keep])
-                else:  # copies without end: only k of them are taken
-                    known[:] = False
-            if not known.all():
-                rest = np.flatnonzero(~known)
-                self.offer(ids, score_block(units, present, block[rest]), some[rest])
+        if len(units) > FIRST_ROWS and np.isinf(self.limit[questions]).any():
+            self._offer_block(ids.slice(0, FIRST_ROWS), units[:FIRST_ROWS], present[:FIRST_ROWS], question_units, questions)
+            self.compact()
+            ids, units, present = ids.slice(FIRST_ROWS), units[FIRST_ROWS:], present[FIRST_ROWS:]
+        self._offer_block(ids, units, present, question_units, questions)
         self.blocks += 1
         if not self.blocks & (self.blocks - 1) and np.isinf(self.limit).any():
             self.compact()
 
+    def _offer_block(self, ids: pa.Table, units: np.ndarray, present: np.ndarray, question_units: np.ndarray, questions: np.ndarray) -> None:
+        known = self.limit[questions] <= 2.5
+        own = np.flatnonzero(known)
+        exact = [np.flatnonzero(~known)]
+        if len(own):
+            exact += self._offer_near(ids, units, question_units, questions, own)
+        for rest in exact:
+            step = max(1, MAX_CELLS // max(len(units), units.shape[1]))
+            for at in range(0, len(rest), step):
+                some = rest[at : at + step]
+                self.offer(ids, score_block(units, present, question_units[some]), questions[some])
+
+    def _offer_near(self, ids: pa.Table, units: np.ndarray, question_units: np.ndarray, questions: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+        """Offer what is within the limits of the questions at ``own``, except for those, which are
+        returned, that too many rows are near to: copies without end, of which only k are taken. Products
+        are taken in tiles that stay in a core's cache."""
+        width = units.shape[1]
+        longest = max(1.0, float(np.sqrt(np.nanmax(np.einsum("ij,ij->i", units, units), initial=0.0))))
+        margin = (1e-6 + 2e-7 * width) * longest
+        limit = self.limit[questions[own]]
+        least = (1 - limit - margin).astype("float32")
+        near, asked = units.astype("float32"), np.ascontiguousarray(question_units[own].astype("float32").T)
+        products, hits = np.empty(TILE_CELLS, "float32"), np.empty(TILE_CELLS + 8, bool)
+        crowded, rows, columns, held = [], [], [], 0
+
+        def compare() -> None:
+            nonlocal held
+            if held:
+                row, column = np.concatenate(rows), np.concatenate(columns)
+                rows.clear()
+                columns.clear()
+                held = 0
+                distance = np.round(1.0 - np.einsum("ij,ij->i", units[row], question_units[own[column]]), 9)
+                keep = distance <= limit[column]
+                self._add(ids, row[keep], questions[own[column[keep]]], distance[keep])
+
+        for q in range(0, len(own), TILE_QUESTIONS):
+            block, bound = asked[:, q : q + TILE_QUESTIONS], least[q : q + TILE_QUESTIONS]
+            wide = len(bound)
+            found, n, most = [], 0, len(units) * wide // 16
+            for r in range(0, len(near), TILE_CELLS // wide):
+                some = near[r : r + TILE_CELLS // wide]
+                size = len(some) * wide
+                product, hit = products[:size].reshape(-1, wide), hits[:size].reshape(-1, wide)
+                np.greater_equal(np.matmul(some, block, out=product), bound, out=hit)
+                here = np.count_nonzero(hit)
+                if here:
+                    n += here
+                    if n > most:
+                        break
+                    hits[size : size + 8] = False
+                    eights = np.flatnonzero(hits[: -(-size // 8) * 8].view(np.uint64))
+                    cells = (eights[:, None] * 8 + np.arange(8)).ravel()
+                    found.append(cells[hits[cells]] + r * wide)
+            if n > most:
+                crowded.append(own[q : q + wide])
+            elif n:
+                row, column = np.divmod(np.concatenate(found), wide)
+                rows.append(row)
+                columns.append(column + q)
+                held += n
+                if held > MAX_COMPARED:
+                    compare()
+        compare()
+        return crowded
+
     def _add(self, ids: pa.Table, row: np.ndarray, questions: np.ndarray, distances: np.ndarray) -> None:
         if not len(row):
             return

@@ -70,3 +70,31 @@ def test_products_in_32_bits_lose_nothing():
         quick.offer_vectors(ids, units[part], present[part], asked, np.arange(50))
     a, b = dense.result().to_pandas(), quick.result().to_pandas()
     assert a[["id", "_q"]].equals(b[["id", "_q"]]) and np.abs(a._d - b._d).max() <= 1e-9
+
+
+@pytest.mark.parametrize("crowd", [0, 900])
+def test_products_stay_in_a_core_s_cache(crowd):
+    """Blocks pass questions in tiles, whose products take the memory of a tile and not of the block."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    units = topk.unit_rows(rng.normal(size=(6000, 16)))
+    units[2500 : 2500 + crowd] = units[0]  # near to one question more often than tiles allow
+    asked = units[:1003].copy()
+    asked[100:700] = asked[0] if crowd else asked[100:700]
+    quick, dense = (topk.BestPerQuestion(len(asked), ["id"], 4) for _ in range(2))
+    peaks = []
+    for at in range(0, len(units), 3000):
+        part, ids, present = units[at : at + 3000], pa.table({"id": np.arange(at, min(at + 3000, len(units)))}), np.ones(3000, bool)
+        dense.offer(ids, topk.score_block(part, present, asked), np.arange(len(asked)))
+        tracemalloc.start()
+        quick.offer_vectors(ids, part, present, asked, np.arange(len(asked)))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        quick.compact()
+    a, b = dense.result().to_pandas(), quick.result().to_pandas()
+    assert a[["id", "_q"]].equals(b[["id", "_q"]]) and np.abs(a._d - b._d).max() <= 1e-9
+    if not crowd:
+        assert peaks[1] < len(asked) * 3000 * 4  # one matrix of products of the block
