@@ -35,7 +35,7 @@ from caselens.scratch import scratch_path, write_and_reread
 LENGTH = 2048
 END = 2
 MANIFEST = "file string, first_doc bigint, n_docs bigint, n_tokens bigint"
-MOST_CACHED = 400_000  # of each of two generations
+MOST_CACHED = 100_000  # of each of two generations; with both a worker holds about 30 MB
 
 #: ASCII punctuation apart from the apostrophe, which the tokenizer may cut differently.
 _MARKS = "".join(map(chr, [*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))

@@ -74,3 +74,13 @@ def test_sequences_are_equal_and_mapped(spark, rows, tokenizer, tmp_path):
         assert len(own) == m.n_tokens
         read += own
     assert read == stream
+
+
+def test_an_encoder_holds_a_bounded_number_of_words():
+    """Workers of an executor encode side by side, after stages that left them little memory."""
+    own = files.Encoder(PATH)
+    letters = "abcdefghij"
+    words = ["".join(letters[int(d)] for d in f"{i:06d}") for i in range(250_000)]
+    for a in range(0, len(words), 50_000):
+        own.encode(pa.array([" ".join(words[a : a + 50_000])], pa.large_string()))
+    assert 0 < len(own.bodies) + len(own.bodies.older) <= 200_000
