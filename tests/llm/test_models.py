@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +196,39 @@ def test_pairs_that_are_not_sent_count_as_well(spark, rows, monkeypatch):
         assert abs(got[r[0]] - want) < 1e-3 + 1e-4 * abs(want), r[0]
 
 
+def test_no_more_is_stored_than_pairs_and_words(spark, tmp_path, monkeypatch):
+    """Words whose pairs are rare are not stored one by one."""
+    for module in ("caselens.scratch", "caselens.llm.op4_maxent_lm"):
+        monkeypatch.setattr(f"{module}.scratch_path", lambda _, name: str(tmp_path / name), raising=False)
+    monkeypatch.setattr(lm, "PAIRS", 40)
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join(f"w{n}" for n in rng.integers(0, 3000, 400))) for i in range(400)]
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    got = lm.score(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()
+    check_base(got, docs)
+    assert spark.conf.get(cleanup) == before
+    stored = sum(pq.read_metadata(f).num_rows for f in tmp_path.rglob("*.parquet"))
+    assert 0 < stored < 400 * 400 // 10
+
+
+def test_scores_do_not_follow_the_slices(documents, monkeypatch):
+    want = {r.doc_id: r.score for r in lm.score(documents).collect()}
+    monkeypatch.setattr(lm, "SLICE", 1 << 14)
+    got = {r.doc_id: r.score for r in lm.score(documents).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 * (1 - want[i]) for i in want)
+
+
+def test_endings_equal_plain_ones():
+    words = [b"a", b"ab", b"abc", b"ab.", b"a.", b"...", b".", b"\xc3\xa9!", b"x)\"", b"ab.c"]
+
+    def plain(w):
+        tail = (w.rstrip(lm.CLOSING) or w)[-2:]
+        return int.from_bytes(tail, "big")
+
+    assert lm.endings(words).tolist() == [plain(w) for w in words]
+
+
 def test_learners_are_no_more_than_shards(documents, monkeypatch):
     """However many partitions shuffles have, as a learner hands on changes of its own."""
     repartition = type(documents).repartition
