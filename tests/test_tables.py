@@ -1,6 +1,7 @@
 from decimal import Decimal
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F, types as T
 
 from caselens.operators import analytics as A, documents, quality as Q
@@ -189,6 +190,53 @@ def test_many_files_are_opened_by_all_tasks(spark, tmp_path, monkeypatch):
     assert len(sizes[0]) == images.TASKS_PER_CORE * spark.sparkContext.defaultParallelism and max(sizes[0]) < 75
 
 
+def test_the_list_of_images_is_that_of_sparks_reader(spark, tmp_path):
+    top = tmp_path / "a b"
+    names = ["x.png", "A.PNG", "50%.png", "p+q.gif", "ü.svg", "{b}.bmp", "t.txt", ".h.png", "_h.png", "_a=1.png", "_metadata.png"]
+    for name in [*names, "d/e/f.jpg", "d/.c/f.png", "_x/f.png", "_x=1/f.png", "_metadata/f.png", "k.png._COPYING_", "dir.png/i.webp"]:
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_text(f"<{name}>")
+    (top / "empty.png").touch()
+    (top / "gone.png").symlink_to(tmp_path / "nowhere")
+    (top / "link.png").symlink_to(top / "x.png")
+    (top / "linked").symlink_to(top / "d")
+    for folder in (str(top), f"file://{top}/"):
+        for glob in (images.IMAGE_GLOB, "*", "[xl]*.{png,txt}", "?.png"):
+            reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+            wanted = reader.load(folder).withColumn("relative_path", images.relative_path(F.col("path"), folder))
+            found = images.read_images(spark, folder, glob)
+            assert found.dtypes == wanted.dtypes
+            assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        images.read_images(spark, str(top / "none"))
+
+
+def test_the_driver_holds_no_list_of_images(spark, tmp_path, monkeypatch):
+    """Neither the files nor a task for every few of them."""
+    monkeypatch.setattr(images, "LISTED_ROWS", 7, raising=False)
+    for i in range(100):
+        (tmp_path / f"{i % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"{i % 3}/{i}.png").write_text(f"<{i}>")
+    files = images.read_images(spark, str(tmp_path))
+    assert len(files.inputFiles()) < 100 and not any(f.endswith(".png") for f in files.inputFiles())
+    assert "_content" not in files.drop("content")._jdf.queryExecution().executedPlan().toString()  # no file is opened
+    rows = spark.createDataFrame([(f"{i % 3}/{i}.png",) for i in range(0, 100, 2)], "image_path string")
+    tasks = []
+
+    def describe(df):
+        tasks.append(df.rdd.getNumPartitions())
+        return df.withColumn("description", F.decode("content", "utf-8"))
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")  # a file a task, by Spark's reader
+    try:
+        found = images.described_files(files, rows, describe)
+        assert {r.image_path: r.description for r in found.collect()} == {f"{i % 3}/{i}.png": f"<{i}>" for i in range(0, 100, 2)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert tasks == [images.TASKS_PER_CORE * spark.sparkContext.defaultParallelism]
+
+
 def test_files_are_handed_on_in_bounded_batches(tmp_path, monkeypatch):
     import pyarrow as pa
 
