@@ -19,10 +19,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from caselens.functions.text import has_content
 from caselens.operators.skew import fits_broadcast, held_of, missing_from, without_keys
 from caselens.schemas import DEFAULT_BATCH, EMBEDDINGS_KEY
-from caselens.scratch import write_and_reread
+from caselens.scratch import shuffles_dropped, write_and_reread
 
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 
+PART_ROWS = 1 << 26  # of documents whose texts are in shuffle files at once
 MAX_ATTEMPTS = 6
 FIRST_DELAY = 2.0
 
@@ -218,6 +219,25 @@ def embed_documents(
     return embed_rows(new_documents(documents, existing)[0], embedder, **options)
 
 
+def embedded_parts(
+    documents: DataFrame,
+    embedder: Embedder,
+    existing: DataFrame | None = None,
+    **options,
+) -> Iterator[DataFrame]:
+    """:func:`embed_documents` in parts, each to be stored before the next is asked for. A part holds
+    the keys of one range of their hashes, about ``PART_ROWS`` documents, and its shuffle files go
+    when it is stored, so that those on disk do not grow with the table. A table of several parts is
+    read once a part; what models gave for it should be stored before.
+    """
+    with shuffles_dropped(documents.sparkSession):
+        new, keys = new_documents(documents, existing)
+        parts = max(1, -(-keys.count() // PART_ROWS))
+        for part in range(parts):
+            own = F.pmod(F.xxhash64(*EMBEDDINGS_KEY), F.lit(parts)) == part
+            yield embed_rows(new.where(own) if parts > 1 else new, embedder, **options)
+
+
 def describe_images(
     images: DataFrame,
     describer: Callable[[str, bytes], str],

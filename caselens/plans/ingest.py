@@ -10,7 +10,7 @@ from caselens.operators import context, documents, embed, topk
 from caselens.operators.quality import check_record_tables
 from caselens.operators.skew import missing_from, skew_join
 from caselens.schemas import DEFAULT_TOP_K, RECORD_TABLES
-from caselens.scratch import write_and_reread
+from caselens.scratch import shuffles_dropped, write_and_reread
 from caselens.sources import csv_tables, images, vector_store
 
 KEYS = ["source_table", "source_id"]
@@ -83,12 +83,13 @@ def ingest(
     Returns (vector table, key and reference violations). A second run adds nothing.
     ``options`` (attempts, delay) go to the embedding and description calls.
     """
-    tables = load_tables(spark, csv_dir, target)
     store = f"{target}/embeddings"
-    existing = vector_store.stored_vectors(spark, store)
-    new = table_documents(tables, images.read_images(spark, csv_dir), describer, existing, **options)
-    embedded = embed.embed_documents(new, embedder, existing, **options)
-    vector_store.append_vectors(embedded, store)
+    with shuffles_dropped(spark):
+        tables = load_tables(spark, csv_dir, target)
+        existing = vector_store.stored_vectors(spark, store)
+        new = table_documents(tables, images.read_images(spark, csv_dir), describer, existing, **options)
+        for part in embed.embedded_parts(new, embedder, existing, **options):
+            vector_store.append_vectors(part, store)
     return vector_store.read_vectors(spark, store), check_record_tables(tables)
 
 

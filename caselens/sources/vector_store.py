@@ -22,6 +22,7 @@ def read_vectors(spark: SparkSession, path: str, source_table: str | None = None
 
 def append_vectors(embedded: DataFrame, path: str) -> None:
     """Append the rows that have a vector. Every task writes its own files, so a source
-    table that holds most rows is still written by all tasks."""
+    table that holds most rows is still written by all tasks. Ids are hex digits, which the
+    default compression leaves as long as they are."""
     rows = embedded.where(F.col("embedding").isNotNull()).select(*EMBEDDINGS_SCHEMA.names)
-    rows.write.mode("append").partitionBy("source_table").parquet(path)
+    rows.write.mode("append").option("compression", "zstd").partitionBy("source_table").parquet(path)

@@ -1,8 +1,11 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from caselens.operators import embed
 from caselens.operators.embed import ModelError, TokenHashEmbedder, answer_with_fallback, with_retries
+from caselens.sources import vector_store
 
 DOC = "source_table string, source_id string, content string, metadata string"
 
@@ -94,6 +97,46 @@ def test_only_new_documents_are_embedded(spark):
     assert rows[0].embedding_id in {r.embedding_id for r in again} and len(again) == 2
 
 
+@pytest.mark.parametrize("have", [None, [("a", "3"), ("b", "none")]])
+def test_documents_are_embedded_in_parts(spark, tmp_path, monkeypatch, have):
+    """The rows are those of one pass, keys that repeat or are missing too, and shuffle files of a part
+    are gone when it is stored."""
+    rows = [("a", str(i), f"text {i}", "{}") for i in range(60)] + [("a", str(i), f"older {i}", "{}") for i in range(0, 60, 7)]
+    rows += [("b", None, "no key", "{}"), ("b", "1", " ", "{}"), (None, "2", "no table", "{}")]
+    docs = spark.createDataFrame(rows, DOC).repartition(3)
+    existing = None if have is None else spark.createDataFrame(have, "source_table string, source_id string")
+    columns = ["embedding_id", "source_table", "source_id", "content", "embedding", "metadata"]
+    wanted = embed.embed_documents(docs, TokenHashEmbedder(4), existing).select(columns).collect()
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffled()
+    monkeypatch.setattr(embed, "PART_ROWS", 10)
+    parts = 0
+    for part in embed.embedded_parts(docs, TokenHashEmbedder(4), existing):
+        vector_store.append_vectors(part, str(tmp_path / "v"))
+        parts += 1
+        until = time.time() + 10  # they are removed in the background
+        while (left := shuffled() - before) and time.time() < until:
+            time.sleep(0.1)
+        assert not left
+    found = vector_store.read_vectors(spark, str(tmp_path / "v")).select(columns).collect()
+    assert parts > 4 and sorted(map(str, found)) == sorted(map(str, wanted))
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+    none = docs.where("source_id = 'x'")
+    assert [p.count() for p in embed.embedded_parts(none, TokenHashEmbedder(4))] == [0]
+
+
+def test_ids_are_stored_packed(spark, tmp_path):
+    docs = spark.range(20_000).selectExpr("'a' source_table", "cast(id AS string) source_id", "'x' content", "'{}' metadata")
+    vector_store.append_vectors(embed.embed_documents(docs, TokenHashEmbedder(4)), str(tmp_path / "v"))
+    size = sum(f.stat().st_size for f in (tmp_path / "v").rglob("*.parquet"))
+    assert size < 50 * 20_000  # 64 hex digits an id
+
+
 def test_a_filter_on_the_result_does_not_call_the_model_again(spark):
     docs = spark.createDataFrame([("a", "1", "one", "{}")], DOC)
     kept = embed.embed_documents(docs, TokenHashEmbedder(4)).where("embedding is not null")
