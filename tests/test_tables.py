@@ -227,13 +227,13 @@ def test_the_driver_holds_no_list_of_images(spark, tmp_path, monkeypatch):
         tasks.append(df.rdd.getNumPartitions())
         return df.withColumn("description", F.decode("content", "utf-8"))
 
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")  # a file a task, by Spark's reader
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")  # a file a task, by Spark's reader
     try:
         found = images.described_files(files, rows, describe)
         assert {r.image_path: r.description for r in found.collect()} == {f"{i % 3}/{i}.png": f"<{i}>" for i in range(0, 100, 2)}
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
     assert tasks == [images.TASKS_PER_CORE * spark.sparkContext.defaultParallelism]
 
 
